@@ -37,3 +37,22 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> list:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size (for files: their size)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def vector_row(vector, name: str = "vector") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([vector.tobytes()], pa.binary())], [name])
+
+
+def sum_vectors(df: DataFrame, dtype: str, size: int, tasks: int = 16):
+    """The sum of equally long vectors (binary column `vector`): summed in a few streaming tasks, then on the driver. The size is fixed, whatever the rows."""
+    import numpy as np
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype)
+        yield vector_row(total)
+
+    parts = map_batches(df.select("vector").repartition(tasks), add, "vector binary").collect()
+    return sum((np.frombuffer(r[0], dtype) for r in parts), np.zeros(size, dtype))

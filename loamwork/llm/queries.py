@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: name of the query: module whose query() it is
 MODULES = {
     "op4_token_files": "tokenfile",
+    "op7_retrieval_packing": "packing",
 }
 
 
