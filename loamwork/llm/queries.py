@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op3_decontamination": "decontam",
     "op4_token_files": "tokenfile",
+    "op6_substring_dedup": "substrings",
     "op7_retrieval_packing": "packing",
 }
 
