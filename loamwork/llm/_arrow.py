@@ -36,7 +36,7 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> list:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size (for files: their size)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def vector_row(vector, name: str = "vector") -> pa.RecordBatch:

@@ -13,6 +13,7 @@ MODULES = {
     "op4_token_files": "tokenfile",
     "op6_substring_dedup": "substrings",
     "op7_retrieval_packing": "packing",
+    "op9_quality": "quality",
 }
 
 
