@@ -12,6 +12,7 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op3_decontamination": "decontam",
     "op4_token_files": "tokenfile",
+    "op5_license_scan": "licenses",
     "op6_substring_dedup": "substrings",
     "op7_retrieval_packing": "packing",
     "op9_quality": "quality",
