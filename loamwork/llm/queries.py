@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: name of the query: module whose query() it is
 MODULES = {
+    "op1_near_duplicates": "neardup",
     "op2_toxicity": "toxicity",
     "op3_decontamination": "decontam",
     "op4_token_files": "tokenfile",
