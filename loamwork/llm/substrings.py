@@ -141,35 +141,60 @@ def passages(docs: DataFrame, window: int, width: int) -> DataFrame:
     return _arrow.map_batches(docs, emit, "anchor long, doc_id long, start int, text binary, n int")
 
 
-def _automaton_pass(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int]]:
-    """(doc_id, start) of each window of the passages that occurs earlier in another."""
+def _automaton_pass(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
+    """(doc_id, start, n) of windows of the passages (anchor, doc_id, start, text; by anchor) that occur earlier in another.
+
+    What recurs is confirmed first: an anchor with one text gives that whole passage as a phrase; one with several texts gives each of their windows that
+    is met twice or more. The automaton of all phrases then runs over each different text once, and what it finds holds at all places of the text.
+    """
     import ahocorasick
 
+    places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    texts: dict[int, list[bytes]] = {}
+    for anchor, doc, start, text in rows:
+        if (at := places.get((anchor, text))) is None:
+            places[anchor, text] = [(doc, start)]
+            texts.setdefault(anchor, []).append(text)
+        else:
+            at.append((doc, start))
     numbers: dict[bytes, int] = {}
-    streams = [tuple([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]) for _, _, text in rows]
-    seen: dict[tuple[int, ...], int] = {}
-    for stream in streams:
-        for k in range(len(stream) - window + 1):
-            w = stream[k : k + window]
-            seen[w] = seen.get(w, 0) + 1
-    confirmed = [w for w, n in seen.items() if n > 1]
-    if not confirmed:
-        return
+    streams: list[tuple[tuple[int, ...], list[tuple[int, int]]]] = []
+    phrases: dict[tuple[int, ...], int] = {}
+    for anchor, found in texts.items():
+        own = [(tuple([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")]), places[anchor, text]) for text in found]
+        if len(own) == 1:
+            if len(own[0][1]) > 1:
+                phrases.setdefault(own[0][0], len(phrases))
+                streams += own
+            continue
+        met: dict[tuple[int, ...], int] = {}
+        for stream, at in own:
+            for k in range(len(stream) - window + 1):
+                w = stream[k : k + window]
+                met[w] = met.get(w, 0) + len(at)
+        for w, n in met.items():
+            if n > 1:
+                phrases.setdefault(w, len(phrases))
+        streams += own
+    if not phrases:
+        return []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, w in enumerate(confirmed):
+    size = []
+    for w, k in phrases.items():
         automaton.add_word(w, k)
+        size.append(len(w))
     automaton.make_automaton()
-    earliest: dict[int, tuple[int, int]] = {}
-    found: list[tuple[int, int, int]] = []
-    for (doc, start, _), stream in zip(rows, streams, strict=True):
+    spots: dict[int, list[tuple[int, int]]] = {}
+    for stream, at in streams:
         for end, k in automaton.iter(stream):
-            at = (doc, start + end - window + 1)
-            found.append((k, *at))
-            if k not in earliest or at < earliest[k]:
-                earliest[k] = at
-    for k, doc, start in found:
-        if (doc, start) != earliest[k]:
-            yield doc, start
+            shift = end - size[k] + 1
+            spots.setdefault(k, []).extend([(doc, start + shift) for doc, start in at])
+    out = []
+    for k, at in spots.items():
+        first = min(at)
+        n = size[k] - window + 1
+        out += [(doc, start, n) for doc, start in at if (doc, start) != first]
+    return out
 
 
 REPEATS = "doc_id long, start int, n int"
@@ -179,24 +204,27 @@ def repeats(found: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, n): n windows from start on occur earlier elsewhere."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            got = sorted(set(_automaton_pass(held, window)))
+            got = _automaton_pass(held, window)
             if got:
-                doc, start = np.array(got, np.int64).T
-                cut = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))
+                doc, start, n = np.array(got, np.int64).T
+                order = np.lexsort((start, doc))
+                doc, start, n = doc[order], start[order], n[order]
+                # neighbouring runs are one
+                cut = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1]))
                 at = np.flatnonzero(cut)
-                n = np.diff(np.append(at, len(doc)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "start", "n"])
+                total = np.add.reduceat(n, at)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(total.astype(np.int32))], ["doc_id", "start", "n"])
 
         for batch in batches:
             for anchor, doc, start, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "text")), strict=True):
                 if anchor != last and size >= GROUP_WORDS:
                     yield from flush()
                     held, size = [], 0
-                held.append((doc, start, text))
+                held.append((anchor, doc, start, text))
                 size += text.count(b" ") + 1
                 last = anchor
         if held:
