@@ -17,6 +17,7 @@ MODULES = {
     "op6_substring_dedup": "substrings",
     "op7_retrieval_packing": "packing",
     "op9_quality": "quality",
+    "op10_nearest_neighbours": "ann",
 }
 
 
