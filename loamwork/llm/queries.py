@@ -16,6 +16,7 @@ MODULES = {
     "op5_license_scan": "licenses",
     "op6_substring_dedup": "substrings",
     "op7_retrieval_packing": "packing",
+    "op8_ngram_scores": "ngramlm",
     "op9_quality": "quality",
     "op10_nearest_neighbours": "ann",
 }
