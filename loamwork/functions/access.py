@@ -65,6 +65,6 @@ def scopes(payload: Column) -> Column:
     parts = lambda c: F.filter(F.split(c, " "), lambda s: F.trim(s) != "")
     scope = parts(F.get_json_object(payload, "$.scope"))
     scp = F.get_json_object(payload, "$.scp")
-    listed = F.filter(F.transform(F.from_json(scp, "array<string>"), F.trim), lambda s: s != "")
+    listed = F.filter(F.transform(F.from_json(scp, "array<string>"), lambda s: F.trim(s)), lambda s: s != "")
     empty = F.array().cast("array<string>")
     return F.when(F.size(scope) > 0, scope).when(F.startswith(scp, F.lit("[")), F.coalesce(listed, empty)).otherwise(F.coalesce(parts(scp), empty))

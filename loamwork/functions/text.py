@@ -104,7 +104,7 @@ def span_text(text: Column, span: Column) -> Column:
 
 def csv_list(value: Column) -> Column:
     """Trimmed, non-blank parts of a comma-separated text."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda s: F.trim(s)), lambda x: x != "")
 
 
 def as_count(value: Column) -> Column:

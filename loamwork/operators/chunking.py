@@ -52,9 +52,8 @@ def semantic(df: DataFrame, column: str = "text", threshold: float = 0.5, most:
     All is done within the row: sentences become an array, their vectors another.
     """
     value = F.col(column)
-    rows = df.withColumn("_s", text.sentences(value)).withColumn("_v", embedding.fallback_array(F.col("_s"), dimensions)).withColumn("_t", text.tiles(F.col("_s")))
-    near = F.transform(F.sequence(F.lit(1), F.size("_v") - 1), lambda i: embedding.similarity(F.get("_v", i - 1), F.get("_v", i)))
-    flags = F.when(F.size("_v") > 1, F.concat(F.array(F.lit(True)), F.transform(near, lambda s: s < threshold))).otherwise(F.transform("_v", lambda v: F.lit(True)))
+    rows = df.withColumn("_s", text.sentences(value)).withColumn("_v", embedding.neighbour_similarity(F.col("_s"), dimensions)).withColumn("_t", text.tiles(F.col("_s")))
+    flags = F.concat(F.array(F.lit(True)), F.transform("_v", lambda s: s < threshold))
     tagged = F.zip_with(F.col("_t"), flags, lambda s, f: F.struct(s["start"].alias("start"), s["end"].alias("end"), f.alias("begins")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), empty.alias("out"))

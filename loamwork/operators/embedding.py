@@ -6,11 +6,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork import session
-from loamwork.functions import scores
 
 # Preset -> dimensions, query prefix, passage prefix.
 PRESETS = {"large": (1024, "", ""), "small": (384, "", ""), "large-prefixed": (1024, "query: ", "passage: "), "mini": (384, "", "")}
@@ -46,19 +45,21 @@ class Fallback:
         return np.stack([self.one(t or "") for t in texts]) if len(texts) else np.zeros((0, self.dimensions))
 
 
-def fallback_array(texts: Column, dimensions: int) -> Column:
-    """An array of vectors for an array of texts."""
+def neighbour_similarity(texts: Column, dimensions: int) -> Column:
+    """Cosines of each two neighbouring texts of an array (0 where a vector is zero)."""
+    session.ship(SparkSession.active())
 
-    @F.pandas_udf("array<array<double>>")
-    def embed(values: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def compare(values: pd.Series) -> pd.Series:
         model = Fallback(dimensions)
-        return values.map(lambda xs: [] if xs is None else [v.tolist() for v in model.embed(list(xs))])
 
-    return embed(texts)
+        def one(xs: list[str] | None) -> list[float]:
+            v = model.embed(list(xs) if xs is not None else [])
+            return (v[1:] * v[:-1]).sum(axis=1).tolist() if len(v) > 1 else []
 
+        return values.map(one)
 
-def similarity(a: Column, b: Column) -> Column:
-    return scores.cosine(a, b)
+    return compare(texts)
 
 
 def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "embedding", preset: str = "small", passage: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ def stale(old: DataFrame, new: DataFrame, key: str = "uri") -> DataFrame:
 
 def merge_entities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row for each (uri, workspace_id): aliases and ACLs of both sides, old ones first, each once and without blanks."""
-    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda x: x != "")
     a, b = existing.alias("a"), incoming.alias("b")
     joined = a.join(b, (F.col("a.uri") == F.col("b.uri")) & (F.col("a.workspace_id") == F.col("b.workspace_id")), "full")
     both = lambda c: F.array_union(tidy(F.col(f"a.{c}")), tidy(F.col(f"b.{c}")))

@@ -84,5 +84,5 @@ def confirm(tokens: DataFrame, attempts: DataFrame, seconds: int = TOKEN_SECONDS
     from pyspark.sql import Window as W
 
     first = F.row_number().over(W.partitionBy("token").orderBy("at")) == 1
-    age = F.unix_micros("at") - F.unix_micros("issued_at")
+    age = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("issued_at").cast("timestamp"))
     return attempts.join(tokens, "token", "left").select("token", "at", (F.coalesce((age >= 0) & (age <= seconds * 1_000_000), F.lit(False)) & first).alias("accepted"))
