@@ -6,9 +6,10 @@ thousands of copies what they share would weigh next to nothing, and the group w
 
 1. Each document gets BANDS * ROWS ICWS samples; documents that agree on all samples of a band share a bucket. Equal texts are one text from here on.
 2. Round 1: every text of a bucket is paired with the bucket's smallest doc_id. Pairs are verified on whole texts; links (similarity of THRESHOLD or more)
-   are joined to classes. Buckets within one class are settled, however large.
-3. Rounds 2 and 3: in buckets that still hold several classes, texts of different classes whose samples agree in at least AGREE of all places are
-   paired: first each text with its best partner in each other class, then all that are left. Large buckets are compared in blocks of BLOCK texts.
+   are joined to classes. Buckets within one class are settled, however large; so are buckets of two texts.
+3. Round 2: the texts of each other bucket meet in one task (large buckets: in one task for each two of its blocks of BLOCK texts or PIECE bytes). Texts outside the
+   class of a pivot are compared with all others over an inverted index of shingles, exactly; a pair of different classes has at least one such text, so
+   none is lost. Only links that join classes leave the task; pairs are never rows.
 
 Defined results: equal texts (empty ones too; null is empty) are one class; a text without words is near to nothing else; a doc_id that repeats is one
 document, with the class of its smallest text hash; rows with a null doc_id get a null class; an empty table gives no rows; extra columns are not read.
@@ -29,9 +30,7 @@ from loamwork.llm import _arrow, _graph, _words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Share of samples on which texts must agree to be verified in rounds 2 and 3; at similarity 0.8 fewer than one in 10,000 agree on less.
-AGREE = 0.55
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes of text that are held as shingles at a time.
 PIECE = 4 << 20
 DEPTH, WIDTH = 2, 1 << 15
@@ -146,11 +145,11 @@ class Sampler:
         return name
 
 
-SIGNED = "doc_id long, text_hash binary, samples binary, bands array<bigint>"
+SIGNED = "doc_id long, text_hash binary, bands array<bigint>"
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFrame:
-    """Text hash, samples (32 bits each) and band keys of every document; texts without words have no bands."""
+    """Text hash and band keys of every document; texts without words have no bands."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +160,20 @@ def signatures(docs: DataFrame, sketch: np.ndarray, n_docs: int) -> DataFrame:
             shingles = Shingles(texts, sent.value, n_docs)
             data, offsets = _words.buffers(texts)
             raw = data.tobytes()
-            digest, samples, bands = [], [], []
+            digest, bands = [], []
             for d in range(batch.num_rows):
                 digest.append(hashlib.md5(raw[offsets[d] : offsets[d + 1]]).digest())
                 hashes, weights = shingles.of(d)
                 if not len(hashes):
-                    samples.append(b"")
                     bands.append([])
                     continue
                 names = sampler(hashes, weights)
-                samples.append((names >> np.uint64(32)).astype("<u4").tobytes())
                 key = salt
                 for column in names.reshape(BANDS, ROWS).T:
                     key = _words.mix(key ^ column) + salt
                 bands.append(key.view(np.int64))
-            out = [batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(samples, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "samples", "bands"])
+            out = [batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "bands"])
 
     return session.written(_arrow.map_batches(docs, sign, SIGNED), "signatures")
 
@@ -200,39 +197,57 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch: np.ndarray, n_docs: int,
     return session.written(_arrow.map_batches(with_b, compare, "a long, b long, similarity double"), "near-links")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, signed: DataFrame, best_only: bool) -> DataFrame:
-    """Distinct pairs (a < b) of texts that share a bucket, are of different classes and agree on AGREE of their samples."""
+def joining_links(ids: np.ndarray, classes: np.ndarray, shingles: Shingles, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different classes that are enough to join all classes that links join."""
+    n = len(ids)
+    _, comp = np.unique(classes, return_inverse=True)
+    pivot = int(np.argmax(comp == np.bincount(comp).argmax()))
+    doc = np.repeat(np.arange(n), np.diff(shingles.bounds))
+    _, code = np.unique(shingles.hashes, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    lists = np.concatenate([[0], np.cumsum(np.bincount(code))]) if len(code) else np.zeros(1, np.int64)
+    docs, weights = doc[order], shingles.weights[order]
+    total = np.bincount(doc, weights=shingles.weights, minlength=n)
+    out = []
+    for x in range(n):
+        if comp[x] == comp[pivot]:
+            continue
+        a, b = shingles.bounds[x], shingles.bounds[x + 1]
+        own = code[a:b]
+        count = lists[own + 1] - lists[own]
+        at = _words.ragged(lists[own], count)
+        both = np.bincount(docs[at], weights=np.minimum(np.repeat(shingles.weights[a:b], count), weights[at]), minlength=n)
+        near = np.flatnonzero((both >= threshold * (total[x] + total - both)) & (both > 0))
+        for y in near:
+            if comp[y] != comp[x]:
+                out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def cross_links(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch: np.ndarray, n_docs: int, threshold: float) -> DataFrame:
+    """Links (a < b) between texts of different classes that share a bucket."""
+    sent = members.sparkSession.sparkContext.broadcast(sketch)
     known = members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    open_ = known.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    rows = known.join(open_.select("key", "n"), "key").join(signed.select("doc_id", "samples"), "doc_id")
+    known = known.join(texts.select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+    sums = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    open_ = known.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), sums.alias("set")).where("low < high and n > 2")
+    # buckets of the same texts are one
+    open_ = session.written(open_.groupBy("n", "set").agg(F.min("key").alias("key"), F.min("size").alias("bytes")).select("key", "n", "bytes"), "open-buckets")
+    rows = session.written(known.drop("size").join(open_, "key"), "open-members")
     # a bucket of several blocks is compared block against block
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(PIECE))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id", "samples")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "class_id").join(texts, "doc_id").select("key", "i", "j", "doc_id", "class_id", "text")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            i, j = held[0][1:3]
-            ids, cls = np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64)
-            block = np.array([r[3] for r in held])
-            names = np.stack([np.frombuffer(r[6], "<u4") for r in held])
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            got: list[tuple[int, int]] = []
-            for x in left:
-                same = (names[right] == names[x]).mean(axis=1)
-                good = (cls[right] != cls[x]) & (same >= AGREE)
-                if not good.any():
-                    continue
-                to, share = right[good], same[good]
-                if best_only:
-                    order = np.lexsort((ids[to], -share, cls[to]))
-                    to = to[order]
-                    to = to[np.append(True, cls[to][1:] != cls[to][:-1])]
-                got += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in to]
+            shingles = Shingles(pa.array([r[5] for r in held], pa.string()), sent.value, n_docs)
+            got = joining_links(np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64), shingles, threshold)
             if got:
                 a, b = np.array(got, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -246,7 +261,7 @@ def cross_pairs(members: DataFrame, classes: DataFrame, signed: DataFrame, best_
         if held:
             yield from flush()
 
-    return _arrow.map_batches(dealt, pair, "a long, b long").distinct()
+    return session.written(_arrow.map_batches(dealt, link, "a long, b long"), "cross-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -256,31 +271,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = _arrow.texts(docs)
     sketch, n_docs = word_sketch(docs)
     signed = signatures(docs, sketch, n_docs).where("doc_id is not null")
-    signed = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "samples", "bands"), "text_hash").alias("s")).select("doc_id", "s.*")
-    texts_of = signed.groupBy("text_hash").agg(F.min("doc_id").alias("text_id"))
+    signed = signed.groupBy("doc_id").agg(F.min_by(F.struct("text_hash", "bands"), "text_hash").alias("s")).select("doc_id", "s.*")
     # one row for each different text; copies agree in everything else
-    firsts = session.written(signed.groupBy("text_hash").agg(F.min_by(F.struct("doc_id", "samples", "bands"), "doc_id").alias("s")).select("s.*"), "texts")
+    firsts = session.written(signed.groupBy("text_hash").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("s"), F.count(F.lit(1)).alias("copies")).select("text_hash", "copies", "s.*"), "texts")
     keys = firsts.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
-    members = session.written(keys.join(buckets, "key").select("key", "doc_id", "leader"), "buckets")
+    buckets = session.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader")).where("n > 1"), "buckets")
+    members = session.written(keys.join(buckets, "key").select("key", "doc_id", "leader"), "members")
     paired = members.select("doc_id").distinct()
     texts = session.written(docs.join(paired, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "paired-texts")
-    tried = session.written(members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = verify(tried, texts, sketch, n_docs, threshold)
+    pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = verify(pairs, texts, sketch, n_docs, threshold).select("a", "b")
     classes = session.written(_graph.components(links), "classes")
-    for best_only in (True, False):
-        pairs = session.written(cross_pairs(members, classes, firsts, best_only).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = verify(pairs, texts, sketch, n_docs, threshold)
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = session.written(_graph.components(links.select("a", "b")), "classes")
+    more = cross_links(members, classes, texts, sketch, n_docs, threshold)
+    if not more.isEmpty():
+        classes = session.written(_graph.components(links.unionByName(more)), "classes")
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_texts"))
-    named = classes.join(sizes, "class_id").select(F.col("node").alias("text_id"), "class_id", "class_texts")
+    named = session.written(classes.join(sizes, "class_id").select(F.col("node").alias("text_id"), "class_id", "class_texts"), "named-texts")
     every = docs.select("doc_id")
-    owned = signed.select("doc_id", "text_hash").join(texts_of, "text_hash").select("doc_id", "text_id")
+    copied = session.written(firsts.where("copies > 1").select("text_hash", F.col("doc_id").alias("text_id")), "copied-texts")
+    owned = signed.select("doc_id", "text_hash").join(copied, "text_hash", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"))
     out = owned.join(named, "text_id", "left").select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id", F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
     none = every.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("long").alias("class_texts"))
     return out.unionByName(none)
