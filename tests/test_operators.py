@@ -68,7 +68,7 @@ def test_entities_and_relations(spark):
     assert [m.uri for m in found][:2] == ["kb://entity/symbol:authservice", "kb://entity/symbol:depends"]
     assert "kb://entity/table:db.users" in [m.uri for m in found] and "kb://entity/term:сервис" in [m.uri for m in found]
     rel = df.select(entities.relations(F.col("t"), F.col("m")).alias("r")).first().r
-    assert ("kb://entity/symbol:authservice", "DEPENDS_ON", "kb://entity/symbol:db") in [tuple(x) for x in rel]
+    assert ("kb://entity/symbol:authservice", "DEPENDS_ON", "kb://entity/table:db.users") in [tuple(x) for x in rel]
     assert ("kb://entity/term:класс", "AFFECTS", "kb://entity/term:сервис") in [tuple(x) for x in rel]
     assert entities.find("the def ab abc", entities.Extraction()) == [(11, 14, "kb://entity/symbol:abc", "abc")]
     assert entities.Extraction(symbol_allow="(").allow("symbol") == ".*"
