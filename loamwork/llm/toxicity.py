@@ -157,7 +157,7 @@ class Channel:
             if run > 1 and price != WILD:
                 out += [(x * 2, price + SYMBOL) for x in STANDS[char]]
         if char not in _NUMBER and not char.isalnum():
-            out.append(("", DROP if inner else 0.1))
+            out.append(("", DROP if inner or char in STANDS else 0.1))
         return out or [("?", 0.0)]
 
     def decode(self, word: str) -> str:
