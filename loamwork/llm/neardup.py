@@ -29,7 +29,7 @@ from loamwork import session
 from loamwork.llm import _arrow, _graph, _words
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 3
 BLOCK = 1024
 #: Bytes of text that are held as shingles at a time.
 PIECE = 4 << 20
