@@ -83,30 +83,30 @@ class Sequence:
         return word * 64 + at
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 where the sequence does not hold it: the successor in the value's bucket of high bits is compared."""
+        """The index of each value, -1 where the sequence does not hold it: its successor is searched in the value's bucket of high bits."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.bits)).astype(np.int64)
-        low = values & np.uint64((1 << self.bits) - 1)
-        fits = high < int(self.zeros[-1])
-        place = np.zeros(len(values), np.int64)
-        some = np.flatnonzero(fits & (high > 0))
-        place[some] = self._select_zero(high[some] - 1) + 1
-        live = np.flatnonzero(fits)
-        at, want, place = place[live] - high[live], low[live], place[live]
-        while len(live):
-            word = place >> 6
-            inside = (word < len(self.high)) & (at < self.n)
-            bit = (self.high[np.minimum(word, len(self.high) - 1)] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            keep = np.flatnonzero((bit == 1) & inside)
-            live, at, want, place = live[keep], at[keep], want[keep], place[keep]
-            got = unpack(self.low, self.bits, at)
-            hit = got == want
-            out[live[hit]] = at[hit]
-            keep = np.flatnonzero(got < want)
-            live, at, want, place = live[keep], at[keep] + 1, want[keep], place[keep] + 1
+        live = np.flatnonzero(high < int(self.zeros[-1]))
+        high, want = high[live], values[live] & np.uint64((1 << self.bits) - 1)
+        # values of the bucket: those between two zeros
+        low = np.zeros(len(live), np.int64)
+        some = np.flatnonzero(high > 0)
+        low[some] = self._select_zero(high[some] - 1) + 1 - high[some]
+        stop = self._select_zero(high) - high
+        last = stop.copy()
+        open_ = np.flatnonzero(low < stop)
+        while len(open_):
+            mid = (low[open_] + stop[open_]) >> 1
+            less = unpack(self.low, self.bits, mid) < want[open_]
+            low[open_] = np.where(less, mid + 1, low[open_])
+            stop[open_] = np.where(less, stop[open_], mid)
+            open_ = open_[low[open_] < stop[open_]]
+        some = np.flatnonzero(low < last)
+        hit = some[unpack(self.low, self.bits, low[some]) == want[some]]
+        out[live[hit]] = low[hit]
         return out
 
     def values(self) -> np.ndarray:
@@ -141,7 +141,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a local file, mapped."""
     import json
 
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.asarray(np.memmap(path, np.uint8, "r"))
     if bytes(whole[:8]) != MAGIC:
         raise ValueError("not a file of arrays")
     size = int.from_bytes(bytes(whole[-8:]), "little")
