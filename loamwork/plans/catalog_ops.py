@@ -347,14 +347,12 @@ def health(spark, d):
 
 @query("token_bucket")
 def token_bucket(spark, d):
-    session.ship(spark)
     e = session.table(spark, d, "events").select("event_id", "user_id", "ts")
     return stateful.limit(e, ["user_id"], rps=0.001, burst=2).select("event_id", "user_id", "allowed")
 
 
 @query("circuit_breaker")
 def circuit_breaker(spark, d):
-    session.ship(spark)
     e = session.table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", (F.col("event_type") != "error").alias("ok"))
     return stateful.breaker(e, "user_id", failures=2, seconds=3600).select("event_id", "user_id", "allowed", "state")
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loamwork import session
+
 # Calls a second, burst; failures that open the breaker, seconds until it tries again.
 RPS, BURST, FAILURES, OPEN_SECONDS = 10.0, 20, 5, 30.0
 
@@ -56,6 +58,7 @@ def _seconds(ts: pd.Series) -> list[float]:
 
 def limit(events: DataFrame, keys: list[str], rps: float = RPS, burst: float = BURST) -> DataFrame:
     """Batch or stream of events (keys, ts, event_id) with `allowed` by a token bucket for each key. A stream keeps the buckets as state."""
+    session.ship(events.sparkSession)
     names = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
     out = f"event_id long, {names}, allowed boolean"
 
@@ -76,6 +79,7 @@ def limit(events: DataFrame, keys: list[str], rps: float = RPS, burst: float = B
 
 def breaker(events: DataFrame, key: str, failures: int = FAILURES, seconds: float = OPEN_SECONDS) -> DataFrame:
     """Events (key, ts, event_id, ok) with `allowed` and the breaker's state after each: one breaker for each key."""
+    session.ship(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
     out = f"event_id long, {key} {kind}, allowed boolean, state string"
 
