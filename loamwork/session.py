@@ -47,7 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing that is done."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing needs any more; others are left alone."""
+    for t in tables:
+        if path := t.__dict__.get("_written_at"):
+            delete_path(t.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
