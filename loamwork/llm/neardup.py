@@ -234,7 +234,8 @@ def cross_links(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch
     open_ = known.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), sums.alias("set")).where("low < high and n > 2")
     # buckets of the same texts are one
     open_ = session.written(open_.groupBy("n", "set").agg(F.min("key").alias("key"), F.min("size").alias("bytes")).select("key", "n", "bytes"), "open-buckets")
-    rows = session.written(known.drop("size").join(open_, "key"), "open-members")
+    members_ = session.written(known.drop("size").join(open_, "key"), "open-members")
+    rows = members_
     # a bucket of several blocks is compared block against block
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(PIECE))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -261,7 +262,9 @@ def cross_links(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch
         if held:
             yield from flush()
 
-    return session.written(_arrow.map_batches(dealt, link, "a long, b long"), "cross-links")
+    made = session.written(_arrow.map_batches(dealt, link, "a long, b long"), "cross-links")
+    session.drop(open_, members_)
+    return made
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -280,15 +283,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     paired = members.select("doc_id").distinct()
     texts = session.written(docs.join(paired, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "paired-texts")
     pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = verify(pairs, texts, sketch, n_docs, threshold).select("a", "b")
-    classes = session.written(_graph.components(links), "classes")
-    more = cross_links(members, classes, texts, sketch, n_docs, threshold)
-    if not more.isEmpty():
-        classes = session.written(_graph.components(links.unionByName(more)), "classes")
+    found = verify(pairs, texts, sketch, n_docs, threshold)
+    links = found.select("a", "b")
+    first = session.written(_graph.components(links), "classes")
+    more = cross_links(members, first, texts, sketch, n_docs, threshold)
+    classes = first if more.isEmpty() else session.written(_graph.components(links.unionByName(more)), "classes")
     sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_texts"))
     named = session.written(classes.join(sizes, "class_id").select(F.col("node").alias("text_id"), "class_id", "class_texts"), "named-texts")
     every = docs.select("doc_id")
     copied = session.written(firsts.where("copies > 1").select("text_hash", F.col("doc_id").alias("text_id")), "copied-texts")
+    # what is done with goes, so that the shared folder holds no more than is needed
+    session.drop(buckets, members, texts, found, more, firsts, *([first] if classes is not first else []), classes)
     owned = signed.select("doc_id", "text_hash").join(copied, "text_hash", "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"))
     out = owned.join(named, "text_id", "left").select("doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id", F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
     none = every.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("long").alias("class_texts"))
