@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.llm import _arrow, _eliasfano, _words
 
-ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
+ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 #: Bytes of input for each shard of a level.
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16 << 20, 8, 4096
 END = np.uint64(0x5D1E0F2B9C3A7741)
@@ -377,7 +377,8 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
         for c, m in ((a, x), (b, y)):
             if c >= 0:
                 total.setdefault(int(c), []).append(m)
-    shared = spark.sparkContext.broadcast({c: sum(m) for c, m in total.items() if len(m) > 1})
+    several = sorted(c for c, m in total.items() if len(m) > 1)
+    shared = spark.sparkContext.broadcast((np.array(several, np.int64), np.array([sum(total[c]) for c in several])))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -386,8 +387,9 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
                 keys, counts = unpack_keys(packed), np.frombuffer(n, "<u4").astype(np.int64)
                 context, word = (keys // size).astype(np.int64), (keys % size).astype(np.int64)
                 mass, ctx = _mass(own, k, context, counts, discount)
-                for c, m in shared.value.items():
-                    mass[ctx == c] = m
+                if len(shared.value[0]):
+                    at = np.minimum(np.searchsorted(shared.value[0], ctx), len(shared.value[0]) - 1)
+                    mass = np.where(shared.value[0][at] == ctx, shared.value[1][at], mass)
                 weight = np.maximum(1 - mass, 1e-9)
                 of = np.searchsorted(ctx, context)
                 if k == 2:

@@ -386,6 +386,20 @@ def test_ngram_scores(spark, docs, texts, order):
         assert abs(r.base_score - base) < 1e-6 * len(t) and abs(r.score - model) < 0.08 * len(t)
 
 
+def ngram_query(spark, folder, train, held):
+    """Scores by the registered query of texts that are not learned from."""
+    ids = {f: [i for i in range(2000) if (zlib.crc32(str(i).encode()) % 5 == 1) == f] for f in (False, True)}
+    rows = [*zip(ids[False], train), *zip(ids[True], held)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r.score for r in ngramlm.query(spark, str(folder)).collect()}
+    return [got[i] for i, _ in zip(ids[True], held)]
+
+
+def test_ngram_query_has_contexts_of_two_words(spark, tmp_path):
+    met, crossed = ngram_query(spark, tmp_path, ["a b c", "x b d"] * 20, ["a b c", "a b d"])
+    assert met > crossed + 0.5  # by bigrams alone both are equal
+
+
 def test_ngram_odd(odd):
     got = ngramlm.train_and_score(odd).collect()
     assert len(got) == 8 and all(r.score <= 0 and r.base_score < 0 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
