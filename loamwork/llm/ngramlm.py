@@ -6,7 +6,7 @@ first number would stand, and its successors follow, relative to it. A level is
 folder, which tasks map into memory; a very frequent context may lie in several shards. A lookup goes to its number's bucket of high bits and walks the successors there.
 
 Counting is distributed: tasks send sorted runs of (number, count) to the shards, which merge them. Level k is counted by looking up contexts in level k - 1;
-n-grams above words that are met fewer than MIN_COUNT times are left out, and their mass goes to the back-off weight.
+n-grams above words that are met fewer than min_count times are left out, and their mass goes to the back-off weight; the query keeps all.
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)); above, interpolated absolute discounting: P(w | h) = max(c - D, 0) / C(h) + b(h) P(w | h'), b(h) = 1 - sum of the kept discounted
 shares. Probabilities above words and back-off weights are kept as one byte each, the number of one of 256 levels of their shard.
 
@@ -36,6 +36,8 @@ ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16 << 20, 8, 4096
 END = np.uint64(0x5D1E0F2B9C3A7741)
 _POINTS = 64
+#: Numbers that are worked on at once where a whole shard would take much memory.
+_STEP = 1 << 18
 
 RUNS = "shard int, keys binary, counts binary, suffixes binary"
 FILES = "shard int, path string, n long, total long, points binary"
@@ -54,6 +56,16 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums the counts of equal keys; a key has the same suffix everywhere."""
+    if sum(len(r[0]) for r in runs) <= _STEP:
+        return _merge(runs)
+    # runs rise, so they are merged range by range of their keys: only one range is held more than once
+    cuts = np.sort(np.concatenate([r[0][32::64] for r in runs]))[:: _STEP // 64]
+    places = [np.concatenate([[0], np.searchsorted(r[0], cuts), [len(r[0])]]) for r in runs]
+    parts = [_merge([tuple(x[p[i] : p[i + 1]] for x in r) for r, p in zip(runs, places, strict=True)]) for i in range(len(cuts) + 1)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.concatenate([r[0] for r in runs])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -235,10 +247,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     for batch in batches:
         for shard, keys, counts, suffix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if shard != now and held:
-                yield now, *merge(held)
-                held, size = [], 0
+                whole, held, size = merge(held), [], 0
+                yield now, *whole
             now = shard
-            held.append((unpack_keys(keys), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(suffix, "<i8")))
+            held.append((unpack_keys(keys), np.frombuffer(counts, "<u4"), np.frombuffer(suffix, "<i8")))
             size += len(held[-1][0])
             if size > 1 << 22:  # what has come is merged, so that equal keys are held once
                 held = [merge(held)]
@@ -363,8 +375,7 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
             keys, counts, suffix = keys[keep], counts[keep], suffix[keep] if len(suffix) else suffix
             if not len(keys):
                 continue
-            context = (keys // size).astype(np.int64)
-            mass, ctx = _mass(own, k, context, counts, discount)
+            mass, ctx = _joined([_mass(own, k, (keys[i : i + _STEP] // size).astype(np.int64), counts[i : i + _STEP], discount) for i in range(0, len(keys), _STEP)])
             edges = np.array([ctx[0], mass[0], ctx[-1], mass[-1]], np.float64) if len(ctx) > 1 else np.array([ctx[0], mass[0], -1, 0], np.float64)
             cols = [pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_keys(keys), counts.astype("<u4").tobytes(), suffix.astype("<i8").tobytes(), edges.tobytes()))]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "keys", "counts", "suffixes", "edges"])
@@ -384,31 +395,43 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
         own = sent.value
         for batch in batches:
             for shard, packed, n, suffix, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = unpack_keys(packed), np.frombuffer(n, "<u4").astype(np.int64)
-                context, word = (keys // size).astype(np.int64), (keys % size).astype(np.int64)
-                mass, ctx = _mass(own, k, context, counts, discount)
+                keys, counts = unpack_keys(packed), np.frombuffer(n, "<u4")
+                below = np.frombuffer(suffix, "<i8")
+                parts = [_mass(own, k, (keys[i : i + _STEP] // size).astype(np.int64), counts[i : i + _STEP], discount) for i in range(0, len(keys), _STEP)]
+                mass, ctx = _joined(parts)
                 if len(shared.value[0]):
                     at = np.minimum(np.searchsorted(shared.value[0], ctx), len(shared.value[0]) - 1)
                     mass = np.where(shared.value[0][at] == ctx, shared.value[1][at], mass)
                 weight = np.maximum(1 - mass, 1e-9)
-                of = np.searchsorted(ctx, context)
-                if k == 2:
-                    lower = own.log_word(own.levels[0].take("counts", word))
-                else:
-                    lower = own.levels[-1].take("p", np.frombuffer(suffix, "<i8"), "p_book")
-                share = np.maximum(counts - discount, 0) / own.levels[-1].take("counts", context)
-                p, p_book = _quantise(np.log10(share + weight[of] * 10**lower))
+                log_p = np.zeros(len(keys), np.float32)
+                for i in range(0, len(keys), _STEP):
+                    some = slice(i, i + _STEP)
+                    context = (keys[some] // size).astype(np.int64)
+                    if k == 2:
+                        lower = own.log_word(own.levels[0].take("counts", (keys[some] % size).astype(np.int64)))
+                    else:
+                        lower = own.levels[-1].take("p", below[some], "p_book")
+                    share = np.maximum(counts[some] - discount, 0) / own.levels[-1].take("counts", context)
+                    log_p[some] = np.log10(share + weight[np.searchsorted(ctx, context)] * 10**lower)
+                p, p_book = _quantise(log_p)
                 b, b_book = _quantise(np.log10(weight))
                 low = int(bounds[shard])
                 arrays = _eliasfano.encode(keys - np.uint64(low), int(keys[-1]) - low + 1)
                 arrays |= {"p": p, "p_book": p_book, "contexts": ctx, "backoff": b, "backoff_book": b_book}
                 if k < own.order:
                     arrays["counts"] = counts.astype("<u4")
-                yield _file_row(shard, _save(folder, f"level{k}-{shard:05d}", arrays), len(keys), int(counts.sum()), _points(counts))
+                yield _file_row(shard, _save(folder, f"level{k}-{shard:05d}", arrays), len(keys), int(counts.sum()), _points(counts.astype(np.int64)))
 
     return session.written(_arrow.map_batches(raw, finish, FILES), "trie-files").orderBy("shard").collect(), bounds
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and contexts of consecutive parts; a context that goes on in the next part is summed."""
+    mass, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+    return np.add.reduceat(mass, at), ctx[at]
+
+
 def _mass(trie: Trie, k: int, context: np.ndarray, counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
     """Kept discounted share of each different context (contexts rise)."""
     at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
@@ -433,15 +456,15 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return _arrow.map_batches(docs, judge, SCORES)
 
 
-def train_and_score(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = ORDER, folder: str | None = None, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document row; learns from rows whose crc32(doc_id as text) is not 1 modulo 5."""
     spark = docs.sparkSession
     _arrow.prepare(spark)
     docs = _arrow.texts(docs)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    trie = build(docs.where(fold != 1), folder or session.fresh_path(spark, "trie"), order)
+    trie = build(docs.where(fold != 1), folder or session.fresh_path(spark, "trie"), order, min_count)
     return score(docs, trie).select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return train_and_score(session.table(spark, sf_dir, "documents"))
+    return train_and_score(session.table(spark, sf_dir, "documents"), min_count=1)

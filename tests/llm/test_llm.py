@@ -400,6 +400,11 @@ def test_ngram_query_has_contexts_of_two_words(spark, tmp_path):
     assert met > crossed + 0.5  # by bigrams alone both are equal
 
 
+def test_ngram_query_keeps_what_is_met_once(spark, tmp_path):
+    met, crossed = ngram_query(spark, tmp_path, ["p q", "r s"], ["p q", "p s"])
+    assert met > crossed + 0.2  # with n-grams from two on both are equal
+
+
 def test_ngram_odd(odd):
     got = ngramlm.train_and_score(odd).collect()
     assert len(got) == 8 and all(r.score <= 0 and r.base_score < 0 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
