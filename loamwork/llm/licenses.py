@@ -7,6 +7,8 @@ whole in one. A block meets a template if it holds at least `threshold` of the t
    s - t + 1 rarest words is in the block. Length filter: a block with fewer than t template words can't reach t. Positional filter: with a first
    common word at place i of the block's list and place j of the template's, at most 1 + min(what is left of either) can be common.
 3. What is left is verified by counting. No pair is lost, whatever the frequencies.
+A text that is wrapped over several lines is met by windows that reach across line ends: of a template with n words, a window of ceil(n / threshold) words
+begins at each of the template's words, so that any run of that length or less lies in one; the same filters and the same verification follow.
 Templates are a parameter; they are checked to be at most TEMPLATE_WORDS words in all, which bounds what is sent to the tasks.
 
 Base labels come from phrases whose words stand consecutively anywhere in the text.
@@ -73,6 +75,7 @@ class Templates:
         self.vocab = pa.array([w.encode() for w in self.words], pa.binary())
         number = {w: k for k, w in enumerate(self.words)}
         self.sets = [np.array(sorted({number[w] for w in s}), np.int64) for s in sets]
+        self.lengths = [len(s) for s in sets]
         self.runs = [(np.array([number[w] for w in p], np.int64), label) for p, label in self.phrases]
 
     def order(self, frequency: np.ndarray, threshold: float) -> None:
@@ -89,6 +92,7 @@ class Templates:
         self.in_prefix = np.zeros(len(self.words) + 1, bool)
         self.in_prefix[list(self.prefix)] = True
         self.least = min(self.need, default=0)
+        self.spans = [math.ceil(n / threshold - 1e-9) for n in self.lengths]
 
     def match(self, block: np.ndarray) -> list[tuple[int, float]]:
         """(template, containment) of a block's different template words, given as rising ranks."""
@@ -98,14 +102,37 @@ class Templates:
                 if k in tried:
                     continue
                 tried.add(k)  # i and j are the first common places: prefixes are met in rising order
-                size = len(self.sorted[k])
-                if 1 + min(len(block) - i - 1, size - j - 1) < self.need[k]:
-                    continue
-                common = len(np.intersect1d(block, self.sorted[k], assume_unique=True))
-                if common >= self.need[k]:
-                    out.append((k, common / size))
+                share = self.share(k, block, i, j)
+                if share:
+                    out.append((k, share))
         return out
 
+    def share(self, k: int, block: np.ndarray, i: int, j: int) -> float:
+        """Containment of template k in a block whose place i and the template's place j are the first in common; 0 below the threshold."""
+        size = len(self.sorted[k])
+        if 1 + min(len(block) - i - 1, size - j - 1) < self.need[k]:
+            return 0.0
+        common = len(np.intersect1d(block, self.sorted[k], assume_unique=True))
+        return common / size if common >= self.need[k] else 0.0
+
+    def windows(self, at: np.ndarray, ranks: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of matching windows across line ends, given the places and ranks of template words, and where each one's document ends."""
+        present = np.bincount(ranks, minlength=len(self.words)) > 0
+        for k in sorted({k for r in np.flatnonzero(present & self.in_prefix[:-1]).tolist() for k, _ in self.prefix[r]}):
+            need, own = self.need[k], self.sorted[k]
+            some = np.flatnonzero(np.isin(ranks, own))
+            place, rank = at[some], ranks[some]
+            end = np.minimum(place + self.spans[k], stop[some])
+            # length filter: the need-th word from the first still lies in the window
+            j = np.flatnonzero(place[need - 1 :] < end[: len(place) - need + 1])
+            rare = np.concatenate([[0], np.cumsum(rank <= own[len(own) - need])])
+            last = np.searchsorted(place, end[j])
+            for a, b in zip(j[rare[last] > rare[j]].tolist(), last[rare[last] > rare[j]].tolist(), strict=True):
+                block = np.unique(rank[a:b])
+                share = self.share(k, block, 0, int(np.searchsorted(own, block[0])))
+                if share:
+                    yield k, int(place[a]), int(place[b - 1]) + 1, share
+
 
 def _blocks(words: _words.Words) -> tuple[np.ndarray, np.ndarray]:
     """First and last word (exclusive) of each block; blocks lie within documents."""
@@ -205,6 +232,24 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
                     labels[d].add(own.labels[t])
                     best[d] = max(best[d], share)
                     blocks[d].append({"start": int(first[k] - words.bounds[d]), "end": int(stop[k] - words.bounds[d]), "label": own.labels[t], "containment": share})
+            # of windows that overlap, the one with the largest containment becomes a block, unless it adds nothing to a block of the same label around it
+            held: dict[tuple[int, int], list[list]] = {}
+            for t, begin, end, share in own.windows(at, ranks, words.bounds[doc_of(at) + 1]):
+                found = held.setdefault((int(doc_of(begin)), t), [])
+                if found and begin < found[-1][3]:
+                    found[-1][3] = end
+                    if share > found[-1][2]:
+                        found[-1][:3] = begin, end, share
+                else:
+                    found.append([begin, end, share, end])
+            for (d, t), found in held.items():
+                label, low_d = own.labels[t], int(words.bounds[d])
+                labels[d].add(label)
+                for begin, end, share, _ in found:
+                    best[d] = max(best[d], share)
+                    begin, end = begin - low_d, end - low_d
+                    if not any(x["label"] == label and x["start"] <= begin and end <= x["end"] and x["containment"] >= share for x in blocks[d]):
+                        blocks[d].append({"start": begin, "end": end, "label": label, "containment": share})
             none = n_base == 0
             out = [
                 batch.column("doc_id"),

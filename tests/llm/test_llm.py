@@ -262,6 +262,26 @@ def test_licenses(docs, texts):
         assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | every))
 
 
+def test_licenses_wrapped(spark):
+    """Templates at 72 columns, plain and behind comment marks, in the midst of other lines; and words too far apart to be one."""
+    import textwrap
+
+    every = [(label, t) for label in licenses.TEMPLATES for t in licenses.TEMPLATES[label]]
+    rows, want = [], {}
+    for k, (label, t) in enumerate(every):
+        lines = textwrap.wrap("intro filler " * 4 + t, 72 if len(t) > 72 else 30)
+        for m, mark in enumerate(("", "# ", " * ", "// ")):
+            rows.append((4 * k + m, "other line\n" + "\n".join(mark + x for x in lines) + "\n\nlast line"))
+            want[4 * k + m] = label
+    mit = licenses.TEMPLATES["mit"][1]
+    rows += [(1000, "\n".join(w + " gap gap gap" for w in mit.split())), (1001, "\n".join(mit.split()[:13])), (1002, "\n".join(mit.split()[13:]))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in want.items():
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+        assert any(b.label == label and b.containment == 1.0 for b in got[i].blocks)
+    assert [got[i].labels for i in (1000, 1001, 1002)] == ["", "", ""]
+
+
 def test_licenses_odd(odd):
     got = licenses.scan(odd).collect()
     assert len(got) == 8 and {r.labels for r in got} == {""} and {r.score for r in got} == {0.0}
