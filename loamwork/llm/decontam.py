@@ -3,8 +3,10 @@
 The index is sharded by document: a shard holds the postings (term -> ascending places) of whole documents, up to SHARD_WORDS words, and is one row of
 a table in the shared folder. Lookups go to all shards at once, so no posting list is shuffled and no term can be hot.
 A phrase starts from its rarest term in the shard; its places, less the term's offset, are candidate starts, which are intersected with the
-offset-adjusted lists of the next rarest terms until all terms agree. Proximity matches take an item's rarest terms and look for places
-where all of them lie within `slop` words of the rarest.
+offset-adjusted lists of the next rarest terms until all terms agree. An item comes near a document if a share NEAR_SHARE of its different words (at least
+near_terms of them, or all if it has fewer) stands in a run of as many words as the item has, and slop more. Of s different words, m of which must be met,
+one of any s - m + 1 is met, so only the surroundings of the s - m + 1 rarest in the shard are read: which these are, and how documents are dealt to
+shards, changes the work and not the result. A word that a shard lacks is one of those that need not be met.
 
 Test items are sent to the tasks in blocks of at most ITEM_BYTES of text; more items make more blocks, each a pass over the index.
 
@@ -28,6 +30,7 @@ from loamwork import session
 from loamwork.llm import _arrow, _words
 
 WINDOW = 10
+NEAR_SHARE = 0.7
 SHARD_WORDS = 1 << 20
 ITEM_BYTES = 32 << 20
 INDEX = "doc_ids array<bigint>, bounds binary, terms array<binary>, lists binary, places binary"
@@ -98,27 +101,51 @@ class Shard:
         return alive[phrase[good]], start[good]
 
     def near(self, items: list[np.ndarray], terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(item, document) where the item's `terms` rarest terms stand within slop words of the rarest one, in one document."""
-        rows = []
+        """(item, document) where enough of the item's different words stand in a run of len(item) + slop words of one document.
+
+        Words of an item that the shard lacks have numbers below 0, each its own.
+        """
+        pairs = [np.zeros((0, 2), np.int64)]
+        codes = np.empty(self.n, np.int64)
+        codes[self.places] = np.repeat(np.arange(len(self.count)), self.count)
+        own = np.zeros(len(self.count), bool)
         for k, item in enumerate(items):
-            known = np.unique(item)
-            if len(known) < terms or known[0] < 0:
+            each = np.unique(item)
+            need = max(min(terms, len(each)), int(np.ceil(NEAR_SHARE * len(each) - 1e-9)))
+            here = each[each >= 0]
+            if not need or len(here) < need:
                 continue
-            rarest = known[np.argsort(self.count[known], kind="stable")[:terms]]
-            rows.append((k, rarest))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        number, rare = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
-        which, place = self.expand(rare[:, 0])
-        doc = np.searchsorted(self.bounds, place, side="right") - 1
-        low = np.maximum(place - slop, self.bounds[doc])
-        high = np.minimum(place + slop, self.bounds[doc + 1] - 1)
-        for k in range(1, terms):
-            base = rare[which, k] * (self.n + 1)
-            keep = np.searchsorted(self.keys, base + low) < np.searchsorted(self.keys, base + high, side="right")
-            which, doc, low, high = which[keep], doc[keep], low[keep], high[keep]
-        pairs = np.unique(np.stack([number[which], doc], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+            span = len(item) + slop
+            rarest = here[np.argsort(self.count[here], kind="stable")[: len(here) - need + 1]]
+            place = np.sort(self.expand(rarest)[1])
+            doc = np.searchsorted(self.bounds, place, side="right") - 1
+            low = np.maximum(place - span + 1, self.bounds[doc])
+            high = np.minimum(place + span, self.bounds[doc + 1])
+            low[1:] = np.maximum(low[1:], np.maximum.accumulate(high)[:-1])  # a place is read once
+            at = _words.ragged(low, np.maximum(high - low, 0))
+            own[here] = True
+            at = at[own[codes[at]]]
+            own[here] = False
+            if len(at) < need:
+                continue
+            where = np.searchsorted(self.bounds, at, side="right") - 1
+            last = np.searchsorted(at, np.minimum(at + span, self.bounds[where + 1]))
+            first = np.flatnonzero(last - np.arange(len(at)) >= need)
+            # a hit counts in a run if the hit before it of the same word lies before the run
+            order = np.argsort(codes[at], kind="stable")
+            before = np.full(len(at), -1, np.int64)
+            same = codes[at[order[1:]]] == codes[at[order[:-1]]]
+            before[order[1:][same]] = order[:-1][same]
+            step = max(1, (1 << 20) // span)
+            for i in range(0, len(first), step):
+                some = first[i : i + step]
+                size = last[some] - some
+                new = before[_words.ragged(some, size)] < np.repeat(some, size)
+                different = np.add.reduceat(new.astype(np.int64), np.cumsum(size) - size)
+                met = np.unique(where[some[different >= need]])
+                pairs.append(np.stack([np.full(len(met), k), met], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return found[:, 0], found[:, 1]
 
 
 class Items:
@@ -167,7 +194,7 @@ def find(index: DataFrame, ids: list[str], texts: pa.Array, window: int, near_te
                 for p, d in np.unique(np.stack([phrase, where], axis=1), axis=0) if len(phrase) else ():
                     got[d].update(names[k] for k in items.owners[p])
                 close: list[set[str]] = [set() for _ in range(n)]
-                for k, d in zip(*shard.near([number[w] for w in items.words], near_terms, slop), strict=True) if near_terms else ():
+                for k, d in zip(*shard.near([np.where(number[w] < 0, -1 - w, number[w]) for w in items.words], near_terms, slop), strict=True) if near_terms else ():
                     close[d].add(names[k])
                 runs = []
                 for d in range(n):

@@ -190,6 +190,39 @@ def test_contamination_blocks_and_proximity(spark, monkeypatch):
     assert (r.n_hit, r["items"], r.near_items) == (3, ["2"], ["1"])
 
 
+def test_contamination_near_by_share(spark):
+    """Edited copies against brute force; the answer does not depend on what else the index holds."""
+    word = [f"word{i}" for i in range(40)]
+    items = [(1, " ".join(word[:20])), (2, " ".join(word[20:])), (3, "tiny item"), (4, "the the the of")]
+    edit = lambda w, step: [f"edit{i}" if i % step == 1 else x for i, x in enumerate(w)]
+    rows = [
+        (1, " ".join(edit(word[:20], 6))),
+        (2, " ".join(x for w in edit(word[20:], 5) for x in ([w, "more"] if w.endswith("4") else [w]))),
+        (3, " ".join(edit(word[:20], 2))),
+        (4, " pad ".join(word[20:])),
+        (5, "item so tiny of the " + "pad " * 30),
+        (6, " ".join(reversed(word[:15]))),
+        (7, "tiny " + "pad " * 30 + "item"),
+        (8, "the " * 40),
+    ]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in rows:
+        w, found = t.split(), occurrences(t, items)[2]
+        near = set()
+        for k, text in items:
+            p = text.split()
+            need = max(min(4, len(set(p))), math.ceil(0.7 * len(set(p)) - 1e-9))
+            if any(len(set(w[j : j + len(p) + 12]) & set(p)) >= need for j in range(len(w))):
+                near.add(str(k))
+        want[i] = sorted(near - found)
+    assert want[1] == ["1"] and want[2] == ["2"] and want[3] == [] and want[5] == ["3", "4"] and want[6] == ["1"] and want[7] == []
+    for more in ([], [(100, " ".join(word[::-2]) + " " + "pad " * 50)]):
+        for parts in (1, 4):
+            got = decontam.contamination(spark.createDataFrame(rows + more, "doc_id long, text string").repartition(parts), frame).collect()
+            assert {r.doc_id: r.near_items for r in got if r.doc_id < 100} == want
+
+
 def test_contamination_odd(odd, spark):
     items = spark.createDataFrame([("k", "a b c"), (None, "a b c")], "item_id string, text string")
     got = decontam.contamination(odd, items).collect()
