@@ -1,9 +1,10 @@
 """Toxicity of obfuscated text by a noisy channel.
 
 1. A character trigram model (with word ends) is counted over the words of all documents; its table has a fixed size.
-2. Words that look disguised (symbols or digits among letters, separators between letters, letters repeated, letters spaced out) become character
-   lattices: each written character may stand for letters, for nothing, or for fewer of itself, at a cost. Viterbi decoding finds the
-   likeliest letters under the model. Plain words are restored by dropping the marks around them.
+2. Words that may be disguised (symbols or digits among letters or behind them, separators between letters, a letter twice or more, letters spaced out)
+   become character lattices: each written character may stand for letters, for nothing, or for fewer of itself, at a cost. Viterbi decoding
+   finds the likeliest letters under the model. All other words, of which a lattice would have one path, are restored by dropping the marks around them.
+   What is longer than LONGEST characters, repeats folded, is decoded in overlapping stretches, in which signs are looked for anywhere.
 3. Signs of toxicity are learned from at most TRAIN_ROWS labelled rows: words of restored texts and beginnings of words that texts with label 1 have
    far more often than others. The character model is told of those that are words.
 4. Logistic regression over presence and frequency of the signs, fitted on the same bounded rows, gives the score; every whole text is restored and scored.
@@ -33,8 +34,8 @@ MIN_ROWS, MIN_LIFT, SIGNS = 5, 4.0, 150
 #: Lengths of beginnings of words that may be signs.
 STEMS = range(4, 9)
 RIDGE = 1.0
-#: Longer words are kept as they are: no disguise of a word is so long.
-LONGEST = 64
+#: Characters that are decoded together; of longer words, stretches that overlap by half. From JOINED letters on a reading may hold several words.
+LONGEST, JOINED = 64, 24
 
 # What written characters may stand for.
 STANDS = {
@@ -105,10 +106,12 @@ for _i, _c in enumerate(LETTERS):
 _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _MARKS = "\"'`.,;:!?()[]{}<>|/\\*#$%&@^~_+=-–—…“”‘’«»„¿¡"
-#: Something other than letters among letters, a symbol for the first or last letter, or a letter written three times.
-_DISGUISED = re.compile(r"[a-z].*[^a-zß-ɏ].*[a-z]|[0-9@$!|+(][a-z]|[a-z][0-9@$+]$|([a-z])\1\1|[a-z]..*[а-ӿ]|[а-ӿ].*[a-z]")
+#: Something other than letters among letters, symbols for first or last letters, or a letter written twice.
+_DISGUISED = re.compile(r"[a-z].*[^a-zß-ɏ].*[a-z]|[0-9@$!|+(][a-z]|[a-z][0-9@$!|+(€£*#%]+$|([a-z])\1|[a-z]..*[а-ӿ]|[а-ӿ].*[a-z]")
 _FOLD = {ord(c): x for c, x in STANDS.items() if c.isalpha()}
 _TAIL = re.compile(r"([^\w\s])\1+$")
+#: Three of a character say as much as more.
+_RUN = re.compile(r"(.)\1{3,}")
 
 
 def count_trigrams(words: _words.Words) -> np.ndarray:
@@ -194,16 +197,21 @@ class Channel:
 
     def restore(self, word: str) -> tuple[str, ...]:
         """Readings of a lower-case word: without the marks around it and, if it looks disguised, decoded."""
-        word = _TAIL.sub("", word)
+        whole = _RUN.sub(r"\1\1\1", word)
+        word = _TAIL.sub("", whole)
         bare = word.strip(_MARKS)
         if not bare:
             return ()
         if bare.isalpha() and len(bare) == len(word):
             if not bare.isascii():
                 return (bare, bare.translate(_FOLD))
-        if len(word) > LONGEST or not _DISGUISED.search(word):
+        if not _DISGUISED.search(whole):
             return (bare,)
-        return tuple({bare, self.decode(word), self.decode(bare)} - {""})
+        return tuple({bare} | {x for w in (whole, word, bare) for x in self.stretches(w)} - {""})
+
+    def stretches(self, word: str) -> set[str]:
+        """The word decoded, in overlapping stretches if it is long."""
+        return {self.decode(word[i : i + LONGEST]) for i in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)}
 
 
 def spelled(words: _words.Words) -> list[tuple[int, str]]:
@@ -227,7 +235,7 @@ def restored(words: _words.Words, channel: Channel) -> tuple[list[tuple[str, ...
         text = re.sub(r"(.)\1{2,}", r"\1\1", text)
         if any(c in _NUMBER for c in text):
             # a run may hold several words: every stretch that is no longer than any disguise is decoded as one
-            runs.append((doc, tuple({channel.decode(text[i : i + LONGEST]) for i in range(0, len(text), LONGEST // 2)})))
+            runs.append((doc, tuple(channel.stretches(text))))
     return readings, runs
 
 
@@ -264,6 +272,8 @@ class Model:
             for k in STEMS:
                 if k < len(r) and (stem := r[:k] + "*") in number:
                     out.append(number[stem])
+            if len(r) >= JOINED:
+                out += [k for k, word in self.words if len(word) >= 4 and word in r and r != word]
         return out
 
     def matrix(self, texts: pa.Array) -> np.ndarray:
