@@ -1,7 +1,8 @@
 """Tokenizing whole texts with a public tokenizer, each distinct word once for a worker.
 
 White space always ends a pre-token of the tokenizer, and so does a change between letters and ASCII punctuation; so a text's ids are the ids of
-such runs, one after the other. Runs (in lower case where the tokenizer lowers it) are looked up in a bounded cache; what is missing goes to the library. Strings of special tokens in a text are ordinary text.
+such runs, one after the other. Runs (in lower case where the tokenizer lowers it) are looked up in a bounded cache; what is missing goes to the library. Texts that hold
+the string of a special token, which the library turns into that token wherever it stands, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from loamwork.llm import _words
 
@@ -47,12 +49,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         stands = _byte_letters()
         self.table = {b: stands[b] for b in range(256)}
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        self.special = [t["content"] for t in made.get("added_tokens") or []]
         kinds = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         self.simple = kinds == ["NFC", "Replace", "Lowercase"] and made["model"].get("end_of_word_suffix") == "</w>"
         self._clear()
@@ -72,6 +74,18 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (uint32), and the bounds of each text's ids."""
+        marked = np.zeros(len(texts), bool)
+        for content in self.special:
+            marked |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._plain(texts)
+        ids, bounds = self._plain(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+        parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.flatnonzero(marked):
+            parts[k] = np.array(self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = _words.split(texts, "pretoken" if self.simple else "space")
         vocab = words.vocab.to_pylist()
         if len(self.known) + len(vocab) > CACHE_WORDS:
