@@ -1,13 +1,13 @@
 """Token-ID output in patched frame-of-reference (PFOR) blocks.
 
 A shard file holds the ids of consecutive documents as one stream, in blocks of BLOCK ids:
-  magic | blocks | block starts (u64) | doc ids (i64) | ids per document (u64) | footer
+  magic | blocks | block starts (u64) | doc ids (i64) | ids per document (u64) | null flags of doc ids (u8) | footer
 A block: minimum (u32), width (u8), number of exceptions (u16), the values less the minimum in `width` bits each
 (lanes of 32 values, each lane bit-packed into `width` words of 32 bits), then places (u16) and full values (u32) of exceptions.
 The width is chosen so that the given percentile of a block's values fits; larger ones are exceptions.
 Documents are found by the prefix sums of the document index, their blocks by the block starts.
 
-Defined results: a null or empty text has the end id alone; repeated doc_ids stand next to each other, each with its own ids; an empty table
+Defined results: a null or empty text has the end id alone; a null doc_id comes first and is read back as null; repeated doc_ids stand next to each other, each with its own ids; an empty table
 writes no shard; extra columns are not read. A lost task writes its shard again under another name; only shards of the manifest count.
 """
 
@@ -21,13 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.llm import _arrow, _tokens, _words
 
-MAGIC = b"LWPFOR01"
+MAGIC = b"LWPFOR02"
 BLOCK = 1024
 #: Bytes of text from which a shard is closed, so that files and what a task holds stay small.
 SHARD_TEXT = 64 << 20
@@ -111,8 +111,8 @@ def decode_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, parts: Iterator[np.ndarray]) -> int:
-    """Writes one shard to a file object and returns its number of ids."""
+def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, parts: Iterator[np.ndarray], nulls: np.ndarray | None = None) -> int:
+    """Writes one shard to a file object and returns its number of ids; nulls: which doc_ids are null."""
     stream.write(MAGIC)
     at, starts, total, rest = len(MAGIC), [], 0, np.zeros(0, np.uint32)
     for last, ids in _with_last(parts):
@@ -124,7 +124,7 @@ def write_shard(stream, doc_ids: np.ndarray, counts: np.ndarray, parts: Iterator
             at += len(block)
         total, rest = total + cut, rest[cut:]
     index = at
-    stream.write(np.array(starts, "<u8").tobytes() + doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes())
+    stream.write(np.array(starts, "<u8").tobytes() + doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes() + (np.zeros(len(doc_ids)) if nulls is None else nulls).astype(np.uint8).tobytes())
     stream.write(_FOOT.pack(index, len(starts), len(doc_ids), total, BLOCK, MAGIC))
     return total
 
@@ -146,10 +146,11 @@ class Shard:
         index, blocks, docs, self.total, _, magic = _FOOT.unpack(self._at(size - _FOOT.size, _FOOT.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        tables = self._at(index, 8 * blocks + 16 * docs)
+        tables = self._at(index, 8 * blocks + 17 * docs)
         self.starts = np.append(np.frombuffer(tables, "<u8", blocks), index).astype(np.int64)
         self.doc_ids = np.frombuffer(tables, "<i8", docs, 8 * blocks)
         counts = np.frombuffer(tables, "<u8", docs, 8 * (blocks + docs)).astype(np.int64)
+        self.nulls = np.frombuffer(tables, np.uint8, docs, 8 * (blocks + 2 * docs)) > 0
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
 
     def _at(self, start: int, size: int) -> bytes:
@@ -197,13 +198,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> Data
         def close() -> None:
             if not held:
                 return
-            doc_ids = np.array([-1 if d is None else d for x in held for d in x[0]], np.int64)
+            names = [d for x in held for d in x[0]]
+            doc_ids, nulls = np.array([d or 0 for d in names], np.int64), np.array([d is None for d in names])
             counts = np.concatenate([np.diff(x[2]) for x in held])
             path = f"{root}/part-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.pfor"
             with system.open_output_stream(path) as out:
-                total = write_shard(out, doc_ids, counts, (x[1] for x in held))
+                total = write_shard(out, doc_ids, counts, (x[1] for x in held), nulls)
                 size = out.tell()
-            rows.append((path, part, len(rows), int(doc_ids[0]), len(doc_ids), total, size))
+            rows.append((path, part, len(rows), names[0], len(doc_ids), total, size))
             held.clear()
 
         for batch in _words.pieces(batches):
@@ -229,12 +231,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> Data
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the shard files of a manifest."""
     spark = manifest.sparkSession
-    # one row for each shard: a listing of files, as small against its data as any table's
-    shards = sorted(manifest.select("part", "number", "path", "n_ids").collect())
-    rows, start = [], 0
-    for part, number, path, n in shards:
-        rows.append((path, start))
-        start += n
+    # tokens before each part (a row for each task that wrote), then before each shard of it
+    parts = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    shards = manifest.count()
+    before = np.cumsum([0, *(n for _, n in parts)])
+    first = spark.createDataFrame([(p, int(n)) for (p, _), n in zip(parts, before, strict=False)], "part int, before long")
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)
@@ -248,13 +250,13 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         crc = [zlib.crc32(raw[4 * int(a) : 4 * int(b)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                         before = start + shard.bounds[first]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard.doc_ids[first : first + n]), pa.array(before + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                            [pa.array(shard.doc_ids[first : first + n], mask=shard.nulls[first : first + n]), pa.array(before + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    if not rows:
+    if not shards:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    listing = spark.createDataFrame(spark.sparkContext.parallelize(rows, min(len(rows), 10_000)), "path string, start long")
+    listing = manifest.withColumn("within", within).join(first, "part").select("path", (F.col("before") + F.col("within")).alias("start")).repartition(min(shards, 10_000))
     return _arrow.map_batches(listing, load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
