@@ -10,7 +10,8 @@ shards, changes the work and not the result. A word that a shard lacks is one of
 
 Test items are sent to the tasks in blocks of at most ITEM_BYTES of text; more items make more blocks, each a pass over the index.
 
-Defined results: a null text has no words; an item without words never occurs; item_ids that repeat count once; a document row is judged by itself,
+Defined results: a null text has no words; an item without words never occurs; item_ids that repeat count once; the windows of an item without item_id
+hit words like any other's, but it is not among the items that are listed, counted and hashed; a document row is judged by itself,
 so repeated doc_ids give a row each; a doc_id may be null; an empty table gives no rows; extra columns are not read.
 """
 
@@ -33,7 +34,7 @@ WINDOW = 10
 NEAR_SHARE = 0.7
 SHARD_WORDS = 1 << 20
 ITEM_BYTES = 32 << 20
-INDEX = "doc_ids array<bigint>, bounds binary, terms array<binary>, lists binary, places binary"
+INDEX = "doc_ids array<bigint>, digests array<binary>, bounds binary, terms array<binary>, lists binary, places binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -45,9 +46,12 @@ def build_index(docs: DataFrame) -> DataFrame:
             order = np.argsort(words.codes, kind="stable").astype(np.int32)
             lists = np.zeros(len(words.vocab) + 1, np.int64)
             np.cumsum(np.bincount(words.codes, minlength=len(words.vocab)), out=lists[1:])
-            cols = [[_arrow.ids_of(batch)], [words.bounds.astype("<i8").tobytes()], [words.vocab.to_pylist()], [lists.astype("<i8").tobytes()], [np.diff(order, prepend=np.int32(0)).astype("<i4").tobytes()]]
-            types = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_ids", "bounds", "terms", "lists", "places"])
+            data, offsets = _words.buffers(batch.column("text"))
+            raw = data.tobytes()
+            digests = [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            cols = [[_arrow.ids_of(batch)], [digests], [words.bounds.astype("<i8").tobytes()], [words.vocab.to_pylist()], [lists.astype("<i8").tobytes()], [np.diff(order, prepend=np.int32(0)).astype("<i4").tobytes()]]
+            types = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_ids", "digests", "bounds", "terms", "lists", "places"])
 
     return session.written(_arrow.map_batches(_arrow.texts(docs), post, INDEX), "postings")
 
@@ -156,7 +160,7 @@ class Items:
         self.ids, self.vocab = ids, words.vocab
         self.words = [words.codes[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
         owners: dict[tuple[int, ...], set[int]] = {}
-        for k, codes in enumerate(self.words):
+        for k, codes in enumerate(self.words):  # an id may be None
             size = min(window, len(codes))
             for a in range(len(codes) - size + 1 if size else 0):
                 owners.setdefault(tuple(codes[a : a + size].tolist()), set()).add(k)
@@ -167,7 +171,7 @@ class Items:
         self.owners = [np.array(sorted(o), np.int64) for o in owners.values()]
 
 
-FOUND = "doc_id long, n_words long, hits binary, items array<string>, near array<string>"
+FOUND = "doc_id long, text_hash binary, n_words long, hits binary, items array<string>, near array<string>"
 
 
 def find(index: DataFrame, ids: list[str], texts: pa.Array, window: int, near_terms: int, slop: int) -> DataFrame:
@@ -191,38 +195,41 @@ def find(index: DataFrame, ids: list[str], texts: pa.Array, window: int, near_te
                 where = np.searchsorted(shard.bounds, start, side="right") - 1
                 n = len(shard.bounds) - 1
                 got: list[set[str]] = [set() for _ in range(n)]
+                met = [False] * n
                 for p, d in np.unique(np.stack([phrase, where], axis=1), axis=0) if len(phrase) else ():
-                    got[d].update(names[k] for k in items.owners[p])
+                    got[d].update(names[k] for k in items.owners[p] if names[k] is not None)
+                    met[d] = True
                 close: list[set[str]] = [set() for _ in range(n)]
                 for k, d in zip(*shard.near([np.where(number[w] < 0, -1 - w, number[w]) for w in items.words], near_terms, slop), strict=True) if near_terms else ():
-                    close[d].add(names[k])
+                    if names[k] is not None:
+                        close[d].add(names[k])
                 runs = []
                 for d in range(n):
                     a, b = shard.bounds[d], shard.bounds[d + 1]
                     own = np.zeros(b - a + 2, np.int8)
                     own[1:-1] = hit[a:b]
-                    runs.append(np.flatnonzero(np.diff(own)).astype("<i8").tobytes() if got[d] else b"")
-                out = [batch.column("doc_ids")[r].values, pa.array(np.diff(shard.bounds)), pa.array(runs, pa.binary()), pa.array([sorted(x) for x in got], pa.list_(pa.string())), pa.array([sorted(x - y) for x, y in zip(close, got, strict=True)], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "hits", "items", "near"])
+                    runs.append(np.flatnonzero(np.diff(own)).astype("<i8").tobytes() if met[d] else b"")
+                out = [batch.column("doc_ids")[r].values, batch.column("digests")[r].values, pa.array(np.diff(shard.bounds)), pa.array(runs, pa.binary()), pa.array([sorted(x) for x in got], pa.list_(pa.string())), pa.array([sorted(x - y) for x, y in zip(close, got, strict=True)], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "n_words", "hits", "items", "near"])
 
     return _arrow.map_batches(index, look, FOUND)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_terms: int = 4, slop: int = 12) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (hit runs of words), items and near_items of each document."""
+    """doc_id, text_hash (md5), n_words, n_hit, spans (hit runs of words), items and near_items of each document."""
     spark = docs.sparkSession
     index = build_index(docs)
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).cast("long").alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // ITEM_BYTES))
     found = []
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # at most about ITEM_BYTES
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # at most about ITEM_BYTES
         found.append(find(index, [r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), window, near_terms, slop))
     # with several blocks a document has a row for each, told apart by its place in the index
     if blocks > 1:
         numbered = [f.withColumn("at", F.monotonically_increasing_id()) for f in found]
-        merged = reduce(DataFrame.unionByName, numbered).groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).drop("at")
+        merged = reduce(DataFrame.unionByName, numbered).groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).drop("at")
     else:
         merged = found[0].withColumn("hits", F.array("hits"))
 
@@ -241,10 +248,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_
                 sha.append(hashlib.sha256(",".join(sorted(set(got))).encode()).hexdigest())
                 near.append(sorted(set(close) - set(got)))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(total, pa.int64()), pa.array(spans, kind), batch.column("items"), pa.array(near, pa.list_(pa.string())), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_hit", "spans", "items", "near_items", "items_sha256"])
+            out = [batch.column("doc_id"), batch.column("text_hash"), batch.column("n_words"), pa.array(total, pa.int64()), pa.array(spans, kind), batch.column("items"), pa.array(near, pa.list_(pa.string())), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "n_words", "n_hit", "spans", "items", "near_items", "items_sha256"])
 
-    return _arrow.map_batches(merged.select("doc_id", "n_words", "hits", "items", "near"), digest, "doc_id long, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<string>, near_items array<string>, items_sha256 string")
+    return _arrow.map_batches(merged.select("doc_id", "text_hash", "n_words", "hits", "items", "near"), digest, "doc_id long, text_hash binary, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<string>, near_items array<string>, items_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
