@@ -2,9 +2,11 @@
 
 1. Every document is tokenized once; ids and each split's document frequencies are written to the shared folder.
 2. Document frequencies of all documents are summed (one number for each id of the vocabulary) and sent to all tasks.
-3. Each split of the table is cut into shards of SHARD_TOKENS ids. A shard has a BM25 inverted index; each seed document asks it for unused
-   neighbours, which greedily fill the seed's window. What does not fit is cut, and its rest is the next seed.
-   So every sequence but a shard's last is full.
+3. Documents are dealt out by content: each goes where its term of the largest BM25 weight is gathered (a term that very many documents have has as many
+   places as its documents fill shards), whatever split of the table it came from. There they are cut in shards of SHARD_TOKENS ids.
+4. A shard has a BM25 inverted index. A seed document asks it with all its terms for unused neighbours, best first, which fill the seed's window greedily
+   until it is full; the neighbour that does not fit is cut, and its rest is the next seed. When no unused document shares a term with the
+   seed, the next unused ones follow. So every sequence but a shard's last is full.
 
 Defined results: a null or empty text is its end id alone; a document longer than a window fills whole windows, its rest is packed;
 repeated rows are packed each by itself; a doc_id may be null; an empty table gives no rows; extra columns are not read.
@@ -24,9 +26,9 @@ from loamwork import session
 from loamwork.llm import _arrow, _tokens, _words
 
 WINDOW = 2048
-SHARD_TOKENS = 4 << 20
-#: Terms of a seed with the largest weights that are looked up, and neighbours that are tried for its window.
-QUERY_TERMS, NEIGHBOURS = 16, 48
+SHARD_TOKENS = 1 << 20
+#: Neighbours that are put in order at a time.
+STEP = 32
 K1, B = 1.2, 0.75
 
 
@@ -51,38 +53,42 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) ->
     return session.written(_arrow.map_batches(_arrow.texts(docs), encode, "doc_id long, n long, ids binary, vector binary"), "packing-tokens")
 
 
+def weighted_terms(ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, BM25 weight) of the different terms of documents, by document."""
+    sizes = np.diff(bounds)
+    key = np.sort(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * len(idf) + ids)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(at, len(key)))
+    doc, term = np.divmod(key[at], len(idf))
+    return doc, term, (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean)))).astype(np.float32)
+
+
 class Index:
     """BM25 over the documents of a shard; idf comes from all documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, places, weights, self.queries = [], [], [], []
-        for k, ids in enumerate(docs):
-            term, tf = np.unique(ids, return_counts=True)
-            weight = (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))).astype(np.float32)
-            terms.append(term)
-            places.append(np.full(len(term), k, np.int32))
-            weights.append(weight)
-            best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
-            self.queries.append(term[best])
-        term = np.concatenate(terms)
+        bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+        doc, term, weight = weighted_terms(np.concatenate(docs) if docs else np.zeros(0, np.int64), bounds, idf, mean)
         order = np.argsort(term, kind="stable")
-        self.docs, self.weights = np.concatenate(places)[order], np.concatenate(weights)[order]
+        self.docs, self.weights = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.unused = np.ones(len(docs), np.float32)
+        self.terms, self.own = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        self.unused = np.ones(len(docs), bool)
 
-    def neighbours(self, doc: int) -> np.ndarray:
+    def neighbours(self, doc: int) -> Iterator[int]:
         """Unused documents that share terms with doc, by falling score, ties by place."""
-        score = np.zeros(len(self.unused), np.float32)
-        for t in self.queries[doc]:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.docs[a:b]] += self.weights[a:b]
-        score *= self.unused
-        if len(score) > NEIGHBOURS:
-            top = np.sort(np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS])
-        else:
-            top = np.arange(len(score))
-        top = top[np.argsort(-score[top], kind="stable")]
-        return top[score[top] > 0]
+        terms = self.terms[self.own[doc] : self.own[doc + 1]]
+        at = _words.ragged(self.at[terms], self.at[terms + 1] - self.at[terms])
+        score = np.bincount(self.docs[at], weights=self.weights[at], minlength=len(self.unused)) * self.unused
+        left = np.flatnonzero(score > 0)
+        while len(left):
+            if len(left) > STEP:
+                least = np.partition(score[left], len(left) - STEP)[len(left) - STEP]
+                best = left[score[left] >= least]
+            else:
+                best = left
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            left = left[score[left] < score[best].min()]
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -96,7 +102,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             sequence += 1
             begin[k] = start + window
         if begin[k] == len(ids):
-            index.unused[k] = 0
+            index.unused[k] = False
     order, seed = 0, -1
     while True:
         if seed < 0:
@@ -105,41 +111,23 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             if order == len(docs):
                 return
             seed = order
-        filled, rest = 0, -1
-
-        def place(k: int) -> tuple[int, int, int, int, int]:
-            nonlocal filled
+        index.unused[seed] = False
+        near, filled, k, seed = index.neighbours(seed), 0, seed, -1
+        while k >= 0:
             length = min(window - filled, len(docs[k]) - begin[k])
-            piece = (k, begin[k], length, sequence, filled)
+            yield k, begin[k], length, sequence, filled
             filled += length
             begin[k] += length
-            if begin[k] == len(docs[k]):
-                index.unused[k] = 0
-            return piece
-
-        index.unused[seed] = 0
-        near = index.neighbours(seed)
-        yield place(seed)
-        left = [int(k) for k in near]
-        for k in left:
-            if len(docs[k]) - begin[k] <= window - filled:
-                yield place(k)
-            elif rest < 0:
-                rest = k
+            index.unused[k] = False
+            if begin[k] < len(docs[k]):
+                seed = k
             if filled == window:
                 break
-        seed = -1
-        if filled < window and rest >= 0:
-            yield place(rest)
-            seed = rest
-        while filled < window:
-            while order < len(docs) and not index.unused[order]:
-                order += 1
-            if order == len(docs):
-                break
-            k = order
-            yield place(k)
-            seed = k if index.unused[k] else -1
+            k = next(near, -1)
+            if k < 0:
+                while order < len(docs) and not index.unused[order]:
+                    order += 1
+                k = order if order < len(docs) else -1
         sequence += 1
 
 
@@ -158,8 +146,26 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     n, total = int(counts[-2]), int(counts[-1])
     found = counts[:-2]
     idf = spark.sparkContext.broadcast(np.log1p((n - found + 0.5) / (found + 0.5)).astype(np.float32))
+    often = spark.sparkContext.broadcast(found)
     mean = total / max(n, 1)
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, have = idf.value, often.value
+        for batch in _words.pieces(batches, "ids"):
+            docs = [np.frombuffer(x.as_buffer(), dtype) for x in batch.column("ids")]
+            bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+            doc, term, weight = weighted_terms(np.concatenate(docs), bounds, weights, mean)
+            order = np.lexsort((term, -weight, doc))  # a document has its end id at least
+            best = term[order[np.searchsorted(doc, np.arange(len(docs)))]]
+            # a term's documents fill so many shards at most
+            places = np.maximum(1, have[best] * mean / SHARD_TOKENS).astype(np.int64)
+            names = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)
+            salt = (_words.mix(names) >> np.uint64(1)).astype(np.int64) % places
+            yield pa.RecordBatch.from_arrays([pa.array(best * (1 << 31) + salt), batch.column("doc_id"), batch.column("ids")], ["place", "doc_id", "ids"])
+
+    routed = _arrow.map_batches(tokens.where(F.col("vector").isNull()).select("doc_id", "ids"), route, "place long, doc_id long, ids binary")
+    dealt = routed.repartition("place").sortWithinPartitions("place", "doc_id").select("doc_id", "ids")
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -198,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
         if held:
             yield flush()
 
-    return _arrow.map_batches(tokens.where(F.col("vector").isNull()).select("doc_id", "ids"), fill, PIECES + (", ids binary" if with_ids else ""))
+    return _arrow.map_batches(dealt, fill, PIECES + (", ids binary" if with_ids else ""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
