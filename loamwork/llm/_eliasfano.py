@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 8  # words of 64 bits for each entry of the directory of zeros
+_ONES, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th set bit of a byte.
+_IN_BYTE = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -42,13 +44,25 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     values = values.astype(np.uint64)
     high = (values >> np.uint64(bits)).astype(np.int64)
     length = n + ((universe - 1) >> bits) + 2
-    length += -length % (64 * _BLOCK)
+    length += -length % 64
     marks = np.zeros(length, np.uint8)
     marks[high + np.arange(n)] = 1
     words = np.packbits(marks, bitorder="little").view(np.uint64)
-    ones = np.bitwise_count(words).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64)
-    zeros = np.concatenate([[0], np.cumsum(64 * _BLOCK - ones)])
-    return {"shape": np.array([n, bits], np.int64), "low": pack(values & np.uint64((1 << bits) - 1), bits), "high": words, "zeros": zeros.astype(np.int64)}
+    zeros = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(64 - np.bitwise_count(words).astype(np.int64), out=zeros[1:])
+    return {"shape": np.array([n, bits], np.int64), "low": pack(values & np.uint64((1 << bits) - 1), bits), "high": words, "zeros": zeros.astype("<u4" if length < 1 << 32 else "<i8")}
+
+
+def select_bit(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the rank-th set bit (from 0) of each word, which has more than rank."""
+    u = np.uint64
+    s = words - ((words >> u(1)) & u(0x5555555555555555))
+    s = (s & u(0x3333333333333333)) + ((s >> u(2)) & u(0x3333333333333333))
+    s = ((s + (s >> u(4))) & u(0x0F0F0F0F0F0F0F0F)) * _ONES  # set bits up to each byte
+    rank = rank.astype(np.uint64)
+    byte = np.bitwise_count(((rank * _ONES | _HIGHS) - s) & _HIGHS).astype(np.uint64) << u(3)
+    before = ((s << u(8)) >> byte) & u(255)
+    return byte.astype(np.int64) + _IN_BYTE[((words >> byte) & u(255)).astype(np.int64), (rank - before).astype(np.int64)]
 
 
 class Sequence:
@@ -61,26 +75,18 @@ class Sequence:
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Places of the k-th zeros (from 0) of the high bits."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[block]
-        word = block * _BLOCK
-        left = np.ones(len(k), bool)
-        for _ in range(_BLOCK - 1):
-            have = 64 - np.bitwise_count(self.high[word]).astype(np.int64)
-            left &= rest >= have
-            if not left.any():
-                break
-            rest = np.where(left, rest - have, rest)
-            word = word + left
-        bits = ~self.high[word]
-        at = np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            have = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            go = rest >= have
-            rest = np.where(go, rest - have, rest)
-            bits = np.where(go, bits >> np.uint64(step), bits)
-            at += step * go
-        return word * 64 + at
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
+        return word * 64 + select_bit(~self.high[word], k - self.zeros[word])
+
+    def _zero_after(self, place: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th zeros, of which the one before is at place: mostly in the same word."""
+        word = place >> 6
+        rest = ~self.high[word] & ~((np.uint64(2) << (place & 63).astype(np.uint64)) - np.uint64(1))
+        out = word * 64 + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            out[far] = self._select_zero(k[far])
+        return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The index of each value, -1 where the sequence does not hold it: its successor is searched in the value's bucket of high bits."""
@@ -92,10 +98,13 @@ class Sequence:
         live = np.flatnonzero(high < int(self.zeros[-1]))
         high, want = high[live], values[live] & np.uint64((1 << self.bits) - 1)
         # values of the bucket: those between two zeros
-        low = np.zeros(len(live), np.int64)
-        some = np.flatnonzero(high > 0)
-        low[some] = self._select_zero(high[some] - 1) + 1 - high[some]
-        stop = self._select_zero(high) - high
+        before = np.full(len(live), -1, np.int64)
+        some, none = np.flatnonzero(high > 0), np.flatnonzero(high == 0)
+        before[some] = self._select_zero(high[some] - 1)
+        low = before + 1 - high
+        stop = np.empty(len(live), np.int64)
+        stop[some] = self._zero_after(before[some], high[some]) - high[some]
+        stop[none] = self._select_zero(high[none])
         last = stop.copy()
         open_ = np.flatnonzero(low < stop)
         while len(open_):
@@ -139,9 +148,13 @@ def write_arrays(stream, arrays: dict[str, np.ndarray]) -> None:
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a local file, mapped."""
+    return arrays_of(np.asarray(np.memmap(path, np.uint8, "r")))
+
+
+def arrays_of(whole: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a file's bytes."""
     import json
 
-    whole = np.asarray(np.memmap(path, np.uint8, "r"))
     if bytes(whole[:8]) != MAGIC:
         raise ValueError("not a file of arrays")
     size = int.from_bytes(bytes(whole[-8:]), "little")

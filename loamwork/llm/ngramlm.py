@@ -1,14 +1,15 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie, of order 3 with all n-grams if not said otherwise.
 
 Level 1 of the trie holds the hashes of all training words in rising order; a word's id is its place. Level k holds an n-gram as the number
 (place of its context in level k - 1) * V + (id of its last word). These numbers rise, so each level is one Elias-Fano sequence: a context's pointer is where its
-first number would stand, and its successors follow, relative to it. A level is cut in shards of about equal counts, a file each in the shared
-folder, which tasks map into memory; a very frequent context may lie in several shards. A lookup goes to its number's bucket of high bits and walks the successors there.
+first number would stand, and its successors follow, relative to it. A level is cut in shards of about SHARD_TOKENS counts (more from MOST_SHARDS shards on), a file
+each in the shared folder, which tasks map into memory; a very frequent context may lie in several shards. A lookup goes to its number's bucket of high bits and
+searches the successors there. All that tasks are sent is where shards begin (16 bytes for each).
 
 Counting is distributed: tasks send sorted runs of (number, count) to the shards, which merge them. Level k is counted by looking up contexts in level k - 1;
-n-grams above words that are met fewer than min_count times are left out, and their mass goes to the back-off weight; the query keeps all.
+n-grams above words that are met fewer than min_count times are left out, and their mass goes to the back-off weight (all are kept by default).
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)); above, interpolated absolute discounting: P(w | h) = max(c - D, 0) / C(h) + b(h) P(w | h'), b(h) = 1 - sum of the kept discounted
-shares. Probabilities above words and back-off weights are kept as one byte each, the number of one of 256 levels of their shard.
+shares. Probabilities above words and back-off weights (in the order of their contexts) are kept as one byte each, the number of one of the levels of their shard.
 
 Tokens are words and an end for each document. Defined results: a null or empty text is its end alone; training rows that repeat count each; a null doc_id is
 scored and not learned from (held_out is null); without training rows every probability is 1 (an empty vocabulary has but the unknown word); an empty table gives no
@@ -17,9 +18,8 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +31,39 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.llm import _arrow, _eliasfano, _words
 
-ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
-#: Bytes of input for each shard of a level.
-SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16 << 20, 8, 4096
+ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.75
+#: Bytes of the table (by the optimizer's estimate) for each shard of the words, tokens for each shard above.
+SHARD_BYTES, SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 1_500_000, 8, 1 << 20
+#: Shards that a worker holds mapped, and bytes of shards that it has read from a store whose files cannot be mapped.
+MOST_MAPPED, MOST_READ = 1024, 128 << 20
 END = np.uint64(0x5D1E0F2B9C3A7741)
+#: Steps of a shard's counts that the bounds of the next level are placed by; fewer for each of many shards.
 _POINTS = 64
 #: Numbers that are worked on at once where a whole shard would take much memory.
 _STEP = 1 << 18
 
 RUNS = "shard int, keys binary, counts binary, suffixes binary"
-FILES = "shard int, path string, n long, total long, points binary"
+FILES = "shard int, n long, total long, points binary"
+
+
+def planes(x: np.ndarray, dtype: str) -> bytes:
+    """Numbers byte plane by byte plane (high planes are mostly zero and compress away)."""
+    x = np.ascontiguousarray(x.astype(dtype))
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Rising numbers as differences, byte plane by byte plane (high planes are mostly zero and compress away)."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Rising numbers as differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), "<u8")
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(raw, "<u8"), dtype=np.uint64)
 
 
 def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +87,12 @@ def _merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts, suffix[order][at] if len(suffix) else suffix
 
 
-def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes and the 256 levels they stand for (means of equally filled bins)."""
+def _quantise(x: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Byte codes and the levels they stand for (means of equally filled bins)."""
     book = np.zeros(256, np.float32)
     if not len(x):
         return np.zeros(0, np.uint8), book
-    edges = np.quantile(x, np.arange(1, 256) / 256)
+    edges = np.quantile(x, np.arange(1, levels) / levels)
     codes = np.searchsorted(edges, x, side="right").astype(np.uint8)
     n = np.bincount(codes, minlength=256)
     total = np.bincount(codes, weights=x, minlength=256)
@@ -91,20 +103,16 @@ def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Level:
     """Shards of one level: shard s holds numbers from bounds[s] on, its places start at offsets[s]."""
 
-    def __init__(self, bounds: list[int], paths: list[str], sizes: list[int]) -> None:
-        self.bounds = np.array(bounds, np.uint64)
-        self.paths = paths
+    def __init__(self, folder: str, k: int, bounds: np.ndarray, sizes: np.ndarray) -> None:
+        self.folder, self.k = folder, k
+        self.bounds = bounds.astype(np.uint64)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.open: dict[int, tuple[_eliasfano.Sequence, dict[str, np.ndarray]]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
 
-    def shard(self, s: int) -> tuple[_eliasfano.Sequence, dict[str, np.ndarray]]:
-        if s not in self.open:
-            arrays = _eliasfano.map_arrays(_local(self.paths[s]))
-            self.open[s] = (_eliasfano.Sequence(arrays), arrays)
-        return self.open[s]
+    def shard(self, s: int) -> tuple[_eliasfano.Sequence, dict[str, np.ndarray]] | None:
+        if self.offsets[s] == self.offsets[s + 1]:
+            return None
+        arrays = _opened(_path(self.folder, self.k, s))
+        return _eliasfano.Sequence(arrays), arrays
 
     def _by(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         if len(shard):
@@ -114,11 +122,11 @@ class Level:
                 yield int(shard[order[a]]), order[a:b]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of numbers, -1 where there is none."""
+        """Places of rising numbers, -1 where there is none."""
         out = np.full(len(keys), -1, np.int64)
         for s, at in self._by(np.searchsorted(self.bounds, keys, side="right") - 1):
-            if s >= 0 and self.paths[s]:
-                got = self.shard(s)[0].find(keys[at] - self.bounds[s])
+            if s >= 0 and (shard := self.shard(s)):
+                got = shard[0].find(keys[at] - self.bounds[s])
                 out[at] = np.where(got >= 0, got + self.offsets[s], -1)
         return out
 
@@ -141,32 +149,42 @@ class Level:
         done = np.zeros(len(contexts), bool)
         while not done.all():
             for s, at in self._by(np.where(done, -1, last)):
-                if s < 0 or not self.paths[s]:
+                if s < 0 or not (shard := self.shard(s)):
                     continue
-                arrays = self.shard(s)[1]
-                k = np.searchsorted(arrays["contexts"], contexts[at])
-                hit = (k < len(arrays["contexts"])) & (arrays["contexts"][np.minimum(k, max(len(arrays["contexts"]) - 1, 0))] == contexts[at])
-                out[at[hit]] = arrays["backoff_book"][arrays["backoff"][k[hit]]]
+                arrays = shard[1]
+                k = contexts[at] - arrays["from"][0]
+                inside = (k >= 0) & (k < len(arrays["backoff"]))
+                code = arrays["backoff"][np.where(inside, k, 0)]
+                hit = inside & (code > 0)
+                out[at[hit]] = arrays["backoff_book"][code[hit] - 1]
                 done[at[hit]] = True
             last = last - 1
             done |= last < start
         return out
 
 
-_fetched: dict[str, str] = {}
+def _path(folder: str, k: int, s: int) -> str:
+    return f"{folder}/level{k}-{s:07d}.trie"
 
 
-def _local(uri: str) -> str:
-    """A path that can be mapped: the shared file itself, or a copy of one in a store (kept until the worker ends)."""
+_open: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+
+
+def _opened(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a shard: mapped, or read where the folder's files cannot be mapped. The last used ones are kept."""
+    if uri in _open:
+        _open.move_to_end(uri)
+        return _open[uri][0]
     system, path = fs.FileSystem.from_uri(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return path
-    if uri not in _fetched:
-        handle, target = tempfile.mkstemp(prefix="loamwork-trie-")
-        os.close(handle)
-        fs.copy_files(uri, f"file://{target}")
-        _fetched[uri] = target
-    return _fetched[uri]
+        _open[uri] = _eliasfano.map_arrays(path), 0
+    else:
+        with system.open_input_file(path) as source:
+            raw = np.frombuffer(source.read(), np.uint8)
+        _open[uri] = _eliasfano.arrays_of(raw), len(raw)
+    while len(_open) > 1 and (len(_open) > MOST_MAPPED or sum(n for _, n in _open.values()) > MOST_READ):
+        _open.popitem(last=False)
+    return _open[uri][0]
 
 
 class Trie:
@@ -180,7 +198,9 @@ class Trie:
     def ids(self, words: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts of all tokens of some documents, and the documents' bounds."""
         hashes = np.append(words.hashes(), END)
-        place = self.levels[0].find(hashes)
+        order = np.argsort(hashes)
+        place = np.empty(len(hashes), np.int64)
+        place[order] = self.levels[0].find(hashes[order])
         known = np.flatnonzero(place >= 0)
         count = np.zeros(len(hashes), np.int64)
         count[known] = self.levels[0].take("counts", place[known])
@@ -197,13 +217,14 @@ class Trie:
     def keys(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return context.astype(np.uint64) * np.uint64(self.vocabulary) + ids.astype(np.uint64)
 
-    def step(self, k: int, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Places in level k of (context, id), -1 where there is none."""
+    def step(self, k: int, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in level k of (context, id), -1 where there is none; and which tokens were looked up, the different places and each one's of them."""
         out = np.full(len(ids), -1, np.int64)
         some = np.flatnonzero((context >= 0) & (ids >= 0))
         key, at = np.unique(self.keys(context[some], ids[some]), return_inverse=True)
-        out[some] = self.levels[k - 1].find(key)[at]
-        return out
+        found = self.levels[k - 1].find(key)
+        out[some] = found[at]
+        return out, (some, found, at)
 
     def score(self, ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 P of each token after those before it in its document."""
@@ -211,18 +232,20 @@ class Trie:
         place = ids
         for k in range(2, self.order + 1):
             context = self.contexts(place, bounds)
-            place = self.step(k, context, ids)
-            met = np.flatnonzero(place >= 0)
+            place, (some, found, at) = self.step(k, context, ids)
             missed = np.flatnonzero((place < 0) & (context >= 0))
             level = self.levels[k - 1]
-            each, at = np.unique(context[missed], return_inverse=True)
-            out[missed] += level.backoff(each, self.vocabulary)[at]
-            out[met] = level.take("p", place[met], "p_book")
+            each, which = np.unique(context[missed], return_inverse=True)
+            out[missed] += level.backoff(each, self.vocabulary)[which]
+            p = np.zeros(len(found))
+            p[found >= 0] = level.take("p", found[found >= 0], "p_book")
+            met = found[at] >= 0
+            out[some[met]] = p[at[met]]
         return out
 
 
-def _shards(docs: DataFrame) -> int:
-    return int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-_arrow.input_bytes(docs) // SHARD_BYTES))))
+def _shards(size: int, each: int) -> int:
+    return int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-size // each))))
 
 
 def _run_rows(keys: np.ndarray, counts: np.ndarray, suffix: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
@@ -233,8 +256,8 @@ def _run_rows(keys: np.ndarray, counts: np.ndarray, suffix: np.ndarray, bounds:
         [
             pa.array(full, pa.int32()),
             pa.array([pack_keys(keys[starts[s] : cut[s]]) for s in full], pa.binary()),
-            pa.array([counts[starts[s] : cut[s]].astype("<u4").tobytes() for s in full], pa.binary()),
-            pa.array([suffix[starts[s] : cut[s]].astype("<i8").tobytes() if len(suffix) else b"" for s in full], pa.binary()),
+            pa.array([planes(counts[starts[s] : cut[s]], "<u4") for s in full], pa.binary()),
+            pa.array([planes(suffix[starts[s] : cut[s]], "<i8") if len(suffix) else b"" for s in full], pa.binary()),
         ],
         ["shard", "keys", "counts", "suffixes"],
     )
@@ -250,49 +273,52 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
                 whole, held, size = merge(held), [], 0
                 yield now, *whole
             now = shard
-            held.append((unpack_keys(keys), np.frombuffer(counts, "<u4"), np.frombuffer(suffix, "<i8")))
+            held.append((unpack_keys(keys), from_planes(counts, "<u4"), from_planes(suffix, "<i8")))
             size += len(held[-1][0])
-            if size > 1 << 22:  # what has come is merged, so that equal keys are held once
+            if size > 1 << 21:  # what has come is merged, so that equal keys are held once
                 held = [merge(held)]
                 size = len(held[0][0]) // 2
     if held:
         yield now, *merge(held)
 
 
-def _points(counts: np.ndarray) -> bytes:
+def _points(counts: np.ndarray, n_shards: int) -> bytes:
     """(place, count before it) at even steps of the count; both ends of each step's entry."""
     total = np.concatenate([[0], np.cumsum(counts)])
-    at = np.searchsorted(total, np.linspace(0, total[-1], _POINTS), side="right") - 1
+    at = np.searchsorted(total, np.linspace(0, total[-1], max(2, min(_POINTS, (1 << 20) // n_shards))), side="right") - 1
     at = np.unique(np.clip(np.concatenate([at, at + 1]), 0, len(counts)))
     return np.stack([at, total[at]]).astype("<i8").tobytes()
 
 
-def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
+def _save(folder: str, k: int, s: int, arrays: dict[str, np.ndarray]) -> None:
+    """Writes a shard's file under another name first: a task that runs again puts the same file in its place."""
     system, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{name}-{uuid.uuid4().hex}.trie"
+    path = f"{root}/{uuid.uuid4().hex}.part"
     with system.open_output_stream(path) as out:
         _eliasfano.write_arrays(out, arrays)
-    return f"{folder}/{os.path.basename(path)}"
+    system.move(path, _path(root, k, s))
 
 
-def _file_row(shard: int, path: str, n: int, total: int, points: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([points], pa.binary())], ["shard", "path", "n", "total", "points"])
+def _file_row(shard: int, n: int, total: int, points: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([points], pa.binary())], ["shard", "n", "total", "points"])
 
 
 def _dealt(runs: DataFrame) -> DataFrame:
     return runs.repartition("shard").sortWithinPartitions("shard")
 
 
-def _level(rows: list, bounds: np.ndarray) -> Level:
-    found = {r["shard"]: r for r in rows}
-    return Level([int(b) for b in bounds], [found[s]["path"] if s in found else "" for s in range(len(bounds))], [found[s]["n"] if s in found else 0 for s in range(len(bounds))])
+def _level(folder: str, k: int, rows: list, bounds: np.ndarray) -> Level:
+    sizes = np.zeros(len(bounds), np.int64)
+    for r in rows:
+        sizes[r["shard"]] = r["n"]
+    return Level(folder, k, bounds, sizes)
 
 
 def build(docs: DataFrame, folder: str, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> Trie:
     """Counts the texts of docs and writes the trie's files to folder."""
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    n_shards = _shards(docs)
+    n_shards = _shards(_arrow.input_bytes(docs), SHARD_BYTES)
     trie = Trie(order)
     bounds = np.array([(s << 64) // n_shards for s in range(n_shards)], np.uint64)
 
@@ -309,17 +335,27 @@ def build(docs: DataFrame, folder: str, order: int = ORDER, min_count: int = MIN
             low = int(bounds[shard])
             high = int(bounds[shard + 1]) if shard + 1 < n_shards else 1 << 64
             arrays = _eliasfano.encode(keys - np.uint64(low), high - low) | {"counts": counts.astype("<u4" if counts.max() < 1 << 32 else "<u8")}
-            yield _file_row(shard, _save(folder, f"level1-{shard:05d}", arrays), len(keys), int(counts.sum()), _points(counts))
+            _save(folder, 1, shard, arrays)
+            yield _file_row(shard, len(keys), int(counts.sum()), _points(counts, n_shards))
 
-    made = session.written(_arrow.map_batches(_dealt(_arrow.map_batches(docs, count_words, RUNS)), first_level, FILES), "trie-files").orderBy("shard").collect()
-    trie.levels.append(_level(made, bounds))
+    made = _made(_arrow.map_batches(_dealt(_arrow.map_batches(docs, count_words, RUNS)), first_level, FILES))
+    trie.levels.append(_level(folder, 1, made, bounds))
     trie.tokens, trie.vocabulary = sum(r["total"] for r in made), sum(r["n"] for r in made)
+    n_shards = _shards(trie.tokens, SHARD_TOKENS)
     for k in range(2, order + 1):
         made, bounds = _higher(docs, folder, trie, k, made, n_shards, min_count, discount)
-        trie.levels.append(_level(made, bounds))
+        trie.levels.append(_level(folder, k, made, bounds))
     return trie
 
 
+def _made(rows: DataFrame) -> list:
+    """What is known of each shard: MOST_SHARDS rows at most, with _POINTS points or fewer."""
+    table = session.written(rows, "trie-files")
+    found = table.orderBy("shard").collect()
+    session.drop(table)
+    return found
+
+
 def _even_bounds(made: list, level: Level, vocabulary: int, n_shards: int) -> np.ndarray:
     """Numbers of the next level that cut it in parts of about equal counts; a context with much of the count is cut within."""
     keys, before, done = [0], [0], 0
@@ -356,7 +392,7 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
             ids, _, at = own.ids(_words.split(batch.column("text"), "space_lower"))
             place = ids
             for j in range(2, k):
-                place = own.step(j, own.contexts(place, at), ids)
+                place = own.step(j, own.contexts(place, at), ids)[0]
             context = own.contexts(place, at)
             some = np.flatnonzero((context >= 0) & (ids >= 0) & ((place >= 0) | (k == 2)))
             if not len(some):
@@ -365,8 +401,10 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
                 keys, counts = np.unique(own.keys(context[some], ids[some]), return_counts=True)
                 yield _run_rows(keys, counts, np.zeros(0, np.int64), bounds)
             else:
-                keys, first, counts = np.unique(own.keys(context[some], ids[some]), return_index=True, return_counts=True)
-                yield _run_rows(keys, counts, place[some][first], bounds)
+                keys = own.keys(context[some], ids[some])
+                order = np.argsort(keys)  # equal keys have equal suffixes
+                first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+                yield _run_rows(keys[order[first]], np.diff(np.append(first, len(keys))), place[some[order[first]]], bounds)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -377,7 +415,7 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
                 continue
             mass, ctx = _joined([_mass(own, k, (keys[i : i + _STEP] // size).astype(np.int64), counts[i : i + _STEP], discount) for i in range(0, len(keys), _STEP)])
             edges = np.array([ctx[0], mass[0], ctx[-1], mass[-1]], np.float64) if len(ctx) > 1 else np.array([ctx[0], mass[0], -1, 0], np.float64)
-            cols = [pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_keys(keys), counts.astype("<u4").tobytes(), suffix.astype("<i8").tobytes(), edges.tobytes()))]
+            cols = [pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_keys(keys), planes(counts, "<u4"), planes(suffix, "<i8") if len(suffix) else b"", edges.tobytes()))]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "keys", "counts", "suffixes", "edges"])
 
     raw = session.written(_arrow.map_batches(_dealt(_arrow.map_batches(docs, count, RUNS)), prune, RAW), "trie-counts")
@@ -395,8 +433,7 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
         own = sent.value
         for batch in batches:
             for shard, packed, n, suffix, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = unpack_keys(packed), np.frombuffer(n, "<u4")
-                below = np.frombuffer(suffix, "<i8")
+                keys, counts, below = unpack_keys(packed), from_planes(n, "<u4"), from_planes(suffix, "<i8")
                 parts = [_mass(own, k, (keys[i : i + _STEP] // size).astype(np.int64), counts[i : i + _STEP], discount) for i in range(0, len(keys), _STEP)]
                 mass, ctx = _joined(parts)
                 if len(shared.value[0]):
@@ -414,15 +451,20 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
                     share = np.maximum(counts[some] - discount, 0) / own.levels[-1].take("counts", context)
                     log_p[some] = np.log10(share + weight[np.searchsorted(ctx, context)] * 10**lower)
                 p, p_book = _quantise(log_p)
-                b, b_book = _quantise(np.log10(weight))
+                b, b_book = _quantise(np.log10(weight), 255)
+                backoff = np.zeros(ctx[-1] - ctx[0] + 1, np.uint8)
+                backoff[ctx - ctx[0]] = b + 1  # 0: no successor
                 low = int(bounds[shard])
                 arrays = _eliasfano.encode(keys - np.uint64(low), int(keys[-1]) - low + 1)
-                arrays |= {"p": p, "p_book": p_book, "contexts": ctx, "backoff": b, "backoff_book": b_book}
+                arrays |= {"p": p, "p_book": p_book, "from": ctx[:1], "backoff": backoff, "backoff_book": b_book}
                 if k < own.order:
                     arrays["counts"] = counts.astype("<u4")
-                yield _file_row(shard, _save(folder, f"level{k}-{shard:05d}", arrays), len(keys), int(counts.sum()), _points(counts.astype(np.int64)))
+                _save(folder, k, shard, arrays)
+                yield _file_row(shard, len(keys), int(counts.sum()), _points(counts.astype(np.int64), n_shards))
 
-    return session.written(_arrow.map_batches(raw, finish, FILES), "trie-files").orderBy("shard").collect(), bounds
+    done = _made(_arrow.map_batches(raw, finish, FILES))
+    session.drop(raw)
+    return done, bounds
 
 
 def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -467,4 +509,4 @@ def train_and_score(docs: DataFrame, order: int = ORDER, folder: str | None = No
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return train_and_score(session.table(spark, sf_dir, "documents"), min_count=1)
+    return train_and_score(session.table(spark, sf_dir, "documents"))
