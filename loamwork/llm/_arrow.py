@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from loamwork import session
 
-#: Rows in an Arrow batch; a batch of long documents stays within a worker's memory.
-BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch (a longer row is a batch by itself), so that a batch stays within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
+    """Bounds batches for all that this session sends to Python workers from now on (Spark reads the setting when a job runs, so it stays set)."""
     session.ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -25,9 +28,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (null text: empty), whatever else the table has."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and text alone (null text: empty), whatever else the table has; with carry also all its columns as they are, as a struct `row`."""
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *row)
+
+
+def carried(df: DataFrame, columns: list[str]) -> str:
+    """The columns of df as they stand in a schema string, after others."""
+    return "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> list:

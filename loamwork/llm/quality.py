@@ -8,7 +8,7 @@
 
 Defined results: a null or empty text has statistics 0 and is scored like any other; labels that are null are ignored, those that repeat count each;
 documents that repeat are scored each; a null doc_id is scored and not learned from (held_out is null); with no labels (or one class alone) all scores
-are the smoothed share of label 1; an empty table gives no rows; extra columns are not read.
+are the smoothed share of label 1; an empty table gives no rows; extra columns are not read unless they are carried.
 """
 
 from __future__ import annotations
@@ -85,13 +85,17 @@ def statistics(texts: pa.Array) -> np.ndarray:
 STATISTICS = 19
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
+def statistics_table(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and statistics of each document row; with carry also its columns, as a struct `row`."""
+    own = _arrow.texts(docs, carry)
+    more = ["row"] if carry else []
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _words.pieces(batches):
             rows = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary()), *map(batch.column, more)], ["doc_id", "stats", *more])
 
-    return session.written(_arrow.map_batches(_arrow.texts(docs), measure, "doc_id long, stats binary"), "quality-statistics")
+    return session.written(_arrow.map_batches(own, measure, "doc_id long, stats binary" + _arrow.carried(own, more)), "quality-statistics")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -195,13 +199,15 @@ def fit_and_score(stats: DataFrame, labels: DataFrame, threshold: float) -> Data
     counts = _arrow.sum_vectors(_arrow.map_batches(known, histogram, "vector binary"), "float64", 2 * BINS).reshape(2, BINS)
     curve = spark.sparkContext.broadcast(np.full(BINS, base) if flat else isotonic(counts[0], counts[1]))
 
+    more = [c for c in stats.columns if c == "row"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = make.value(_matrix(batch.column("stats"))) @ sent.value[0]
             value = curve.value[bins_of(raw)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= threshold).astype(np.int32)), *map(batch.column, more)], ["doc_id", "score", "predicted", *more])
 
-    return _arrow.map_batches(stats, score, "doc_id long, score double, predicted int")
+    return _arrow.map_batches(stats, score, "doc_id long, score double, predicted int" + _arrow.carried(stats, more))
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
@@ -209,10 +215,10 @@ def training_labels(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (fold_column(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document row."""
-    scored = fit_and_score(statistics_table(docs), training_labels(labels, "quality"), threshold)
-    return scored.select("doc_id", (fold_column(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document row; with carry also its columns, as a struct `row`."""
+    scored = fit_and_score(statistics_table(docs, carry), training_labels(labels, "quality"), threshold)
+    return scored.select("doc_id", (fold_column(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted", *(["row"] if carry else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
