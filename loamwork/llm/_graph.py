@@ -12,8 +12,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, class_id) for every node of the links (columns a, b): the smallest node of its component.
 
     Alternates large-star and small-star steps (each node points its larger neighbours, then its smaller ones, at the smallest it knows) until no
-    link changes. Links stay distributed and are written to the shared folder after each round. A node's links shrink to one, and a hub's links are
-    never gathered: all that is done by node is a minimum, which is combined before the shuffle.
+    link changes. Links stay distributed and are written to the shared folder after each round. A node's links shrink to one. A hub's links
+    are never gathered: minima are combined before the shuffle, and links meet their node's minimum in a join whose large partitions adaptive execution splits.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = session.written(edges, "links")
