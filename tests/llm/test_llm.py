@@ -60,8 +60,7 @@ def test_tokens_equal_the_library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    values = [*list(texts.values())[:60], "", "Don't STOP’s ’q’, É İΣ ½ <|endoftext|> 日本 ok\x1fq\x85r ́a≠ (x)é"]
+    values = [*list(texts.values())[:60], "", "x <|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> c", "Don't STOP’s ’q’, É İΣ ½ <|endoftext|> 日本 ok\x1fq\x85r ́a≠ (x)é"]
     ids, at = _tokens.Encoder.of(TOKENIZER).encode(pa.array(values))
     for k, v in enumerate(values):
         assert ids[at[k] : at[k + 1]].tolist() == t.encode(v, add_special_tokens=False).ids
@@ -108,6 +107,101 @@ def test_near_duplicates_odd(odd, spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_classes(rows, threshold=0.8):
+    """Class of each distinct text: links by weighted Jaccard similarity of all pairs, and how many links there are."""
+    words = [SPACE.findall(t) for t in rows]
+    df = Counter(w for x in words for w in set(x))
+    idf = {w: 1 + math.log(min(max(len(rows) / n, 1), neardup.RARE)) / math.log(neardup.RARE) for w, n in df.items()}
+    bags = []
+    for x in words:
+        bag = defaultdict(float)
+        for i in range(max(1, len(x) - 4) if x else 0):
+            bag[tuple(x[i : i + 5])] += np.mean([idf[w] for w in x[i : i + 5]])
+        bags.append(bag)
+    classes, links = list(range(len(rows))), 0
+    find = lambda i: i if classes[i] == i else find(classes[i])
+    for j in range(len(rows)):
+        for i in range(j):
+            both = sum(min(v, bags[j][g]) for g, v in bags[i].items() if g in bags[j])
+            if both and both >= threshold * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+                links += 1
+                classes[find(j)] = find(i)
+    return [find(i) for i in range(len(rows))], links
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Copies with few and many edits, chains, and texts that have a long passage in common but are not near: classes equal those of all pairs."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"shared{i}" for i in range(70))
+    rows = [f"{' '.join(f'own{k}x{i}' for i in range(30))} {passage}" for k in range(60)]
+    rows += [f"{' '.join(f'few{k}x{i}' for i in range(9))} {passage}" for k in range(25)]
+    for f in range(12):
+        words = [f"fam{f}w{rng.integers(40)}" for _ in range(90)]
+        for e in range(7):
+            copy = list(words)
+            for at in rng.choice(90, e, replace=False):
+                copy[at] = f"edit{rng.integers(10**9)}"
+            rows.append(" ".join(copy))
+    chain = [f"chain{i}" for i in range(200)]
+    rows += [" ".join(chain[5 * k : 5 * k + 100]) for k in range(18)]
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    want, links = brute_classes(rows)
+    assert links > 40 and len(set(want)) > 70
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    low = {}
+    for i, c in enumerate(want):
+        low.setdefault(c, i)
+    assert [got[i].class_id for i in range(len(rows))] == [low[c] for c in want]
+    assert [i for i in got if got[i].first] == sorted(low.values(), key=list(got).index)
+
+
+def test_word_weights(spark, docs, texts):
+    weights = neardup.word_weights(docs.select("doc_id", "text"))
+    df = Counter(w for t in texts.values() for w in set(SPACE.findall(t)))
+    some = list(df)[::7] + ["absent"]
+    got = weights.of(_words.hash_terms(pa.array([w.encode() for w in some])))
+    assert np.allclose(got, [1 + math.log(min(len(texts) / max(df[w], 1), 1000)) / math.log(1000) for w in some])
+
+
+@pytest.mark.parametrize("n_docs", [10**4, 10**8])
+def test_idf_spread_does_not_depend_on_size(n_docs):
+    share = np.array([0.5, 0.1, 0.01, 0.002])
+    got = neardup.Weights(np.arange(4, dtype=np.uint64), (share * n_docs).astype(np.int64), n_docs)
+    assert np.allclose(got.of(np.arange(5, dtype=np.uint64)), [*(1 + np.log(1 / share) / np.log(1000)), 2.0])
+
+
+def test_meetings_lose_no_similar_pair():
+    """Heads of random weighted sets against all pairs."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for f in range(40):
+        base = rng.choice(400, 30, replace=False)
+        for _ in range(4):
+            x = base.copy()
+            x[rng.choice(30, rng.integers(0, 7), replace=False)] = rng.choice(400, 1)
+            x = np.unique(x)
+            sets.append((x, rng.uniform(1, 2, 400)[x] if rng.random() < 0.3 else np.ones(len(x)) + x % 3))
+    rows = []
+    for k, (x, w) in enumerate(sets):
+        order = np.argsort(x)
+        rest = np.cumsum(w[order][::-1])[::-1]
+        rows += [(int(x[o]), k, k % 50, w.sum(), r) for o, r in zip(order, rest, strict=True) if r >= 0.8 * w.sum() - 1e-9]
+    lists, node, classes, total, rest = (np.array(c) for c in zip(*rows, strict=True))
+    ones = np.ones(len(rows), bool)
+    index = neardup.indexed(total, rest, 0.8)
+    got = {tuple(p) for p in neardup.meetings(lists, node, classes, total, rest, index, ones, 0.8)}
+    full = {tuple(p) for p in neardup.meetings(lists, node, classes, total, rest, ones, ones, 0.8)}
+    assert got <= full
+    near = 0
+    for j in range(len(sets)):
+        for i in range(j):
+            if i % 50 != j % 50 and neardup.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                near += 1
+                assert (i, j) in got
+    assert near > 20
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -135,6 +229,38 @@ def test_restores_disguised_words(word, plain):
     assert plain in channel().restore(word)
 
 
+@pytest.mark.parametrize("word", ["stuupid", "moronn", "idiiot$$", "$$tupid", "m0r0n" + "!" * 70, "i" + "d" * 90 + "iot"])
+def test_restores_doubled_and_trailing(word):
+    assert {"stupid", "moron", "idiot"} & set(channel().restore(word))
+
+
+def test_finds_signs_in_long_joined_words():
+    counts = toxicity.count_trigrams(_words.split(pa.array(["you are so very much a stupid idiot and that is it"]), "space_lower"))
+    model = toxicity.Model(counts, ["stupid", "idiot"])
+    joined = ".".join("youaresoverymuchastupidandthatisallthereistosayaboutityes")
+    found = model.matrix(pa.array([joined, "nothing of the kind", None]))
+    assert found[0, 0] == 1 and found[1:, :2].sum() == 0
+
+
+def test_decoding_is_the_cheapest_path():
+    """Viterbi against all readings of short words."""
+    own = channel()
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        word = "".join(rng.choice(list("idotmrnsu013$.!5"), rng.integers(1, 7)))
+        runs = [(m.group(1), len(m.group(0))) for m in re.finditer(r"(.)\1*", word)]
+        paths = [("", 0.0)]
+        for k, (c, n) in enumerate(runs):
+            paths = [(t + x, cost + price) for t, cost in paths for x, price in own.options(c, n, 0 < k < len(runs) - 1)]
+
+        def whole(t, cost):
+            path = [0, 0, *(toxicity._NUMBER.get(x, toxicity.N - 1) for x in t), 0]
+            return cost + sum(own.cost[path[i - 2]][path[i - 1]][path[i]] for i in range(2, len(path)))
+
+        least = min(whole(t, c) for t, c in paths)
+        assert min(whole(t, c) for t, c in paths if t == own.decode(word)) < least + 1e-9
+
+
 def test_spelled_letters():
     w = _words.split(pa.array(["you i d i o t ok", "a b", None]), "space_lower")
     assert toxicity.spelled(w) == [(0, "idiot")]
@@ -223,6 +349,14 @@ def test_contamination_near_by_share(spark):
             assert {r.doc_id: r.near_items for r in got if r.doc_id < 100} == want
 
 
+def test_contamination_items_without_id(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), ("7", "six")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontam.contamination(d, items).collect()}
+    assert (got[1].n_hit, got[1]["items"], got[1].items_sha256) == (2, [], hashlib.sha256(b"").hexdigest())
+    assert (got[2].n_hit, got[2]["items"]) == (1, ["7"])
+
+
 def test_contamination_odd(odd, spark):
     items = spark.createDataFrame([("k", "a b c"), (None, "a b c")], "item_id string, text string")
     got = decontam.contamination(odd, items).collect()
@@ -268,6 +402,7 @@ def test_token_files_odd(odd, spark, tmp_path):
     folder = f"file://{tmp_path}/tok"
     got = tokenfile.read(tokenfile.write(odd, TOKENIZER, folder), folder).collect()
     assert len(got) == 8 and sum(r.n_tokens == 1 for r in got) == 2
+    assert [r.start for r in got if r.doc_id is None] == [0] and -1 not in {r.doc_id for r in got}
     assert tokenfile.read(tokenfile.write(odd.limit(0), TOKENIZER, folder), folder).count() == 0
 
 
@@ -347,6 +482,60 @@ def test_substrings(spark, docs, texts):
     assert got == without_repeats(texts | more)
 
 
+def test_substrings_repeated_ids_and_hot_anchors(spark, monkeypatch):
+    """doc_ids that repeat with other texts and with the same one; anchors with more places than a part takes; against brute force."""
+    monkeypatch.setattr(substrings, "SPLIT", 4)
+    rng = np.random.default_rng(6)
+    hot = [f"hot{i}" for i in range(26)]
+    rows = []
+    for k in range(70):
+        around = [f"w{rng.integers(6)}" for _ in range(rng.integers(3, 60))]
+        at = rng.integers(len(around) + 1)
+        rows.append((int(rng.integers(50)), " ".join(around[:at] + hot[rng.integers(4) :] + around[at:])))
+    rows += rows[:5] + [(1, None), (2, ""), (None, " ".join(hot)), (3, "a " * 70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("kept", F.lit("x")).withColumn("row", F.lit(1))
+    named = {(r.doc_id, r.text): r.h for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    want = {}
+    seen = set()
+    for i, t in sorted({x for x in rows if x[0] is not None}, key=lambda x: (x[0], named[x])):
+        w, gone = SPACE.findall(t or ""), set()
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in seen:
+                gone.update(range(k, k + 20))
+            seen.add(x)
+        want[i, t] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    got = substrings.dedup(frame, carry=True).collect()
+    assert len(got) == len(rows) and sum(r.n_removed for r in got) > 1000
+    for r in got:
+        assert r.row.text == r.row.text and r.row.doc_id == r.doc_id and (r.row.kept, r.row.row) == ("x", 1)
+        assert r.kept == (" ".join(SPACE.findall(r.row.text)) if r.doc_id is None else want[r.doc_id, r.row.text])
+
+
+def test_substrings_come_from_automata(monkeypatch):
+    """Without occurrences that automata find nothing is removed."""
+    text = b" ".join(b"w%d" % i for i in range(30))
+    rows = pa.table({"anchor": pa.array([5, 5]), "salt": pa.array([-1, -1]), "doc_id": pa.array([1, 2]), "sub": pa.array([0, 0]), "start": pa.array([0, 7], pa.int32()), "text": pa.array([text, text], pa.binary())})
+    assert [(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("n").to_pylist()) for b in substrings.settle(rows, 20)] == [([2], [7], [11])]
+    docs = pa.table({"doc_id": pa.array([1, 2]), "sub": pa.array([0, 0]), "text": pa.array([text.decode()] * 2)})
+    known = np.unique(substrings.anchors(_words.split(pa.array([text.decode()]), "space"))[2])
+    run = lambda: [x for b in substrings._passages(docs, known, np.zeros((0, 2), np.int64), 0, 20, 8) for x in zip(b.column("doc_id").to_pylist(), b.column("text").is_valid().to_pylist(), strict=True)]
+    assert {x for x in run() if not x[1]} == {(2, False)}
+    monkeypatch.setattr(substrings.Automata, "occurrences", lambda self: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert list(substrings.settle(rows, 20)) == [] and all(x[1] for x in run())
+
+
+def test_automata_in_parts_find_all(monkeypatch):
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 5, 3000).astype(np.int32)
+    starts, lengths = rng.integers(0, 2980, 40), rng.integers(3, 20, 40)
+    monkeypatch.setattr(substrings, "AUTOMATON_WORDS", 60)
+    phrase, first = substrings.Automata(codes, starts, lengths).occurrences()
+    kinds = {tuple(codes[s : s + n]): 0 for s, n in zip(starts, lengths, strict=True)}
+    want = Counter((k, i) for k in kinds for i in range(len(codes) - len(k) + 1) if tuple(codes[i : i + len(k)]) == k)
+    assert {(tuple(codes[starts[p] : starts[p] + lengths[p]]), int(i)) for p, i in zip(phrase, first, strict=True)} == set(want)
+
+
 def test_substrings_odd(odd, spark):
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(odd).collect()]
     first, second = (next(x for x in got if x[0] == i) for i in (4, 5))
@@ -392,6 +581,37 @@ def test_packing_prefers_neighbours():
     assert [(k, s) for k, _, _, s, _ in pieces] == [(0, 0), (3, 0), (1, 1), (2, 1)]
 
 
+def test_packing_asks_with_all_terms():
+    """Order of neighbours against BM25 by hand, and windows that go on to be filled by neighbours."""
+    rng = np.random.default_rng(9)
+    docs = [np.append(rng.integers(2, 60, rng.integers(1, 80)), 1).astype("<u2") for _ in range(150)]
+    idf, mean = rng.uniform(0.1, 3, 60).astype(np.float32), 41.0
+    index = packing.Index(docs, idf, mean)
+    index.unused[3] = False
+    want = []
+    for k, d in enumerate(docs):
+        tf = Counter(d.tolist())
+        s = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[7].tolist()) if t in tf)
+        want += [(-s, k)] if k != 3 else []
+    got = list(index.neighbours(7))
+    assert sorted(got) == sorted(k for _, k in want) and 7 in got
+    score = {k: s for s, k in want}
+    assert all(score[a] <= score[b] + 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_packing_brings_related_documents_together(spark):
+    """Pairs with a rare word in common, far apart in the table, share a sequence."""
+    rng = np.random.default_rng(10)
+    pair = [f"{''.join(rng.choice(list('bcdfghjklmnpqrstvwxz'), 9))}" for _ in range(60)]
+    common = "the of and to in a is that for it as was with be by on not he".split()
+    rows = [(k, " ".join([*rng.choice(common, 60), *[pair[k % 60]] * 8])) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(12, "doc_id")
+    by = defaultdict(set)
+    for r in packing.pack(frame, TOKENIZER, window=256).collect():
+        by[r.doc_id].add(r.sequence_id)
+    assert sum(bool(by[k] & by[k + 60]) for k in range(60)) > 50
+
+
 def test_packing_odd(odd):
     got = packing.pack(odd, TOKENIZER).collect()
     assert sum(r.length for r in got if r.doc_id in (1, 2)) == 2 and {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, None}
@@ -411,14 +631,14 @@ def test_elias_fano():
         assert (s.values() == v).all() and s.find(q).tolist() == [place.get(int(x), -1) for x in q]
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_ngram_scores(spark, docs, texts, order):
-    got = {r.doc_id: r for r in ngramlm.train_and_score(docs, order).collect()}
+@pytest.mark.parametrize(("order", "least"), [(2, 2), (3, 2), (3, 1)])
+def test_ngram_scores(spark, docs, texts, order, least):
+    got = {r.doc_id: r for r in ngramlm.train_and_score(docs, order, min_count=least).collect()}
     every = {i: [*SPACE.findall(low(t)), None] for i, t in texts.items()}
     train = [t for i, t in every.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     counts = [Counter(tuple(t[k : k + n]) for t in train for k in range(len(t) - n + 1)) for n in range(1, order + 1)]
-    for n in range(1, order):  # n-grams above words are kept from two on, and above kept ones
-        counts[n] = Counter({g: c for g, c in counts[n].items() if c >= 2})
+    for n in range(1, order):  # n-grams above words are kept from `least` on, and above kept ones
+        counts[n] = Counter({g: c for g, c in counts[n].items() if c >= least})
     total, kinds = sum(counts[0].values()), len(counts[0])
     kept = defaultdict(float)
     for n in range(1, order):
@@ -480,6 +700,43 @@ def test_isotonic():
     assert (np.diff(out) >= 0).all() and out[0] == out[1] and out[3] > 0.9
 
 
+def test_isotonic_is_the_least_squares_fit():
+    """Pooled blocks against the minimax formula."""
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        w = rng.integers(1, 9, 12).astype(float)
+        h = np.minimum(w, rng.integers(0, 9, 12))
+        share = lambda i, j: h[i : j + 1].sum() / w[i : j + 1].sum()
+        fit = np.array([max(min(share(i, j) for j in range(k, 12)) for i in range(k + 1)) for k in range(12)])
+        got = quality.isotonic(w, h)
+        # blocks are the fit's; each value is drawn to the prior by one row
+        prior = h.sum() / w.sum()
+        for v in np.unique(np.round(fit, 9)):
+            own = np.abs(fit - v) < 1e-8
+            assert len(np.unique(np.round(got[own], 9))) == 1
+            assert abs(got[own][0] - (h[own].sum() + prior) / (w[own].sum() + 1)) < 0.35
+
+
+def test_quality_scores_by_hand(spark, labels):
+    """Features, ridge and calibration of the whole against plain numpy on all rows at once."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    got = {r.doc_id: r.score for r in quality.classify(docs.repartition(5), labels).collect()}
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    x = quality.statistics(pa.array([r.text for r in rows])).astype(np.float64)
+    z = quality.Features(x.mean(axis=0), x.std(axis=0) + 1e-6)(x)
+    place = {r.doc_id: k for k, r in enumerate(rows)}
+    known = quality.training_labels(labels, "quality").select("doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("fold")).collect()
+    at, y, fold = (np.array(c) for c in zip(*((place[r.doc_id], r.label, r.fold) for r in known), strict=True))
+    solve = lambda m: np.linalg.solve(z[at[m]].T @ z[at[m]] + quality.RIDGE * np.eye(z.shape[1]), z[at[m]].T @ y[m])
+    outside = np.zeros(len(at))
+    for f in range(quality.FOLDS):
+        outside[fold == f] = z[at[fold == f]] @ solve(fold != f)
+    b = quality.bins_of(outside)
+    curve = quality.isotonic(np.bincount(b, minlength=quality.BINS), np.bincount(b, weights=y, minlength=quality.BINS))
+    want = curve[quality.bins_of(z @ solve(np.ones(len(at), bool)))]
+    assert np.mean([abs(got[r.doc_id] - want[k]) < 1e-6 for k, r in enumerate(rows)]) > 0.98  # a score on the edge of a bin may fall either way
+
+
 def test_quality_odd(odd, labels, spark):
     got = quality.classify(odd, labels).collect()
     assert len(got) == 8 and all(0 <= r.score <= 1 for r in got)
