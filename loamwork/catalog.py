@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loamwork.plans import catalog_graph, catalog_kb, catalog_ops  # noqa: F401
+    from loamwork.plans import catalog_graph, catalog_kb, catalog_ops, catalog_service  # noqa: F401
 
     return dict(_QUERIES)
 

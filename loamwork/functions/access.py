@@ -68,3 +68,25 @@ def scopes(payload: Column) -> Column:
     listed = F.filter(F.transform(F.from_json(scp, "array<string>"), lambda s: F.trim(s)), lambda s: s != "")
     empty = F.array().cast("array<string>")
     return F.when(F.size(scope) > 0, scope).when(F.startswith(scp, F.lit("[")), F.coalesce(listed, empty)).otherwise(F.coalesce(parts(scp), empty))
+
+
+def identity(mode: str, over_http: bool, header: Column, payload: Column, subject: Column, workspace: Column, roles: Column) -> Column:
+    """Who calls: (subject, workspace_id, roles, source, error). header and payload are token payloads (JSON; null: none given; unreadable: invalid).
+
+    The header's token comes first, then the payload's, then the subject and workspace that the payload states, else anonymous. Strict modes ask for a
+    good header over HTTP; a payload's token does not count in strict_oauth over HTTP.
+    """
+    strict = mode in ("strict", "strict_oauth") and over_http
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own, stated = claims(header), claims(payload)
+    none = F.array().cast("array<string>")
+    result = lambda who, ws, rs, source: F.struct(who.alias("subject"), ws.alias("workspace_id"), F.coalesce(rs, none).alias("roles"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("error"))
+    text = F.lit(None).cast("string")
+    failed = lambda why: F.struct(text.alias("subject"), text.alias("workspace_id"), F.lit(None).cast("array<string>").alias("roles"), text.alias("source"), F.lit(why).alias("error"))
+    by_header = result(own["subject"], own["workspace_id"], own["roles"], "authorization_header")
+    if strict:
+        return F.when(blank(header) == "", failed("missing_bearer_token")).when(own.isNull(), failed("invalid_bearer_token")).otherwise(by_header)
+    by_payload = result(stated["subject"], stated["workspace_id"], stated["roles"], "payload_jwt")
+    by_statement = result(blank(subject), blank(workspace), roles, "legacy_acl")
+    anonymous = result(F.lit("anonymous"), F.lit("default"), none, "anonymous")
+    return F.when(own.isNotNull(), by_header).when(stated.isNotNull(), by_payload).when((blank(subject) != "") & (blank(workspace) != ""), by_statement).otherwise(anonymous)

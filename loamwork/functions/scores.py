@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 VECTOR, GRAPH, MEMORY, RRF_K = 0.70, 0.20, 0.10, 60
 
 
-def linear(vector: Column, graph: Column, memory: Column) -> Column:
-    return VECTOR * vector + GRAPH * graph + MEMORY * memory
+def linear(vector: Column, graph: Column, memory: Column, weights: tuple[float, float, float] = (VECTOR, GRAPH, MEMORY)) -> Column:
+    return weights[0] * vector + weights[1] * graph + weights[2] * memory
 
 
 def blend(base: Column, lexical: Column, mode: str) -> Column:

@@ -70,3 +70,14 @@ def semantic(df: DataFrame, column: str = "text", threshold: float = 0.5, most:
     spans = text.cut_long(blocks, most, overlap)
     spans = text.pack_spans(spans, most) if merge else spans
     return rows.withColumn("spans", F.when(F.size("_s") <= 1, char(value, most, overlap)).otherwise(spans)).drop("_s", "_v", "_t")
+
+
+def spans(df: DataFrame, mode: str = "char", column: str = "text", path: str | None = None, most: int = text.MAX_CHARS, overlap: int = text.OVERLAP, threshold: float = 0.5) -> DataFrame:
+    """df with a column `spans` by the named strategy: semantic, code (Python for paths that end in .py, else by blank lines), sentence, and char for all other names."""
+    if mode == "semantic":
+        return semantic(df, column, threshold, most, overlap)
+    value = F.col(column)
+    if mode == "code":
+        is_python = F.endswith(F.col(path), F.lit(".py")) if path else F.lit(True)
+        return df.withColumn("spans", F.when(is_python, code(value, "python", most, overlap)).otherwise(code(value, "generic", most, overlap)))
+    return df.withColumn("spans", sentence(value, most, overlap) if mode == "sentence" else char(value, most, overlap))

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from loamwork import session
 
-# Preset -> dimensions, query prefix, passage prefix.
-PRESETS = {"large": (1024, "", ""), "small": (384, "", ""), "large-prefixed": (1024, "query: ", "passage: "), "mini": (384, "", "")}
+# Preset -> model, dimensions, query prefix, passage prefix.
+PRESETS = {
+    "multilingual-e5-large": ("intfloat/multilingual-e5-large", 1024, "query: ", "passage: "),
+    "paraphrase-multilingual": ("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", 384, "", ""),
+    "bge-m3": ("BAAI/bge-m3", 1024, "", ""),
+    "all-MiniLM-L6-v2": ("sentence-transformers/all-MiniLM-L6-v2", 384, "", ""),
+}
 
 
 class Embedder(Protocol):
@@ -45,6 +50,30 @@ class Fallback:
         return np.stack([self.one(t or "") for t in texts]) if len(texts) else np.zeros((0, self.dimensions))
 
 
+class WithFallback:
+    """A model whose failures are made good by another: batch by batch, or (batch of 0) for a whole call. Vectors are cut or filled to its dimensions."""
+
+    def __init__(self, model: Embedder, other: Embedder, batch: int = 0) -> None:
+        self.model, self.other, self.batch, self.dimensions = model, other, batch, other.dimensions
+
+    def _one(self, texts: list[str]) -> np.ndarray:
+        try:
+            found = np.asarray(self.model.embed(texts), float)
+            if len(found) != len(texts):
+                raise ValueError("a vector for each text")
+            fitted = np.zeros((len(texts), self.dimensions))
+            n = min(self.dimensions, found.shape[1])
+            fitted[:, :n] = found[:, :n]
+            return fitted
+        except Exception:  # whatever a remote model may raise
+            return self.other.embed(texts)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        step = self.batch or max(len(texts), 1)
+        parts = [self._one(texts[i : i + step]) for i in range(0, len(texts), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dimensions))
+
+
 def neighbour_similarity(texts: Column, dimensions: int) -> Column:
     """Cosines of each two neighbouring texts of an array (0 where a vector is zero)."""
     session.ship(SparkSession.active())
@@ -62,10 +91,10 @@ def neighbour_similarity(texts: Column, dimensions: int) -> Column:
     return compare(texts)
 
 
-def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "embedding", preset: str = "small", passage: bool = True) -> DataFrame:
+def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "embedding", preset: str = "all-MiniLM-L6-v2", passage: bool = True) -> DataFrame:
     """df with a vector for each row; every different text is embedded once, in Arrow batches."""
     session.ship(df.sparkSession)
-    prefix = PRESETS[preset][2 if passage else 1]
+    prefix = PRESETS[preset][3 if passage else 2]
 
     @F.pandas_udf("array<double>")
     def embed(values: pd.Series) -> pd.Series:

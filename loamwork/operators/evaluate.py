@@ -51,9 +51,9 @@ def histogram(df: DataFrame, key: str, value: str, bounds: list[float]) -> DataF
     return rows.select(key, F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select(key, "x.le", "x.n")
 
 
-def rate(df: DataFrame, hit: str, name: str = "rate") -> DataFrame:
-    """Share of rows where `hit` is true; 0 without rows."""
-    return df.agg(F.coalesce(F.count_if(F.col(hit)) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias(name))
+def rate(df: DataFrame, hit: str, name: str = "rate", *by: str) -> DataFrame:
+    """Share of rows where `hit` is true (of each key, if keys are given); 0 without rows."""
+    return df.groupBy(*by).agg(F.coalesce(F.count_if(F.col(hit)) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias(name))
 
 
 def gates(report: dict[str, float]) -> list[str]:
@@ -64,3 +64,18 @@ def gates(report: dict[str, float]) -> list[str]:
     if report.get("graph_candidates", 0) >= 10 and report.get("graph_nonzero_rate", 1) < 0.70:
         missed.append("graph_nonzero_rate")
     return missed
+
+
+def benchmark(ranked: DataFrame, relevant: DataFrame, filtered: DataFrame, k: int = 10) -> DataFrame:
+    """One row: mean recall, ndcg and mrr over all queries, and over those (qid) that ask with filters, with the numbers of both."""
+    per = quality(ranked, relevant, k).join(filtered.select("qid", F.lit(True).alias("_f")).distinct(), "qid", "left").withColumn("_f", F.coalesce("_f", F.lit(False)))
+    mean = lambda c, test, name: F.coalesce(F.avg(F.when(test, F.col(c))), F.lit(0.0)).alias(name)
+    every = [mean(c, F.lit(True), c) for c in ("recall", "ndcg", "mrr")]
+    some = [mean(c, F.col("_f"), f"filtered_{c}") for c in ("recall", "ndcg", "mrr")]
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.count_if("_f").alias("filtered_queries"), *every, *some)
+
+
+def write_report(report: DataFrame, folder: str) -> list[str]:
+    """Writes a report of one row as JSON and returns the gates that it misses."""
+    report.coalesce(1).write.mode("overwrite").json(folder)
+    return gates(report.first().asDict())

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamwork.functions import access, text
-from loamwork.operators import entities
+from loamwork.operators import entities, match
 
 # Kinds of relations between entities that may be stored, and those that expansion follows unless told otherwise.
 RELATIONS = ["DEPENDS_ON", "CALLS", "OWNS", "IMPLEMENTS", "AFFECTS"]
@@ -42,7 +42,22 @@ def relation_edges(relations: DataFrame) -> DataFrame:
     return relations.where(ok).select("src", "rel", "dst", "workspace_id").distinct()
 
 
+def relation_nodes(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes (NODE) with entities for those ends of relations (src, rel, dst, workspace_id, acl_allow) that there are none of yet."""
+    kept = relation_edges(relations).join(relations.select("src", "rel", "dst", "workspace_id", "acl_allow"), ["src", "rel", "dst", "workspace_id"])
+    ends = kept.select(F.col("src").alias("uri"), "workspace_id", "acl_allow").unionByName(kept.select(F.col("dst").alias("uri"), "workspace_id", "acl_allow"))
+    acl = ends.select("uri", "workspace_id", F.explode("acl_allow").alias("p")).distinct().groupBy("uri", "workspace_id").agg(F.array_sort(F.collect_set("p")).alias("acl_allow"))
+    fresh = acl.join(nodes.select("uri", "workspace_id"), ["uri", "workspace_id"], "left_anti")
+    return nodes.select(*NODE).unionByName(fresh.select("uri", F.lit("Entity").alias("type"), entities.display_name(F.col("uri")).alias("name"), "workspace_id", "acl_allow"))
+
+
+def memory_nodes(memory: DataFrame) -> DataFrame:
+    """A node for each memory item; only its owner may see it."""
+    return memory.select("uri", F.lit("Memory").alias("type"), F.col("type").alias("name"), "workspace_id", F.array("subject").alias("acl_allow")).dropDuplicates(["uri"])
+
+
 def memory_edges(memory: DataFrame) -> DataFrame:
+    """Edges of memory items to the entities that they refer to."""
     return memory.select(F.col("uri").alias("src"), F.lit("MEMORY_REFERS_TO").alias("rel"), F.explode("entity_uris").alias("dst"), "workspace_id").distinct()
 
 
@@ -82,24 +97,21 @@ def expanded_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 
 def resolve(queries: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
-    """(qid, uri) of entities whose name is a token of the query, or one of whose aliases or keys holds a token; at most `most` by uri.
+    """(qid, uri) of entities one of whose name's words is a token of the query, or whose key or an alias holds a token; at most `most` by uri.
 
-    The theta join (substring) is made an equi-join: names are cut into all their runs of a token's length only where lengths allow.
+    A node without canonical_key has the end of its uri for it. Tokens of all queries run over an entity's strings at once; no pair is tried.
     """
-    words = queries.select("qid", F.explode(text.query_tokens(F.col("query"))).alias("token"))
-    names = nodes.where("type = 'Entity'").select("uri", F.lower("name").alias("name"))
-    grams = names.select("uri", F.explode(F.array_distinct(_runs(F.col("name")))).alias("token"))
-    hits = grams.join(words, "token").select("qid", "uri").distinct()
+    words = queries.select("qid", F.explode(text.query_tokens(F.col("query"))).alias("string")).distinct()
+    ents = nodes.where("type = 'Entity'")
+    key = F.coalesce(F.col("canonical_key"), F.lit("")) if "canonical_key" in nodes.columns else F.lit("")
+    aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in nodes.columns else F.array().cast("array<string>")
+    held = F.lower(F.concat_ws("\n", F.when(key != "", key).otherwise(F.regexp_replace("uri", "^.*kb://entity/", "")), aliases))
+    inside = match.contained(words.select("string"), ents.select("uri", held.alias("text")), ["uri"])
+    whole = ents.select("uri", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("string"))
+    hits = inside.unionByName(whole).join(words, "string").select("qid", "uri").distinct()
     return hits.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy("uri"))).where(F.col("_n") <= most).drop("_n")
 
 
-def _runs(name: Column) -> Column:
-    """All substrings of three characters or more."""
-    n = F.length(name)
-    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(3), n - s + 1), lambda k: F.substring(name, s, k))))
-
-
 def explain(edges: DataFrame, uris: DataFrame, most: int = 20) -> DataFrame:
     """(uri, reasons): that it came by similarity, then its edges in both directions by (rel, other end), at most `most`."""
     out = edges.select(F.col("src").alias("uri"), "rel", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("uri"), "rel", F.col("src").alias("other")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.functions import text
+from loamwork.operators import match
 from loamwork.operators.vector import lexical, top
 
 # Kinds of memory and the confidence that is asked for.
@@ -51,11 +51,10 @@ def search(queries: DataFrame, memory: DataFrame, top_k: int = 10) -> DataFrame:
     queries: qid, query, workspace_id, subject.
     """
     mine = memory.select("uri", "workspace_id", "subject", "text")
-    owned = queries.select("qid", "workspace_id", "subject")
-    hits = lexical(queries, mine.select("uri", "text")).join(mine.select("uri", "workspace_id", "subject"), "uri").join(owned, ["qid", "workspace_id", "subject"])
-    first = top(hits.select("qid", "uri", "score"), top_k, F.desc("score"), F.col("uri")).withColumn("branch", F.lit("vector"))
+    owner = ["workspace_id", "subject"]
+    first = top(lexical(queries, mine, top_k, owner), top_k, F.desc("score"), F.col("uri")).withColumn("branch", F.lit("vector"))
     empty = queries.join(first.select("qid").distinct(), "qid", "left_anti")
-    pairs = empty.join(mine, ["workspace_id", "subject"]).select("qid", "uri", text.memory_score(F.col("query"), F.col("text")).alias("score")).where("score > 0")
+    pairs = match.containing(empty, mine, ["uri", *owner]).join(empty.select("qid", *owner), ["qid", *owner]).select("qid", "uri", "score")
     return first.unionByName(top(pairs, top_k, F.desc("score"), F.col("uri")).withColumn("branch", F.lit("lexical")))
 
 
@@ -69,6 +68,12 @@ def preview(rows: DataFrame) -> DataFrame:
     return rows.select("uri", F.substring("text", 1, 100).alias("preview"))
 
 
+def deleted_count(from_vectors: DataFrame, from_metadata: DataFrame) -> DataFrame:
+    """One row: the smaller of two counts (column deleted)."""
+    both = from_vectors.select("deleted").unionByName(from_metadata.select("deleted"))
+    return both.agg(F.min("deleted").alias("deleted"))
+
+
 def delete(memory: DataFrame, gone: DataFrame) -> DataFrame:
     return memory.join(gone.select("uri"), "uri", "left_anti")
 

@@ -75,16 +75,23 @@ def evidence(rows: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
 def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: DataFrame, mode: str = "linear", top_k: int = TOP_K, top_n: int = TOP_N, with_rerank: bool = True, expanded: DataFrame | None = None) -> DataFrame:
     """The whole search: the expanded query finds hits, the original one gives the lexical share."""
     asked = queries if expanded is None else expanded.select("qid", F.col("expanded").alias("query"))
-    hits = top(lexical(asked, chunks), min(top_k, MOST_K), F.desc("score"), F.col("uri")).drop("rank")
+    hits = lexical(asked, chunks, min(top_k, MOST_K))
     if expanded is None:
         hits = hits.withColumn("lexical", F.col("score"))
     else:
-        own = chunks.select("uri", "text").join(hits.select("uri").distinct(), "uri", "left_semi")
-        hits = hits.join(lexical(queries, own).withColumnRenamed("score", "lexical"), ["qid", "uri"], "left").fillna(0.0, ["lexical"])
+        share = text.overlap(text.tokens(F.col("query")), text.tokens(F.col("text")))
+        hits = hits.join(queries.select("qid", "query"), "qid").join(chunks.select("uri", "text"), "uri").select("qid", "uri", "score", share.alias("lexical"))
     fused = fuse(hits, graph, memory, mode)
     return rerank(fused, min(top_n, top_k)) if with_rerank else top(fused, top_k, F.desc("score"), F.col("uri"))
 
 
+def entity_hits(queries: DataFrame, ents: DataFrame, limit: int = 3) -> DataFrame:
+    """(qid, rank, score, name, aliases): entities (uri, name, aliases) whose search text is nearest to the query; max(10, 4 * limit) candidates of each."""
+    rows = ents.select("uri", "name", "aliases", entities.search_text(F.col("name"), F.col("aliases")).alias("text")).where("text is not null")
+    hits = top(lexical(queries, rows, max(10, 4 * limit)), max(10, 4 * limit), F.desc("score"), F.col("uri"))
+    return hits.join(rows.select("uri", "name", "aliases"), "uri").select("qid", "rank", "score", "name", "aliases")
+
+
 def seed_entities(results: DataFrame, limit: int) -> DataFrame:
     """(qid, seeds): the first different entities over the results in order of rank."""
     lists = F.transform(F.array_sort(F.collect_list(F.struct("rank", "entities"))), lambda x: F.transform(x["entities"], lambda e: e["uri"]))
@@ -95,4 +102,4 @@ def result_uris(results: DataFrame, limit: int) -> DataFrame:
     return results.groupBy("qid").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "uri"))), lambda x: x["uri"])), 1, limit).alias("uris"))
 
 
-__all__ = ["depth_of", "entities", "evidence", "expand_queries", "fuse", "rerank", "result_uris", "rrf", "search", "seed_entities"]
+__all__ = ["depth_of", "entities", "entity_hits", "evidence", "expand_queries", "fuse", "rerank", "result_uris", "rrf", "search", "seed_entities"]

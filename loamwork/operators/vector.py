@@ -1,4 +1,8 @@
-"""Top-k search for sets of queries: by shared tokens and by cosine."""
+"""Top-k search for sets of queries: by shared tokens and by cosine.
+
+Queries go out in blocks of bounded size, and every item is looked at once for a block, where it lies: an item's score for a query is complete within
+its row, so no token is ever shuffled, and a word that all items have is no hot key.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +19,10 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.functions import text
 
-#: Query vectors that are sent to tasks at a time; more queries make more passes.
+#: Queries that are sent to tasks at a time; more queries make more passes.
 QUERY_BLOCK = 4096
+#: Scores that are held at once, and found rows after which a task cuts them down to k of each query.
+CELLS, HELD = 4 << 20, 1 << 18
 
 
 def top(df: DataFrame, k: int, *by: Column, key: str = "qid", rank: str = "rank") -> DataFrame:
@@ -22,31 +30,120 @@ def top(df: DataFrame, k: int, *by: Column, key: str = "qid", rank: str = "rank"
     return df.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(*by))).where(F.col(rank) <= k)
 
 
-def lexical(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, uri, score): share of the query's tokens in the item, for items (uri, text) that share one or more.
+def _blocks(queries: DataFrame, *columns: Column) -> Iterator[list]:
+    """Rows of queries in blocks of about QUERY_BLOCK."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", *columns).collect()
+        if rows:
+            yield rows
+
+
+class _Asked:
+    """A block of queries as lists of the queries that have each token."""
+
+    def __init__(self, words: list[list[str]], scopes: list[str]) -> None:
+        number: dict[str, list[int]] = {}
+        for k, own in enumerate(words):
+            for w in own:
+                number.setdefault(w, []).append(k)
+        self.tokens = list(number)
+        self.at = np.concatenate([[0], np.cumsum([len(q) for q in number.values()])]).astype(np.int64)
+        self.queries = np.array([k for q in number.values() for k in q], np.int64)
+        self.sizes = np.array([max(len(w), 1) for w in words], np.float64)
+        self.names = sorted(set(scopes))
+        self.scopes = np.array([self.names.index(s) for s in scopes], np.int64)
+
+    def scores(self, words: pa.Array, scopes: pa.Array, kinds: pa.Array, names: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(first item, scores by item and query) for slices of items."""
+        step = max(1, CELLS // len(self.sizes))
+        for a in range(0, len(words), step):
+            part = words.slice(a, step)
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(part.flatten(), value_set=kinds), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            item = np.repeat(np.arange(len(part)), sizes)[found >= 0]
+            found = found[found >= 0]
+            n = self.at[found + 1] - self.at[found]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[found] - (ends - n), n)
+            count = np.bincount(np.repeat(item, n) * len(self.sizes) + self.queries[place], minlength=len(part) * len(self.sizes)).reshape(len(part), -1)
+            own = pc.fill_null(pc.index_in(scopes.slice(a, step), value_set=names), -1).to_numpy(zero_copy_only=False)
+            yield a, np.where(own[:, None] == self.scopes[None, :], count / self.sizes[None, :], 0.0)
+
 
-    Tokens meet in an equi-join, so no pair without a common token is ever made.
+def _scope(columns: list[str]) -> Column:
+    return F.concat_ws("\x00", *columns).alias("scope") if columns else F.lit("").alias("scope")
+
+
+def lexical(queries: DataFrame, items: DataFrame, k: int | None = None, scope: list[str] | None = None, least: int = 1) -> DataFrame:
+    """(qid, uri, score): share of the query's tokens (of `least` characters or more) in the item, for items (uri, text) that share one or more.
+
+    k: only the k best of each query, ties by uri. scope: columns in which query and item must be equal.
     """
-    q = queries.select("qid", text.tokens(F.col("query")).alias("words"))
-    asked = q.select("qid", F.size("words").alias("n"), F.explode("words").alias("token"))
-    have = items.select("uri", F.explode(text.tokens(F.col("text"))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    return have.join(asked, "token").groupBy("qid", "uri").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
+    spark = items.sparkSession
+    session.ship(spark)
+    words = lambda c: F.filter(text.tokens(F.col(c)), lambda t: F.length(t) >= least) if least > 1 else text.tokens(F.col(c))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, uri {items.schema['uri'].dataType.simpleString()}, score double"
+    have = items.select("uri", words("text").alias("words"), _scope(scope or []))
+    out = None
+    for rows in _blocks(queries, words("query").alias("words"), _scope(scope or [])):
+        sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], _Asked([r["words"] or [] for r in rows], [r["scope"] for r in rows])))
+        found = have.mapInArrow(_finder(sent, k), kinds)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], kinds)
+    return out if k is None else top(out, k, F.desc("score"), F.col("uri")).drop("rank")
+
+
+def _finder(sent, k: int | None):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, asked = sent.value
+        qids, kinds, names = pa.array(qids), pa.array(asked.tokens, pa.string()), pa.array(asked.names, pa.string())
+        least = np.zeros(len(asked.sizes))  # what a query's k-th best has so far
+        held: list[pa.Table] = []
+        size = 0
+
+        def cut() -> pa.Table:
+            rows = pa.concat_tables(held).sort_by([("q", "ascending"), ("score", "descending"), ("uri", "ascending")])
+            q = rows.column("q").to_numpy()
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            full = rank == k - 1
+            least[q[full]] = rows.column("score").to_numpy()[full]
+            return rows.filter(pa.array(rank < k))
+
+        for batch in batches:
+            for first, scores in asked.scores(batch.column("words"), batch.column("scope"), kinds, names):
+                keep = scores > 0
+                if k is not None:
+                    keep &= scores >= least[None, :]
+                    if len(scores) > k:
+                        keep &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k][None, :]
+                item, q = np.nonzero(keep)
+                uri = batch.column("uri").take(pa.array(first + item))
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), uri, pa.array(scores[item, q])], ["qid", "uri", "score"])
+                    continue
+                held.append(pa.table({"q": pa.array(q), "uri": uri, "score": pa.array(scores[item, q])}))
+                size += len(q)
+                if size >= HELD:
+                    held[:] = [cut()]
+                    size = held[0].num_rows
+        if held:
+            rows = cut()
+            yield from pa.table({"qid": qids.take(rows.column("q").combine_chunks()), "uri": rows.column("uri"), "score": rows.column("score")}).combine_chunks().to_batches()
+
+    return find
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(qid, uri, score, rank): the k items (uri, vec) of largest cosine for each query (qid, vec); exact, in double precision.
 
-    Queries go out in blocks; each task keeps k items of a block's queries, so what is shuffled does not grow with the items in a task.
+    Each task keeps k items of a block's queries, so what is shuffled does not grow with the items in a task.
     """
     spark = items.sparkSession
     session.ship(spark)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", F.col("vec").cast("array<double>").alias("vec")).collect()
-        if not rows:
-            continue
+    for rows in _blocks(queries, F.col("vec").cast("array<double>").alias("vec")):
         sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], np.array([r["vec"] for r in rows])))
 
         def score(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -72,3 +169,20 @@ def nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     if out is None:
         return spark.createDataFrame([], "qid string, uri string, score double, rank int")
     return top(out, k, F.desc("score"), F.col("uri"))
+
+
+def put(store: DataFrame, items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The store (uri, payload columns, vec) with items (uri, payload columns) in place of, or beside, its rows; vectors: uri and vec of each item.
+
+    Fails if an item has no vector or several.
+    """
+    found = vectors.groupBy("uri").agg(F.count(F.lit(1)).alias("_n"), F.first("vec").alias("vec"))
+    joined = items.join(found, "uri", "left")
+    checked = joined.withColumn("vec", F.when(F.col("_n") == 1, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("vectors and items differ: "), F.col("uri").cast("string"))))).drop("_n")
+    return store.join(items.select("uri").distinct(), "uri", "left_anti").unionByName(checked.select(*store.columns))
+
+
+def remove(store: DataFrame, uris: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """(store, count): without the rows of uris that also pass the filter, and how many they were."""
+    gone = store.where(keep).join(uris.select("uri").distinct(), "uri", "left_semi").select("uri")
+    return store.join(gone, "uri", "left_anti"), gone.agg(F.count(F.lit(1)).alias("deleted"))

@@ -9,7 +9,7 @@ from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access
 from loamwork.operators import entities, graph
-from loamwork.plans.catalog_kb import STRINGS, chunks
+from loamwork.plans.catalog_kb import STRINGS, chunks, docs
 from loamwork.plans.sqltext import CHUNKS, STOP, SYMBOLS
 
 
@@ -128,13 +128,15 @@ def graph_paths(spark, d):
 @query(
     "resolve_entities",
     f"""WITH {TRADE}, q AS (SELECT 'q'||item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё0-9_]{{3,}}'), lambda w: w NOT IN ('the','and','with','from','that','this','for','are','mode','query','graph'))) AS w FROM benchmark),
-hit AS (SELECT DISTINCT qid, uri FROM q JOIN nodes ON contains(lower(name), w) WHERE type='Entity' AND uri NOT LIKE 'c%')
+ents AS (SELECT uri, lower(name) AS name, replace(lower(name), ' ', '_') AS key, 'alias'||substr(uri, 2) AS alias FROM nodes WHERE type='Entity'),
+hit AS (SELECT DISTINCT qid, uri FROM q JOIN ents ON contains(key, w) OR contains(alias, w) OR list_contains(string_split(name, ' '), w))
 SELECT qid, uri FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY uri) AS n FROM hit) WHERE n <= 20""",
 )
 def resolve_entities(spark, d):
     nodes, _ = trade(spark, d)
     q = session.table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("query"))
-    return graph.resolve(q, nodes.where(~F.startswith("uri", F.lit("c"))))
+    key = F.replace(F.lower("name"), F.lit(" "), F.lit("_"))
+    return graph.resolve(q, nodes.withColumns({"canonical_key": key, "aliases": F.array(F.concat(F.lit("Alias"), F.expr("substr(uri, 2)")))}))
 
 
 @query(
@@ -174,10 +176,12 @@ def relation_edges(spark, d):
 
 @query(
     "graph_coverage",
-    f"WITH {MENTIONS}, g AS (SELECT DISTINCT doc_uri FROM mentioned WHERE len(list_filter(entity_uris, lambda e: length(e) > 34)) > 0) SELECT (SELECT count(*) FROM g) AS docs_in_graph, (SELECT count(*) FROM documents) AS docs, round((SELECT count(*) FROM g)/(SELECT count(*) FROM documents), 6) AS coverage",
+    f"WITH {MENTIONS}, g AS (SELECT DISTINCT doc_uri FROM mentioned WHERE workspace_id='w1' AND list_has_any(acl_allow, ['u1','role:reader']) AND len(entity_uris) > 0) SELECT count(g.doc_uri) AS docs_in_graph, count(*) AS docs, round(count(g.doc_uri)/count(*), 6) AS coverage FROM kb LEFT JOIN g USING (doc_uri)",
 )
 def graph_coverage(spark, d):
-    long = F.size(F.filter("entity_uris", lambda e: F.length(e) > 34)) > 0
-    per = mentions(spark, d).groupBy("doc_uri").agg(F.bool_or(long).alias("in_graph"))
-    n = session.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("docs"))
-    return per.agg(F.count_if("in_graph").alias("docs_in_graph")).join(n).withColumn("coverage", F.round(F.col("docs_in_graph") / F.col("docs"), 6))
+    """Documents that a caller reaches in the graph from an entity, of all."""
+    own = mentions(spark, d)
+    nodes = graph.visible(graph.mention_nodes(own), "w1", access.principals(F.lit("u1"), F.array(F.lit("reader"))))
+    reached = graph.visible_edges(graph.mention_edges(own), nodes, ["DOCUMENTED_IN"]).select(F.col("dst").alias("doc_uri")).distinct()
+    found = docs(spark, d).select("doc_uri").join(reached.withColumn("hit", F.lit(True)), "doc_uri", "left")
+    return found.agg(F.count("hit").alias("docs_in_graph"), F.count(F.lit(1)).alias("docs")).withColumn("coverage", F.round(F.col("docs_in_graph") / F.col("docs"), 6))

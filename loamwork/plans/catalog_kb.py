@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access, scores, text
-from loamwork.operators import chunking, embedding, entities, retrieve, vector
+from loamwork.operators import chunking, embedding, entities, match, retrieve, vector
 from loamwork.operators.filters import Filter
 from loamwork.plans import kb, sqltext
 from loamwork.plans.sqltext import CHUNKS, HITS, KB, LEXICAL, STOP, SYMBOLS, tokens
@@ -78,13 +78,6 @@ def chunk_sentence(spark, d):
     return rows.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
 
 
-@query("chunk_code")
-def chunk_code(spark, d):
-    """Markup as code: blocks after blank lines."""
-    rows = session.table(spark, d, "pages").select("page_id", F.explode(chunking.code(F.col("html"), "html")).alias("s"))
-    return rows.select("page_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
-
-
 @query("chunk_semantic")
 def chunk_semantic(spark, d):
     rows = chunking.semantic(session.table(spark, d, "documents").select("doc_id", "text"), threshold=0.9, merge=False)
@@ -93,7 +86,7 @@ def chunk_semantic(spark, d):
 
 @query("lexical_topk", f"WITH {HITS} SELECT qid, uri, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
 def lexical_topk(spark, d):
-    hits = vector.top(vector.lexical(asked(spark, d), chunks(spark, d)), 10, F.desc("score"), F.col("uri"))
+    hits = vector.top(vector.lexical(asked(spark, d), chunks(spark, d), 10), 10, F.desc("score"), F.col("uri"))
     return hits.select("qid", "uri", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -114,23 +107,14 @@ def redact_text(spark, d):
 
 @query(
     "memory_lexical",
-    """WITH q AS (SELECT 'q'||item_id AS qid, lower(trim(substr(text, 1, 24))) AS q FROM benchmark),
+    """WITH q AS (SELECT 'q'||item_id AS qid, lower(trim(text)) AS q, list_distinct(list_filter(regexp_split_to_array(replace(lower(trim(text)),'-',' '), '\\s+'), lambda x: length(x)>1)) AS w FROM benchmark),
 m AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations),
-s AS (SELECT qid, conv_id, turn, CASE WHEN q='' OR t='' THEN 0.0 WHEN contains(t, q) THEN 1.0 ELSE
-  (SELECT CASE WHEN len(w)=0 THEN 0.0 ELSE len(list_filter(w, lambda x: contains(t, x)))/len(w) END FROM (SELECT list_distinct(list_filter(regexp_split_to_array(replace(q,'-',' '), '\\s+'), lambda x: length(x)>1)) AS w)) END AS score FROM q, m)
+s AS (SELECT qid, conv_id, turn, CASE WHEN q='' OR t='' THEN 0.0 WHEN contains(t, q) THEN 1.0 WHEN len(w)=0 THEN 0.0 ELSE len(list_filter(w, lambda x: contains(t, x)))/len(w) END AS score FROM q, m)
 SELECT qid, conv_id, turn, round(score, 6) AS score FROM s WHERE score > 0""",
 )
 def memory_lexical(spark, d):
-    """Every turn against the beginning of every item; the item side is checked to be small before it goes to all tasks."""
-    q = session.table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.substring("text", 1, 24).alias("q"))
-    m = session.table(spark, d, "conversations").select("conv_id", "turn", "text")
-    words = F.array_distinct(F.filter(F.split(F.replace(F.lower(F.trim("q")), F.lit("-"), F.lit(" ")), r"\s+"), lambda w: F.length(w) > 1))
-    # a pair can only score if a word (or the query) stands in the text: both start with one of the text's runs of two characters
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
-    heads = q.select("qid", "q", F.explode(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 2)))).alias("g"))
-    pairs = m.select("conv_id", "turn", "text", F.explode(grams(F.lower("text"))).alias("g")).join(heads, "g").select("qid", "q", "conv_id", "turn", "text").distinct()
-    scored = pairs.select("qid", "conv_id", "turn", text.memory_score(F.col("q"), F.col("text")).alias("score")).where("score > 0")
-    return scored.select("qid", "conv_id", "turn", F.round("score", 6).alias("score"))
+    """Every turn against every item."""
+    return match.containing(asked(spark, d), session.table(spark, d, "conversations"), ["conv_id", "turn"]).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -219,10 +203,9 @@ FUSED_SQL = """WITH {base}{memory}, fused AS (
 def signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries; chunks that hold a long token of a query (one step from its entities); chunks that remembered turns cite."""
     q, c = asked(spark, d), chunks(spark, d)
-    long = q.select("qid", F.explode(text.tokens(F.col("query"))).alias("token")).where(F.length("token") >= 8)
-    graph = c.select("uri", F.explode(text.tokens(F.col("text"))).alias("token")).where(F.length("token") >= 8).join(long, "token").select("qid", "uri").distinct()
+    graph = vector.lexical(q, c, least=8).select("qid", "uri")
     turns = session.table(spark, d, "conversations").select(F.concat_ws("_", F.concat(F.lit("kb://memory/"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("uri"), "text", "conv_id")
-    hits = vector.top(vector.lexical(q, turns), 5, F.desc("score"), F.col("uri"))
+    hits = vector.lexical(q, turns, 5)
     n = F.col("conv_id")
     chunk = F.concat(F.lit("kb://chunk/"), kb.doc_id_of(F.concat(F.lit("w"), (n % 3).cast("string")), F.concat(F.lit("doc/"), n.cast("string"))), F.lit("_0"))
     memory = hits.join(turns.select("uri", chunk.alias("chunk_uri")), "uri").groupBy("qid", F.col("chunk_uri").alias("uri")).agg(F.max("score").alias("memory"))
@@ -264,7 +247,7 @@ SELECT qid, uri, round(score,6) AS score FROM (SELECT *, row_number() OVER (PART
 def search_vector_mode(spark, d):
     """Filters come before the search, on the chunk side."""
     allowed = Filter("w1", "u1", ("reader",)).apply(chunks(spark, d))
-    return vector.top(vector.lexical(asked(spark, d), allowed), 20, F.desc("score"), F.col("uri")).select("qid", "uri", F.round("score", 6).alias("score"))
+    return vector.lexical(asked(spark, d), allowed, 20).select("qid", "uri", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -273,7 +256,7 @@ def search_vector_mode(spark, d):
 )
 def evidence_citations(spark, d):
     c = chunks(spark, d).withColumn("entity_uris", F.array().cast(STRINGS))
-    hits = vector.top(vector.lexical(asked(spark, d), c), 20, F.desc("score"), F.col("uri")).select("qid", "uri")
+    hits = vector.lexical(asked(spark, d), c, 20).select("qid", "uri")
     out = retrieve.evidence(hits, c, docs(spark, d).select("doc_uri", "title"))
     cite = F.get("citations", F.lit(0))
     return out.select("qid", "uri", "title", F.sha2("snippet", 256).alias("snippet_sha"), cite["uri"].alias("cited"), cite["span"]["start"].alias("span_start"), cite["span"]["end"].alias("span_end"))
@@ -285,7 +268,7 @@ def evidence_citations(spark, d):
 )
 def fuse_linear(spark, d):
     q, graph, memory = signals(spark, d)
-    hits = vector.top(vector.lexical(q, chunks(spark, d)), 20, F.desc("score"), F.col("uri")).drop("rank").withColumn("lexical", F.col("score"))
+    hits = vector.lexical(q, chunks(spark, d), 20).withColumn("lexical", F.col("score"))
     return retrieve.fuse(hits, graph, memory).select("qid", "uri", F.round("base", 6).alias("base"))
 
 

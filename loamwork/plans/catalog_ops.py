@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access, scores, text
-from loamwork.operators import evaluate, ingest, memory, retrieve, route, vector
+from loamwork.operators import evaluate, ingest, match, memory, retrieve, route, service, vector
 from loamwork.plans.catalog_kb import STRINGS, asked, chunks, docs
 from loamwork.plans.sqltext import CHUNKS, HITS, KB, QUERIES, tokens
 from loamwork.sources import tables
@@ -135,16 +135,20 @@ def memory_upsert_idempotent(spark, d):
 
 @query(
     "memory_search",
-    f"""WITH {TURNS}, q AS (SELECT 'q'||item_id AS qid, text AS query, 'w'||(item_id%2) AS workspace_id, 'u'||(item_id%3) AS subject FROM benchmark),
+    f"""WITH {TURNS}, q AS (SELECT 'q'||item_id AS qid, CASE WHEN item_id%4=3 THEN regexp_replace(text, '(\\S{{2,3}})\\S*', '\\1', 'g') ELSE text END AS query, 'w'||(item_id%2) AS workspace_id, 'u'||(item_id%3) AS subject FROM benchmark),
 a AS (SELECT qid, len(w) AS n, workspace_id, subject, unnest(w) AS token FROM (SELECT *, {tokens('query')} AS w FROM q)),
 h AS (SELECT uri, workspace_id, subject, unnest({tokens('text')}) AS token FROM turns),
-s AS (SELECT qid, uri, count(*)/any_value(n) AS score FROM a JOIN h USING (token, workspace_id, subject) GROUP BY ALL)
-SELECT qid, uri, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri) AS r FROM s) WHERE r<=10""",
+s AS (SELECT qid, uri, count(*)/any_value(n) AS score, 'vector' AS branch FROM a JOIN h USING (token, workspace_id, subject) GROUP BY qid, uri),
+e AS (SELECT qid, lower(trim(query)) AS q, list_distinct(list_filter(regexp_split_to_array(replace(lower(trim(query)),'-',' '), '\\s+'), lambda x: length(x)>1)) AS w, workspace_id, subject FROM q WHERE qid NOT IN (SELECT qid FROM s)),
+f AS (SELECT qid, uri, CASE WHEN contains(lower(trim(text)), q) THEN 1.0 WHEN len(w)=0 THEN 0.0 ELSE len(list_filter(w, lambda x: contains(lower(trim(text)), x)))/len(w) END AS score, 'lexical' AS branch FROM e JOIN turns USING (workspace_id, subject) WHERE q <> '' AND trim(text) <> '')
+SELECT qid, uri, round(score,6) AS score, branch FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri) AS r FROM (SELECT * FROM s UNION ALL SELECT * FROM f WHERE score > 0)) WHERE r<=10""",
 )
 def memory_search(spark, d):
     n = F.substring("qid", 2, 20).cast("long")
     q = asked(spark, d).withColumns({"workspace_id": F.concat(F.lit("w"), (n % 2).cast("string")), "subject": F.concat(F.lit("u"), (n % 3).cast("string"))})
-    return memory.search(q, turns(spark, d)).where("branch = 'vector'").select("qid", "uri", F.round("score", 6).alias("score"))
+    # every fourth query is cut to parts of its words, which no token equals, so that the fallback answers
+    q = q.withColumn("query", F.when(n % 4 == 3, F.regexp_replace("query", r"(\S{2,3})\S*", "$1")).otherwise(F.col("query")))
+    return memory.search(q, turns(spark, d)).select("qid", "uri", F.round("score", 6).alias("score"), "branch")
 
 
 @query("memory_delete", f"WITH {TURNS} SELECT uri, substr(text,1,100) AS preview, workspace_id='w1' AND subject='u2' AS deleted FROM turns")
@@ -175,21 +179,43 @@ def confirm_tokens(spark, d):
     return memory.confirm(issued, o)
 
 
-@query(
-    "recall_ndcg_mrr",
-    f"""WITH {HITS}, rel AS (SELECT qid, uri AS item FROM lexical WHERE score >= 0.45), n AS (SELECT qid, count(*) AS n FROM rel GROUP BY 1),
-hit AS (SELECT h.qid, rank FROM hits h JOIN rel ON rel.qid=h.qid AND rel.item=h.uri),
+RELEVANT = """first AS (SELECT qid, doc_uri AS item, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM hits JOIN chunks USING (uri) GROUP BY qid, doc_uri),
+rel AS (SELECT 'q'||item_id AS qid, doc_uri AS item FROM benchmark b JOIN kb ON contains(kb.text, b.text)), n AS (SELECT qid, count(*) AS n FROM rel GROUP BY 1),
+hit AS (SELECT f.qid, rank FROM first f JOIN rel USING (qid, item)),
 p AS (SELECT qid, count_if(rank<=10) AS found, sum(CASE WHEN rank<=10 THEN CASE WHEN rank=1 THEN 1.0 ELSE 1/log2(rank) END END) AS dcg, min(rank) AS f FROM hit GROUP BY 1),
-i AS (SELECT qid, n, 1.0 + coalesce((SELECT sum(1/log2(r)) FROM range(2, 11) t(r) WHERE r <= n), 0) AS ideal FROM n)
-SELECT qid, round(coalesce(found/n, 0),6) AS recall, round(coalesce(dcg/ideal, 0),6) AS ndcg, round(coalesce(1.0/f, 0),6) AS mrr FROM i LEFT JOIN p USING (qid)""",
-)
+i AS (SELECT qid, n, 1.0 + coalesce((SELECT sum(1/log2(r)) FROM range(2, 11) t(r) WHERE r <= n), 0) AS ideal FROM n),
+per AS (SELECT qid, coalesce(found/n, 0) AS recall, coalesce(dcg/ideal, 0) AS ndcg, coalesce(1.0/f, 0) AS mrr FROM i LEFT JOIN p USING (qid))"""
+
+
+def ranked_and_relevant(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by the rank of their best chunk; relevant are those in which the item's whole text stands."""
+    q, c = asked(spark, d), chunks(spark, d)
+    hits = vector.top(vector.lexical(q, c, 20), 20, F.desc("score"), F.col("uri")).join(c.select("uri", "doc_uri"), "uri")
+    best = hits.groupBy("qid", "doc_uri").agg(F.min("rank").alias("rank"))
+    ranked = vector.top(best.withColumnRenamed("rank", "best"), 20, F.col("best")).select("qid", F.col("doc_uri").alias("item"), "rank")
+    held = match.contained(q.select(F.col("query").alias("string")), docs(spark, d).select("doc_uri", "text"), ["doc_uri"])
+    return ranked, held.join(q, held["string"] == q["query"]).select("qid", F.col("doc_uri").alias("item"))
+
+
+@query("recall_ndcg_mrr", f"WITH {HITS}, {RELEVANT} SELECT qid, round(recall,6) AS recall, round(ndcg,6) AS ndcg, round(mrr,6) AS mrr FROM per")
 def recall_ndcg_mrr(spark, d):
-    found = vector.lexical(asked(spark, d), chunks(spark, d))
-    ranked = vector.top(found, 20, F.desc("score"), F.col("uri")).select("qid", F.col("uri").alias("item"), "rank")
-    out = evaluate.quality(ranked, found.where("score >= 0.45").select("qid", F.col("uri").alias("item")))
+    out = evaluate.quality(*ranked_and_relevant(spark, d))
     return out.select("qid", *[F.round(c, 6).alias(c) for c in ("recall", "ndcg", "mrr")])
 
 
+@query(
+    "evaluation_report",
+    f"WITH {HITS}, {RELEVANT} SELECT count(*) AS queries, count_if(f) AS filtered_queries, "
+    + ", ".join(f"round(avg({c}),6) AS {c}, round(coalesce(avg({c}) FILTER (WHERE f),0),6) AS filtered_{c}" for c in ("recall", "ndcg", "mrr"))
+    + " FROM (SELECT *, CAST(substr(qid, 2) AS INT)%3=0 AS f FROM per)",
+)
+def evaluation_report(spark, d):
+    ranked, relevant = ranked_and_relevant(spark, d)
+    some = asked(spark, d).where(F.substring("qid", 2, 20).cast("int") % 3 == 0)
+    out = evaluate.benchmark(ranked, relevant, some)
+    return out.select("queries", "filtered_queries", *[F.round(c, 6).alias(c) for p in ("", "filtered_") for c in (f"{p}recall", f"{p}ndcg", f"{p}mrr")])
+
+
 @query("citation_coverage", f"WITH {KB} SELECT round(count_if(doc_id%4<>0)/greatest(1,count(*)), 6) AS coverage FROM kb")
 def citation_coverage(spark, d):
     cite = F.when(F.col("doc_id") % 4 != 0, F.array("doc_uri")).otherwise(F.array().cast(STRINGS))
@@ -224,14 +250,13 @@ def latency_histogram(spark, d):
 
 @query("graph_nonzero_rate", "SELECT event_type, round(count_if(value > 50)/count(*), 6) AS rate FROM events GROUP BY 1")
 def graph_nonzero_rate(spark, d):
-    rows = session.table(spark, d, "events").groupBy("event_type").agg((F.count_if(F.col("value") > 50) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("rate"))
+    rows = evaluate.rate(session.table(spark, d, "events").withColumn("hit", F.col("value") > 50), "hit", "rate", "event_type")
     return rows.select("event_type", F.round("rate", 6).alias("rate"))
 
 
 @query("audit_hash", """SELECT event_id, sha256('{"event_type":"'||event_type||'","user_id":'||user_id||'}') AS params_hash FROM events""")
 def audit_hash(spark, d):
-    params = F.to_json(F.struct("event_type", "user_id"))  # keys in sorted order
-    return session.table(spark, d, "events").select("event_id", F.sha2(params, 256).alias("params_hash"))
+    return service.audit(session.table(spark, d, "events"), ["user_id", "event_type"], "event_id")
 
 
 ASK = "q AS (SELECT conv_id, turn, text||CASE conv_id%6 WHEN 0 THEN ' Delete memory' WHEN 1 THEN ' explain relevance' WHEN 2 THEN ' Impact of it' WHEN 3 THEN ' remember' ELSE '' END AS t, turn%2=0 AS m FROM conversations)"
@@ -322,21 +347,23 @@ def fit_dimensions(spark, d):
     f"WITH {HITS} SELECT qid, string_agg(uri, ',' ORDER BY rank) AS uris FROM hits WHERE rank <= 5 GROUP BY qid",
 )
 def seed_collectors(spark, d):
-    hits = vector.top(vector.lexical(asked(spark, d), chunks(spark, d)), 20, F.desc("score"), F.col("uri"))
+    hits = vector.top(vector.lexical(asked(spark, d), chunks(spark, d), 20), 20, F.desc("score"), F.col("uri"))
     return retrieve.result_uris(hits, 5).select("qid", F.array_join("uris", ",").alias("uris"))
 
 
 @query(
     "backfill_counts",
-    "SELECT count(*) AS seen, count_if(c_custkey%9<>0) AS indexed, count_if(c_custkey%9=0) AS skipped FROM customer",
+    "SELECT c_custkey, len(c_name||' '||c_mktsegment) AS chars, count(*) OVER () AS indexed, (SELECT count(*) FROM customer) AS seen, (SELECT count_if(c_custkey%9=0) FROM customer) AS skipped FROM customer WHERE c_custkey%9<>0",
 )
 def backfill_counts(spark, d):
-    from loamwork.operators import entities
+    """Customers as entities, every ninth without text: component 257 of the unscaled vector is the number of characters."""
+    from loamwork.operators import embedding, entities
 
-    c = session.table(spark, d, "customer")
-    name = F.when(F.col("c_custkey") % 9 != 0, F.col("c_name"))
-    rows = c.select("c_custkey", entities.search_text(name, F.when(F.col("c_custkey") % 9 != 0, F.array("c_mktsegment"))).alias("search_text"))
-    return ingest.backfill(rows, 500, lambda df: df)[1]
+    c, k = session.table(spark, d, "customer"), F.col("c_custkey")
+    rows = c.select("c_custkey", entities.search_text(F.when(k % 9 != 0, F.col("c_name")), F.when(k % 9 != 0, F.array("c_mktsegment"))).alias("search_text"))
+    made, counts = ingest.backfill(rows, 500, lambda df: embedding.embed_column(df, "search_text", embedding.Fallback(384)))
+    chars = F.round(F.get("embedding", F.lit(257)) / F.get("embedding", F.lit(256)) * F.size(F.split("search_text", " "))).cast("long")
+    return made.select("c_custkey", chars.alias("chars")).join(F.broadcast(counts))
 
 
 @query("health", f"WITH {QUERIES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM queries) AS queries, 'ok' AS status")
@@ -345,13 +372,26 @@ def health(spark, d):
     return n("documents", "documents").join(n("benchmark", "queries")).withColumn("status", F.lit("ok"))
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts)/1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, t, CAST(1.0 AS DOUBLE) AS kept, true AS allowed FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, t, CASE WHEN level >= 1 THEN level - 1 ELSE level END, level >= 1 FROM (SELECT e.*, least(2.0, w.kept + greatest(0, e.t - w.t) * 0.001)::DOUBLE AS level FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT event_id, user_id, allowed FROM w""",
+)
 def token_bucket(spark, d):
     e = session.table(spark, d, "events").select("event_id", "user_id", "ts")
     return stateful.limit(e, ["user_id"], rps=0.001, burst=2).select("event_id", "user_id", "allowed")
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type <> 'error' AS ok, epoch_us(ts)/1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, true AS allowed, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failed, CAST(0 AS DOUBLE) AS since FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, go, CASE WHEN NOT go THEN state WHEN ok THEN 'CLOSED' WHEN failed + 1 >= 2 THEN 'OPEN' ELSE state END, CASE WHEN NOT go THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN NOT go THEN since WHEN ok THEN 0 WHEN failed + 1 >= 2 THEN t ELSE since END
+  FROM (SELECT e.*, w.state, w.failed, w.since, NOT (w.state = 'OPEN' AND e.t - w.since <= 3600) AS go FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT event_id, user_id, allowed, state FROM w""",
+)
 def circuit_breaker(spark, d):
     e = session.table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", (F.col("event_type") != "error").alias("ok"))
     return stateful.breaker(e, "user_id", failures=2, seconds=3600).select("event_id", "user_id", "allowed", "state")

@@ -63,3 +63,14 @@ def resource(table: DataFrame, uris: DataFrame, workspace_id: str, who, kind: st
     allowed = access.strict(F.col("acl_allow"), who)
     status = F.when(missing, "STUB" if kind == "entity" else "NOT_FOUND").when(allowed, "OK").otherwise("PERMISSION_DENIED")
     return uris.select("uri").distinct().join(own, "uri", "left").select("uri", status.alias("status"), F.when(~missing & allowed, text.redact(F.col("text"))).otherwise(F.lit("")).alias("text"))
+
+
+def of_owner(table: DataFrame, workspace_id: str, subject: str | None = None) -> DataFrame:
+    """Rows of a workspace, and of one subject in it if named; both reach the scan."""
+    mine = table.where(F.col("workspace_id") == workspace_id)
+    return mine if subject is None else mine.where(F.col("subject") == subject)
+
+
+def of_documents(table: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (chunks, say) of the documents (doc_uri)."""
+    return table.join(docs.select("doc_uri").distinct(), "doc_uri", "left_semi")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,40 +17,36 @@ from loamwork import session
 RPS, BURST, FAILURES, OPEN_SECONDS = 10.0, 20, 5, 30.0
 
 
-class Bucket:
-    """Starts full; each call takes one token if there is one."""
+def bucket(times: Sequence[float], left: float | None = None, last: float | None = None, rps: float = RPS, burst: float = BURST) -> tuple[list[bool], float, float | None]:
+    """Which calls at rising times find a token in a bucket that starts full, what is left in it, and when that was.
 
-    def __init__(self, rps: float = RPS, burst: float = BURST, tokens: float | None = None, at: float | None = None) -> None:
-        self.rps, self.burst, self.tokens, self.at = rps, burst, burst if tokens is None else tokens, at
+    Between two calls the bucket gains rps tokens a second, up to burst; a call takes one if there is one.
+    """
+    left = burst if left is None else left
+    gains = np.diff(np.array(times, float), prepend=times[0] if last is None and len(times) else last or 0.0)
+    taken = []
+    for gain in np.maximum(gains, 0.0) * rps:
+        level = min(burst, left + gain)
+        taken.append(bool(level >= 1))
+        left = level - taken[-1]
+    return taken, left, times[-1] if len(times) else last
 
-    def take(self, now: float) -> bool:
-        if self.at is not None:
-            self.tokens = min(self.burst, self.tokens + max(0.0, now - self.at) * self.rps)
-        self.at = now
-        if self.tokens >= 1:
-            self.tokens -= 1
-            return True
-        return False
 
+#: A breaker is (state, failures in a row, since when it is open).
+CLOSED = ("CLOSED", 0, 0.0)
 
-class Breaker:
-    """CLOSED until `failures` in a row of counts; then OPEN for more than `seconds`; then HALF_OPEN, where a success closes and a failure opens again."""
 
-    def __init__(self, failures: int = FAILURES, seconds: float = OPEN_SECONDS, state: str = "CLOSED", count: int = 0, since: float = 0.0) -> None:
-        self.failures, self.seconds, self.state, self.count, self.since = failures, seconds, state, count, since
+def after(now: float, ok: bool, at: tuple[str, int, float], failures: int = FAILURES, seconds: float = OPEN_SECONDS) -> tuple[bool, tuple[str, int, float]]:
+    """Whether a call at `now` is let through, and the breaker after its result.
 
-    def allow(self, now: float) -> bool:
-        if self.state == "OPEN" and now - self.since > self.seconds:
-            self.state = "HALF_OPEN"
-        return self.state != "OPEN"
-
-    def record(self, ok: bool, now: float) -> None:
-        if ok:
-            self.state, self.count = "CLOSED", 0
-        else:
-            self.count += 1
-            if self.count >= self.failures:
-                self.state, self.since = "OPEN", now
+    OPEN refuses for `seconds` and then lets a trial through; a success closes the breaker; the failure that makes `failures` in a row (a trial's always does) opens it.
+    """
+    state, count, since = at
+    if state == "OPEN" and now - since <= seconds:
+        return False, at
+    if ok:
+        return True, CLOSED
+    return True, ("OPEN", count + 1, now) if count + 1 >= failures else (state, count + 1, since)
 
 
 def _seconds(ts: pd.Series) -> list[float]:
@@ -62,17 +59,18 @@ def limit(events: DataFrame, keys: list[str], rps: float = RPS, burst: float = B
     names = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
     out = f"event_id long, {names}, allowed boolean"
 
-    def run(bucket: Bucket, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, *state: float) -> tuple[pd.DataFrame, tuple]:
         pdf = pdf.sort_values(["ts", "event_id"])
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "allowed": [bucket.take(t) for t in _seconds(pdf["ts"])]})
+        allowed, *now = bucket(_seconds(pdf["ts"]), *(state or (None, None)), rps, burst)
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), **{k: pdf[k].to_numpy() for k in keys}, "allowed": allowed}), tuple(now)
 
     if not events.isStreaming:
-        return events.groupBy(*keys).applyInPandas(lambda pdf: run(Bucket(rps, burst), pdf), out)
+        return events.groupBy(*keys).applyInPandas(lambda pdf: run(pdf)[0], out)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bucket = Bucket(rps, burst, *state.get) if state.exists else Bucket(rps, burst)
-        yield run(bucket, pd.concat(list(parts)))
-        state.update((bucket.tokens, bucket.at))
+        rows, now = run(pd.concat(list(parts)), *(state.get if state.exists else ()))
+        yield rows
+        state.update(now)
 
     return events.groupBy(*keys).applyInPandasWithState(step, out, "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
 
@@ -83,30 +81,29 @@ def breaker(events: DataFrame, key: str, failures: int = FAILURES, seconds: floa
     kind = events.schema[key].dataType.simpleString()
     out = f"event_id long, {key} {kind}, allowed boolean, state string"
 
-    def run(b: Breaker, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, now: tuple = CLOSED) -> tuple[pd.DataFrame, tuple]:
         pdf = pdf.sort_values(["ts", "event_id"])
         allowed, states = [], []
-        for now, ok in zip(_seconds(pdf["ts"]), pdf["ok"], strict=True):
-            allowed.append(b.allow(now))
-            if allowed[-1]:
-                b.record(bool(ok), now)
-            states.append(b.state)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), key: pdf[key].to_numpy(), "allowed": allowed, "state": states})
+        for t, ok in zip(_seconds(pdf["ts"]), pdf["ok"], strict=True):
+            through, now = after(t, bool(ok), now, failures, seconds)
+            allowed.append(through)
+            states.append(now[0])
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), key: pdf[key].to_numpy(), "allowed": allowed, "state": states}), now
 
     if not events.isStreaming:
-        return events.groupBy(key).applyInPandas(lambda pdf: run(Breaker(failures, seconds), pdf), out)
+        return events.groupBy(key).applyInPandas(lambda pdf: run(pdf)[0], out)
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        b = Breaker(failures, seconds, *state.get) if state.exists else Breaker(failures, seconds)
-        yield run(b, pd.concat(list(parts)))
-        state.update((b.state, b.count, b.since))
+        rows, now = run(pd.concat(list(parts)), state.get if state.exists else CLOSED)
+        yield rows
+        state.update(now)
 
     return events.groupBy(key).applyInPandasWithState(step, out, "state string, count int, since double", "append", GroupStateTimeout.NoTimeout)
 
 
-def guarded(events: DataFrame, keys: list[str], rps: float = RPS, burst: float = BURST, failures: int = FAILURES, seconds: float = OPEN_SECONDS) -> DataFrame:
-    """The order of guards: the breaker (one for all) first, then the buckets of calls that it lets through."""
-    through = breaker(events.withColumn("all", F.lit("all")), "all", failures, seconds).where("allowed").select("event_id")
+def guarded(events: DataFrame, keys: list[str], breaker_key: str, rps: float = RPS, burst: float = BURST, failures: int = FAILURES, seconds: float = OPEN_SECONDS) -> DataFrame:
+    """The order of guards: the breaker of each breaker_key (a tool, say) first, then the buckets of calls that it lets through."""
+    through = breaker(events, breaker_key, failures, seconds).where("allowed").select("event_id")
     return limit(events.join(through, "event_id", "left_semi"), keys, rps, burst)
 
 
