@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.functions import access, scores, text
-from loamwork.operators import chunking, embedding, entities, evaluate, graph, ingest, memory, retrieve, route
+from loamwork.operators import chunking, embedding, entities, evaluate, graph, ingest, match, memory, retrieve, route, vector
 from loamwork.operators.filters import Filter
 from loamwork.sources import files, tables
 from loamwork.streaming import stateful
@@ -151,14 +151,112 @@ def test_routes(spark):
 
 
 def test_bucket_and_breaker():
-    b = stateful.Bucket(10, 2)
-    assert [b.take(0), b.take(0), b.take(0), b.take(0.1)] == [True, True, False, True]
-    c = stateful.Breaker(3, 0.1)
+    assert stateful.bucket([0, 0, 0, 0.1], rps=10, burst=2)[0] == [True, True, False, True]
+    taken, left, last = stateful.bucket([0, 0], rps=10, burst=2)
+    assert stateful.bucket([0.0, 0.1], left, last, 10, 2) == ([False, True], 0.0, 0.1) and taken == [True, True]
+    assert stateful.bucket([], 1.5, 3.0) == ([], 1.5, 3.0)
+    now = stateful.CLOSED
     for _ in range(3):
-        c.record(False, 0.0)
-    assert not c.allow(0.1) and c.allow(0.11) and c.state == "HALF_OPEN"
-    c.record(False, 0.2)
-    assert c.state == "OPEN"
+        through, now = stateful.after(0.0, False, now, 3, 0.1)
+        assert through
+    assert now == ("OPEN", 3, 0.0) and stateful.after(0.1, True, now, 3, 0.1) == (False, now)
+    assert stateful.after(0.11, True, now, 3, 0.1) == (True, stateful.CLOSED)
+    assert stateful.after(0.2, False, now, 3, 0.1) == (True, ("OPEN", 4, 0.2))
+    assert stateful.after(0.0, False, ("CLOSED", 1, 0.0), 3, 0.1) == (True, ("CLOSED", 2, 0.0))
+
+
+def test_guards_in_order(spark):
+    """A call that the breaker refuses takes no token."""
+    rows = [(i, "t", "u", dt.datetime(2024, 1, 1, 0, 0, i), i > 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id long, tool string, subject string, ts timestamp, ok boolean")
+    got = {r.event_id: r.allowed for r in stateful.guarded(df, ["subject"], "tool", 0.001, 3, 2, 2.5).collect()}
+    assert got == {0: True, 1: True, 4: True, 5: False}  # 2 and 3 are refused by the open breaker
+
+
+class Remote:
+    """Fails on batches that hold a certain text; its vectors have three components."""
+
+    dimensions = 3
+
+    def embed(self, texts):
+        if "bad" in texts:
+            raise OSError
+        return [[9.0, 9.0, 9.0] for _ in texts]
+
+
+def test_embedders_fall_back():
+    texts = ["a", "b", "bad", "c", "d"]
+    other = embedding.Fallback(384)
+    by_batch = embedding.WithFallback(Remote(), other, 2).embed(texts)
+    assert [v[0] == 9.0 for v in by_batch] == [True, True, False, False, True] and by_batch.shape == (5, 384)
+    assert (by_batch[2] == other.one("bad")).all()
+    assert (embedding.WithFallback(Remote(), other).embed(texts) == other.embed(texts)).all()
+    assert embedding.WithFallback(Remote(), other).embed([]).shape == (0, 384)
+    assert embedding.PRESETS["multilingual-e5-large"][2:] == ("query: ", "passage: ")
+
+
+def test_lexical_search_against_all_pairs(spark, monkeypatch):
+    """Blocks of queries, scopes, ties by uri and the cut to k."""
+    import random
+
+    random.seed(3)
+    words = [f"w{i}" for i in range(12)]
+    items = [(f"i{k:03d}", " ".join(random.choices(words, k=random.randint(0, 8))) or None, f"s{k % 3}") for k in range(120)]
+    asks = [(f"q{k}", " ".join(random.choices([*words, "none"], k=random.randint(1, 6))), f"s{k % 4}") for k in range(30)] + [("empty", "", "s0"), ("null", None, "s0")]
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    q = spark.createDataFrame(asks, "qid string, query string, s string")
+    x = spark.createDataFrame(items, "uri string, text string, s string").repartition(5)
+    for scope in ([], ["s"]):
+        want = {}
+        for qid, query, s in asks:
+            own = set((query or "").split())
+            found = [(-len(own & set((t or "").split())) / len(own), u) for u, t, z in items if own & set((t or "").split()) and (not scope or z == s)] if own else []
+            want[qid] = sorted(found)
+        got = {}
+        for r in vector.lexical(q, x, 4, scope).collect():
+            got.setdefault(r.qid, []).append((-r.score, r.uri))
+        assert {k: sorted(v) for k, v in got.items()} == {k: v[:4] for k, v in want.items() if v}
+        assert sorted((r.qid, r.uri) for r in vector.lexical(q, x, None, scope).collect()) == sorted((k, u) for k, v in want.items() for _, u in v)
+
+
+def test_strings_in_texts(spark, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK", 2)
+    strings = spark.createDataFrame([("ab",), ("b",), ("abc",), ("",), ("zz",)], "string string")
+    texts = spark.createDataFrame([(1, "xabcx"), (2, "b ab"), (3, None), (4, "")], "k long, text string")
+    assert sorted(tuple(r) for r in match.contained(strings, texts, ["k"]).collect()) == [(1, "ab"), (1, "abc"), (1, "b"), (2, "ab"), (2, "b")]
+    assert match.contained(strings.limit(0), texts, ["k"]).count() == 0
+
+
+def test_queries_in_texts(spark):
+    asks = spark.createDataFrame([("1", "Red-car park"), ("2", "a b"), ("3", "zebra red"), ("4", " "), ("5", "x")], "qid string, query string")
+    texts = spark.createDataFrame([(1, "the red-car park is here"), (2, "a b c"), (3, "REDcar"), (4, None)], "k long, text string")
+    got = {(r.qid, r.k): r.score for r in match.containing(asks, texts, ["k"]).collect()}
+    assert got == {("1", 1): 1.0, ("2", 2): 1.0, ("1", 3): 2 / 3, ("3", 1): 0.5, ("3", 3): 0.5}
+
+
+def test_vector_store_checks_counts(spark):
+    store = spark.createDataFrame([("a", "p", [1.0])], "uri string, payload string, vec array<double>")
+    items = spark.createDataFrame([("b", "q"), ("c", "r")], "uri string, payload string")
+    with pytest.raises(Exception, match="vectors and items differ"):
+        vector.put(store, items, spark.createDataFrame([("b", [1.0])], "uri string, vec array<double>")).collect()
+
+
+def test_report_is_written_with_its_gates(spark, tmp_path):
+    ranked = spark.createDataFrame([("1", "a", 1), ("2", "b", 3), ("2", "c", 1)], "qid string, item string, rank int")
+    relevant = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "z")], "qid string, item string")
+    report = evaluate.benchmark(ranked, relevant, spark.createDataFrame([("2",)], "qid string"))
+    missed = evaluate.write_report(report, str(tmp_path / "report"))
+    r = spark.read.json(str(tmp_path / "report")).first()
+    assert (r.queries, r.filtered_queries, round(r.recall, 4), r.filtered_recall, round(r.filtered_mrr, 4)) == (3, 1, 0.6667, 1.0, 0.3333)
+    assert missed == ["recall", "ndcg"]
+
+
+def test_identity_out_of_strict_mode_over_http(spark):
+    row = lambda mode, http, h, p, s: one(spark, access.identity(mode, http, F.lit(h).cast("string"), F.lit(p).cast("string"), F.lit(s).cast("string"), F.lit("w"), F.array(F.lit("r"))).alias("x")).x
+    good = '{"sub":"a","workspace_id":"w"}'
+    assert (row("strict", False, None, good, None).source, row("strict_oauth", False, "bad", None, "s").source) == ("payload_jwt", "legacy_acl")
+    assert row("strict_oauth", True, None, good, "s").error == "missing_bearer_token"
+    assert (row("mixed", True, None, None, " ").subject, row("mixed", True, None, None, " ").workspace_id) == ("anonymous", "default")
 
 
 def test_retries_wait_longer_each_time():
