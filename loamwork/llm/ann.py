@@ -5,7 +5,8 @@
    every entry is indexed in its cell. Large cells are split in blocks of BLOCK entries.
 3. A query visits cells by rising sum of its halves' squared distances to the codes (multi-sequence search with a heap) until they hold `visit` of all
    entries, and LEAST entries at least. `visit` is what the fitting sample needs for the target recall against brute force.
-4. Visits meet the entries of their cells by a shuffle on (cell, block); each task reranks by cosine in double precision on the original vectors.
+4. Visits meet the entries of their cells by a shuffle on (cell, block); each task reranks by cosine in double precision on the original vectors. Products of
+   whole blocks choose, and the scores of what they choose are summed anew in one order, so that a score does not depend on the block it was found in.
 
 Defined results: vectors that are null or zero or hold null or non-finite components take no part, nor do those whose length is not the commonest; a vec_id that
 repeats counts once for each different vector; rows with a null vec_id take no part; fewer candidates than k give all; an empty table gives no rows; extra
@@ -28,6 +29,8 @@ from loamwork.llm import _arrow
 K = 5
 FIT_ROWS, FIT_QUERIES, STEPS = 20_000, 400, 15
 LEAST, BLOCK = 2_000, 4_096
+#: Queries whose best entries a task holds at once.
+HELD = 20_000
 TARGET = 0.96
 #: Entries for each cell on average, and most codes of a half.
 CELL, MOST_CODES = 128, 256
@@ -204,19 +207,29 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
                 norms = np.sqrt(np.einsum("ij,ij->i", block, block))
             q = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
             s = (q @ block.T) / (np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * norms[None, :])
-            for k_, row in zip(keys, s, strict=True):
+            own_norms = np.sqrt(np.einsum("ij,ij->i", q, q))
+            for k_, row, x, length in zip(keys, s, q, own_norms, strict=True):
                 if len(row) > keep:
                     cut = np.partition(row, -keep)[-keep]
-                    top = np.flatnonzero(row >= cut)
+                    top = np.flatnonzero(row >= cut - 1e-9)
                 else:
-                    top = range(len(row))
+                    top = np.arange(len(row))
+                exact = (block[top] * x).sum(axis=1) / (length * norms[top])
                 own = best.setdefault(k_, [])
-                own += [(-float(row[i]), names[i][1][0], names[i][1]) for i in top]
+                own += [(-float(e), names[i][1][0], names[i][1]) for e, i in zip(exact, top, strict=True)]
                 if len(own) > 4 * keep:
                     own.sort()
                     del own[keep:]
 
+        def found() -> Iterator[pa.RecordBatch]:
+            out = [(q, -s, ids) for q, own in best.items() for s, _, ids in sorted(own)[:keep]]
+            best.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["key", "score", "ids"])
+
         for batch in batches:
+            if len(best) >= HELD:
+                yield from found()
             cols = [c.to_pylist() for c in batch.columns]
             k0, n_rows = 0, batch.num_rows
             while k0 < n_rows:
@@ -233,9 +246,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
                 else:
                     ask(cols[3][k0:k1], cols[4][k0:k1])
                 k0 = k1
-        out = [(q, -s, ids) for q, own in best.items() for s, _, ids in sorted(own)[:keep]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["key", "score", "ids"])
+        yield from found()
 
     near = _arrow.map_batches(dealt, rerank, "key binary, score double, ids array<bigint>")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")))
