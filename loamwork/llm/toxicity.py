@@ -110,6 +110,10 @@ _MARKS = "\"'`.,;:!?()[]{}<>|/\\*#$%&@^~_+=-–—…“”‘’«»„¿¡"
 _DISGUISED = re.compile(r"[a-z].*[^a-zß-ɏ].*[a-z]|[0-9@$!|+(][a-z]|[a-z][0-9@$!|+(€£*#%]+$|([a-z])\1|[a-z]..*[а-ӿ]|[а-ӿ].*[a-z]")
 _FOLD = {ord(c): x for c, x in STANDS.items() if c.isalpha()}
 _TAIL = re.compile(r"([^\w\s])\1+$")
+#: Marks that stand for no letter: at the ends of a word a lattice can but drop them.
+_DEAD = "".join(c for c in _MARKS if c not in STANDS)
+_TWICE = re.compile(r"([a-z])\1")
+MOST_CACHED = 200_000
 #: Three of a character say as much as more.
 _RUN = re.compile(r"(.)\1{3,}")
 
@@ -145,7 +149,8 @@ class Channel:
         one /= one.sum()
         two = (c.sum(axis=0) + 4 * one) / (c.sum(axis=(0, 2))[:, None] + 4)
         three = (c + 4 * two[None]) / (c.sum(axis=2, keepdims=True) + 4)
-        self.cost = (-np.log(three)).tolist()
+        self.table = -np.log(three)
+        self.cost = self.table.tolist()
         self.signs = set(signs)
         self.cache: dict[str, str] = {}
 
@@ -190,13 +195,38 @@ class Channel:
                         fresh[x, y] = (total, text + letters)
             states = fresh
         best = min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
-        if len(self.cache) >= 200_000:
+        if len(self.cache) >= MOST_CACHED:
             self.cache.clear()
         self.cache[word] = best
         return best
 
+    def costs(self, words: list[str]) -> np.ndarray:
+        """What each word of plain letters costs as it stands."""
+        raw = np.frombuffer("".join(f"\0\0{w}\0" for w in words).encode(), np.uint8)
+        stream = np.where(raw == 0, 0, _CODE[raw])
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 3
+        at = np.cumsum(size) - size
+        third = _words.ragged(at + 2, size - 2)
+        return np.add.reduceat(self.table[stream[third - 2], stream[third - 1], stream[third]], np.cumsum(size - 2) - size + 2)
+
+    def learn_twice(self, words: list[str]) -> None:
+        """Decodes at once all words of plain letters of which one letter stands twice: their lattices have two paths."""
+        fresh = {}
+        for w in words:
+            bare = w.strip(_MARKS)
+            if bare not in self.cache and bare not in fresh and bare.isascii() and bare.isalpha() and len(bare) <= LONGEST and len(twice := _TWICE.findall(bare)) == 1 and twice[0] * 3 not in bare:
+                fresh[bare] = bare.replace(twice[0] * 2, twice[0])
+        if not fresh:
+            return
+        if len(self.cache) + len(fresh) > MOST_CACHED:
+            self.cache.clear()
+        once = self.costs(list(fresh.values())) + REPEAT < self.costs(list(fresh))
+        self.cache.update({w: x if o else w for (w, x), o in zip(fresh.items(), once.tolist(), strict=True)})
+
     def restore(self, word: str) -> tuple[str, ...]:
         """Readings of a lower-case word: without the marks around it and, if it looks disguised, decoded."""
+        if word.isalpha() and word.isascii() and not _TWICE.search(word):
+            return (word,)
         whole = _RUN.sub(r"\1\1\1", word)
         word = _TAIL.sub("", whole)
         bare = word.strip(_MARKS)
@@ -207,7 +237,8 @@ class Channel:
                 return (bare, bare.translate(_FOLD))
         if not _DISGUISED.search(whole):
             return (bare,)
-        return tuple({bare} | {x for w in (whole, word, bare) for x in self.stretches(w)} - {""})
+        forms = {whole.strip(_DEAD), word.strip(_DEAD), bare}
+        return tuple({bare} | {x for w in forms for x in self.stretches(w)} - {""})
 
     def stretches(self, word: str) -> set[str]:
         """The word decoded, in overlapping stretches if it is long."""
@@ -229,7 +260,9 @@ def spelled(words: _words.Words) -> list[tuple[int, str]]:
 
 def restored(words: _words.Words, channel: Channel) -> tuple[list[tuple[str, ...]], list[tuple[int, tuple[str, ...]]]]:
     """Readings of each word of vocab, and of each run of spaced letters with its document."""
-    readings = [channel.restore(w.decode()) for w in words.vocab.to_pylist()]
+    vocab = [w.decode() for w in words.vocab.to_pylist()]
+    channel.learn_twice(vocab)
+    readings = [channel.restore(w) for w in vocab]
     runs = []
     for doc, text in spelled(words):
         text = re.sub(r"(.)\1{2,}", r"\1\1", text)

@@ -261,6 +261,15 @@ def test_decoding_is_the_cheapest_path():
         assert min(whole(t, c) for t, c in paths if t == own.decode(word)) < least + 1e-9
 
 
+def test_words_with_one_letter_twice_are_decoded_alike_at_once():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("idotmrns"), rng.integers(2, 9))) for _ in range(400)] + ['"stuupid,"', "moronn", "aab", "xx"]
+    one, many = channel(), channel()
+    many.learn_twice(words)
+    assert len(many.cache) > 100 and all(one.decode(w) == x for w, x in many.cache.items())
+    assert all(set(one.restore(w)) == set(many.restore(w)) for w in words)
+
+
 def test_spelled_letters():
     w = _words.split(pa.array(["you i d i o t ok", "a b", None]), "space_lower")
     assert toxicity.spelled(w) == [(0, "idiot")]
