@@ -33,7 +33,7 @@ from loamwork.llm import _arrow, _eliasfano, _words
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 1, 0.75
 #: Bytes of the table (by the optimizer's estimate) for each shard of the words, tokens for each shard above.
-SHARD_BYTES, SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 1_500_000, 8, 1 << 20
+SHARD_BYTES, SHARD_TOKENS, LEAST_SHARDS, MOST_SHARDS = 4 << 20, 500_000, 8, 1 << 20
 #: Shards that a worker holds mapped, and bytes of shards that it has read from a store whose files cannot be mapped.
 MOST_MAPPED, MOST_READ = 1024, 128 << 20
 END = np.uint64(0x5D1E0F2B9C3A7741)
