@@ -99,10 +99,12 @@ def recurring(rows: DataFrame) -> DataFrame:
     """For each part lists of its anchors that are met at two places or more, and of those to be dealt out in several parts with how many."""
     # an anchor has a row for each batch and part at most, and no rows of an anchor are gathered
     dealt = rows.repartition("anchor")
-    often = dealt.groupBy("anchor").agg(F.sum("n").alias("places")).where("places > 1")
-    met = dealt.select("anchor", "part").join(often.hint("shuffle_hash"), "anchor")
-    hot = F.col("places") > SPLIT
-    salts = F.ceil(F.col("places") / F.lit(SPLIT)).cast("long")
+    # both sides need all columns, so that their exchange is one and the texts are read once (no sum is less than its rows or terms)
+    often = dealt.groupBy("anchor").agg(F.greatest(F.sum("n"), F.count("part")).alias("places")).where("places > 1")
+    met = dealt.join(often.hint("shuffle_hash"), "anchor")
+    places = F.greatest(F.col("places"), F.col("n").cast("long"))
+    hot = places > SPLIT
+    salts = F.ceil(places / F.lit(SPLIT)).cast("long")
     lists = [F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(hot, F.col("anchor"))).alias("hot"), F.collect_list(F.when(hot, salts)).alias("salts")]
     return met.groupBy("part").agg(*lists)
 
@@ -140,6 +142,34 @@ class Automata:
         return np.concatenate(found), np.concatenate(first)
 
 
+def _groups(first: np.ndarray, codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows by group of equal ones (an order, and where each group begins in it), and each window's group."""
+    full = _words.rolling(_words.mix(codes.astype(np.uint64) + np.uint64(1)), window)[first]
+    order = np.argsort(full, kind="stable")
+    cut = np.flatnonzero(np.append(True, full[order][1:] != full[order][:-1]))
+    group = np.empty(len(first), np.int64)
+    group[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
+    return order, cut, group
+
+
+def _phrases(first: np.ndarray, owner: np.ndarray, order: np.ndarray, cut: np.ndarray, group: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, number of windows) of runs that stand for the wanted groups: a run goes on as long as all windows of a group are followed by all of the next."""
+    size = np.diff(np.append(cut, len(order)))
+    follows = np.full(len(first), -1, np.int64)
+    near = np.flatnonzero((first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1]))
+    follows[near] = group[near + 1]
+    low, high = np.minimum.reduceat(follows[order], cut), np.maximum.reduceat(follows[order], cut)
+    linked = wanted & (low == high) & (low >= 0)
+    linked[linked] &= size[low[linked]] == size[linked]
+    goes_on = np.zeros(len(first) + 1, bool)
+    goes_on[order[cut[linked]] + 1] = True  # the earliest window of the next group
+    heads = wanted.copy()
+    heads[low[linked]] = False
+    start = np.sort(order[cut[heads]])
+    stops = np.flatnonzero(~goes_on)
+    return start, stops[np.searchsorted(stops, start, side="right")] - start
+
+
 def _inside(bounds: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts in which the runs of words begin, and whether they end there, too."""
     text = np.searchsorted(bounds, start, side="right") - 1
@@ -206,27 +236,27 @@ def _passages(docs: pa.Table, known: np.ndarray, hot: np.ndarray, part: int, win
     first, place, anchor = first[wanted], place[wanted], anchor[wanted]
     if not len(first):
         return
-    later = np.zeros(len(words.codes) + 1, bool)
-    full = _words.rolling(_words.mix(words.codes.astype(np.uint64) + np.uint64(1)), window)[first]
-    order = np.argsort(full, kind="stable")
-    same = np.append(False, full[order][1:] == full[order][:-1])
-    lead = order[:-1][same[1:] & ~same[:-1]]
+    later = np.zeros(len(words.codes) + 1, np.int32)
+    owner = np.searchsorted(words.bounds, first, side="right") - 1
+    order, cut, group = _groups(first, words.codes, window)
+    lead, n = _phrases(first, owner, order, cut, group, np.diff(np.append(cut, len(order))) > 1)
     if len(lead):
-        phrase, start = Automata(words.codes, first[lead], np.full(len(lead), window)).occurrences()
-        good = _inside(words.bounds, start, np.full(len(start), window))[1]
+        phrase, start = Automata(words.codes, first[lead], n + window - 1).occurrences()
+        good = _inside(words.bounds, start, n[phrase] + window - 1)[1]
         phrase, start = phrase[good], start[good]
         order = np.lexsort((start, phrase))
         again = order[1:][phrase[order][1:] == phrase[order][:-1]]
-        later[start[again]] = True
+        np.add.at(later, start[again], 1)
+        np.add.at(later, start[again] + n[phrase[again]], -1)
     # runs of consecutive windows with the same anchor and the same fate
-    gone = later[first]
+    gone = np.cumsum(later)[first] > 0
     cut = np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | (gone[1:] != gone[:-1]))
     at = np.flatnonzero(cut)
     stop = np.append(at[1:], len(first)) - 1
     raw, word_at = spaced(words)
     begin, end = word_at[first[at]], word_at[first[stop] + window] - 1
     texts = [None if g else raw[a:b] for g, a, b in zip(gone[at].tolist(), begin.tolist(), end.tolist(), strict=True)]
-    owner = np.searchsorted(words.bounds, first[at], side="right") - 1
+    owner = owner[at]
     salt = np.full(len(at), -1, np.int64)
     if len(hot):
         hot = hot[np.argsort(hot[:, 0])]
@@ -263,20 +293,10 @@ def settle(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     # windows that two places have, in one passage or two
     first = _windows(words.bounds, window)
     owner = np.searchsorted(words.bounds, first, side="right") - 1
-    full = _words.rolling(_words.mix(words.codes.astype(np.uint64) + np.uint64(1)), window)[first]
-    order = np.argsort(full, kind="stable")
-    cut = np.flatnonzero(np.append(True, full[order][1:] != full[order][:-1]))
-    met, passages_met = np.add.reduceat(places[owner[order]], cut), np.diff(np.append(cut, len(order)))
-    group = np.zeros(len(first), np.int64)
-    group[order] = np.repeat(np.arange(len(cut)), passages_met)
-    recurs, shared = met[group] > 1, passages_met[group] > 1
-    # a phrase is a window that several passages have, or a run of windows that one passage has, which several places have
-    one = recurs & ~shared
-    begins = one & ~np.append(False, one[:-1] & (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1]))
-    ends = one & ~np.append(one[1:] & (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1]), False)
-    lead = order[cut][passages_met > 1]
-    starts = np.concatenate([first[begins], first[lead]])
-    lengths = np.concatenate([first[ends] - first[begins], np.zeros(len(lead), np.int64)]) + window
+    order, cut, group = _groups(first, words.codes, window)
+    met = np.add.reduceat(places[owner[order]], cut)
+    lead, n = _phrases(first, owner, order, cut, group, met > 1)
+    starts, lengths = first[lead], n + window - 1
     phrase, at = Automata(words.codes, starts, lengths).occurrences() if len(starts) else (np.zeros(0, np.int64),) * 2
     inside, good = _inside(words.bounds, at, lengths[phrase]) if len(at) else (at, np.zeros(0, bool))
     phrase, at, inside = phrase[good], at[good], inside[good]
