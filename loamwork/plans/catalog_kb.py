@@ -337,7 +337,12 @@ def adjacent_similarity(spark, d):
     return e.withColumn("u", before).where("u is not null").select("vec_id", F.round(scores.cosine(F.col("embedding"), F.col("u")), 6).alias("sim"))
 
 
-@query("embed_fallback")
+@query(
+    "embed_fallback",
+    r"""WITH b AS (SELECT doc_id, sum(c*c) AS s FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS words, length(text) AS chars, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals FROM documents)
+SELECT doc_id, round(words / sqrt(s + words*words + chars*chars + digits*digits + capitals*capitals), 9) AS words, 1.0::DOUBLE AS norm FROM b JOIN f USING (doc_id)""".replace("\\\\", "\\"),
+)
 def embed_fallback(spark, d):
     out = embedding.embed_column(session.table(spark, d, "documents").select("doc_id", "text"), "text", embedding.Fallback(384))
     return out.select("doc_id", F.round(F.get("embedding", F.lit(256)), 9).alias("words"), F.round(scores.dot(F.col("embedding"), F.col("embedding")), 9).alias("norm"))

@@ -397,6 +397,23 @@ def circuit_breaker(spark, d):
     return stateful.breaker(e, "user_id", failures=2, seconds=3600).select("event_id", "user_id", "allowed", "state")
 
 
+@query(
+    "guarded_calls",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type <> 'error' AS ok, epoch_us(ts)/1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, t, true AS allowed, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failed, CAST(0 AS DOUBLE) AS since FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, t, go, CASE WHEN NOT go THEN state WHEN ok THEN 'CLOSED' WHEN failed + 1 >= 2 THEN 'OPEN' ELSE state END, CASE WHEN NOT go THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN NOT go THEN since WHEN ok THEN 0 WHEN failed + 1 >= 2 THEN t ELSE since END
+  FROM (SELECT e.*, w.state, w.failed, w.since, NOT (w.state = 'OPEN' AND e.t - w.since <= 90000) AS go FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)),
+g AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY n) AS k FROM w WHERE allowed),
+b AS (SELECT user_id, k, event_id, t, CAST(0.0 AS DOUBLE) AS kept, true AS allowed FROM g WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, t, CASE WHEN level >= 1 THEN level - 1 ELSE level END, level >= 1 FROM (SELECT g.*, least(1.0, b.kept + greatest(0, g.t - b.t) * 0.00001)::DOUBLE AS level FROM b JOIN g ON g.user_id = b.user_id AND g.k = b.k + 1))
+SELECT event_id, user_id, allowed FROM b""",
+)
+def guarded_calls(spark, d):
+    """The breaker of each user first, then the user's bucket for what the breaker lets through."""
+    e = session.table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "error").alias("ok"))
+    return stateful.guarded(e, ["user_id"], "user_id", 0.00001, 1, 2, 90000).select("event_id", "user_id", "allowed")
+
+
 @query("idempotency_once", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def idempotency_once(spark, d):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")

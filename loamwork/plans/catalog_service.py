@@ -318,3 +318,21 @@ def fusion_weights(spark, d):
     base = scores.linear(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50, (0.5, 0.3, 0.2))
     return session.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(base, 6).alias("base"))
 
+
+
+@query(
+    "explain_mentions",
+    f"WITH {MENTIONS}, m AS (SELECT DISTINCT uri, unnest(entity_uris) AS e FROM mentioned WHERE doc_id%10=0), top AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY e) AS n FROM m) SELECT c.uri, 'vector'||coalesce(','||r, '') AS reasons FROM (SELECT uri FROM chunks WHERE doc_id%10=0) c LEFT JOIN (SELECT uri, string_agg('MENTIONS '||e, ',' ORDER BY n) AS r FROM top WHERE n <= 5 GROUP BY uri) g USING (uri)",
+)
+def explain_mentions(spark, d):
+    """What chunks mention, the first five each."""
+    own = mentions(spark, d).where(F.col("doc_id") % 10 == 0)
+    edges = graph.mention_edges(own).where("rel = 'MENTIONS'")
+    return graph.explain(edges, own.select("uri"), 5).select("uri", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("filter_ids", f"WITH {KB} SELECT doc_id, doc_uri FROM kb WHERE {SEES} AND source_path IN ('doc/1','doc/4','doc/10','doc/16','doc/22')")
+def filter_ids(spark, d):
+    """Named ids of those that a caller may see."""
+    f = Filter(ids=("doc/1", "doc/4", "doc/10", "doc/16", "doc/22")).bound("w1", "u1", ("reader",))
+    return f.apply(docs(spark, d), "source_path").select("doc_id", "doc_uri")

@@ -46,6 +46,17 @@ class Table:
             self.write(now.join(keys.select(*self.keys).distinct(), self.keys, "left_anti"))
         return n
 
+    def rekey(self, keys: list[str], filled: dict[str, str] | None = None) -> None:
+        """Gives the table other keys: null key columns are filled, and of rows with equal new keys one stays. Nothing is done if the keys are these already."""
+        if keys == self.keys:
+            return
+        rows = self.read().fillna(filled or {})
+        missing = rows.where(" or ".join(f"{k} is null" for k in keys))
+        if not missing.isEmpty():
+            raise ValueError("a key column is null")
+        self.write(rows.dropDuplicates(keys))
+        self.keys = list(keys)
+
     def vacuum(self) -> None:
         """Deletes all versions but the current one."""
         now, jvm = self._pointer(), self.spark.sparkContext._jvm

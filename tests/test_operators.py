@@ -331,3 +331,14 @@ def test_fallback_embedding(spark):
     assert abs(v[257] - 5 / norm) < 1e-12 and abs(v[256] - 2 / norm) < 1e-12 and not embedding.Fallback(8).one("").any()
     df = spark.createDataFrame([("x",), ("x",), (None,)], "text string")
     assert embedding.embed_column(df, "text", embedding.Fallback(8)).count() == 3
+
+
+def test_tables_take_other_keys(spark, tmp_path):
+    t = tables.Table(spark, f"file://{tmp_path}/entities", "uri string, workspace_id string, name string", ["uri"])
+    t.upsert(spark.createDataFrame([("a", None, "x"), ("b", "w2", "y")], t.schema))
+    with pytest.raises(ValueError):
+        t.rekey(["uri", "workspace_id"])
+    t.rekey(["uri", "workspace_id"], {"workspace_id": "w1"})
+    t.rekey(["uri", "workspace_id"])
+    t.upsert(spark.createDataFrame([("a", "w2", "z"), ("a", "w1", "new")], t.schema))
+    assert sorted(tuple(r) for r in t.read().collect()) == [("a", "w1", "new"), ("a", "w2", "z"), ("b", "w2", "y")]
