@@ -1,6 +1,6 @@
 """Language-model scores from an Elias-Fano n-gram trie, of order 3 with all n-grams if not said otherwise.
 
-Level 1 of the trie holds the hashes of all training words in rising order; a word's id is its place. Level k holds an n-gram as the number
+Level 1 of the trie holds the hashes of all training words in rising order; a word's id is its place (words of equal 64-bit hashes are one). Level k holds an n-gram as the number
 (place of its context in level k - 1) * V + (id of its last word). These numbers rise, so each level is one Elias-Fano sequence: a context's pointer is where its
 first number would stand, and its successors follow, relative to it. A level is cut in shards of about SHARD_TOKENS counts (more from MOST_SHARDS shards on), a file
 each in the shared folder, which tasks map into memory; a very frequent context may lie in several shards. A lookup goes to its number's bucket of high bits and
@@ -384,6 +384,8 @@ def _higher(docs: DataFrame, folder: str, trie: Trie, k: int, made: list, n_shar
     spark = docs.sparkSession
     bounds = _even_bounds(made, trie.levels[-1], max(trie.vocabulary, 1), n_shards)
     size = np.uint64(max(trie.vocabulary, 1))
+    if int(trie.levels[-1].offsets[-1]) * int(size) >= 1 << 64:
+        raise ValueError(f"numbers of level {k} do not fit 64 bits: too many n-grams for this vocabulary")
     sent = spark.sparkContext.broadcast(trie)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
