@@ -43,11 +43,12 @@ best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri)
 
 
 def knowledge_base(spark: SparkSession, d: str) -> service.KnowledgeBase:
-    own = mentions(spark, d)
+    """The tables as ingestion leaves them: written once, then searched."""
+    own = session.written(mentions(spark, d), "kb-chunks")
     n = F.col("conv_id")
     chunk = F.concat(F.lit("kb://chunk/"), F.substring(F.sha1(F.concat(F.lit("w"), (n % 3).cast("string"), F.lit(":doc/"), n.cast("string"))), 1, 16), F.lit("_0"))
     cited = turns(spark, d).withColumn("citations", F.array(F.struct(chunk.alias("chunk_uri"))))
-    return service.KnowledgeBase(docs(spark, d).select("doc_uri", "title"), own, graph.mention_nodes(own), graph.mention_edges(own), cited)
+    return service.KnowledgeBase(docs(spark, d).select("doc_uri", "title"), own, session.written(graph.mention_nodes(own), "kb-nodes"), session.written(graph.mention_edges(own), "kb-edges"), cited)
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
