@@ -5,7 +5,7 @@
    every entry is indexed in its cell. Large cells are split in blocks of BLOCK entries.
 3. A query visits cells by rising sum of its halves' squared distances to the codes (multi-sequence search with a heap) until they hold `visit` of all
    entries, and LEAST entries at least. `visit` is what the fitting sample needs for the target recall against brute force.
-4. Visits meet the entries of their cells by a shuffle on (cell, block); each task reranks by cosine in double precision on the original vectors. Products of
+4. Blocks are gathered in groups of about GROUP entries, and a query is sent once to each group in which it visits any block. There each task reranks by cosine in double precision on the original vectors. Products of
    whole blocks choose, and the scores of what they choose are summed anew in one order, so that a score does not depend on the block it was found in.
 
 Defined results: vectors that are null or zero or hold null or non-finite components take no part, nor do those whose length is not the commonest; a vec_id that
@@ -28,12 +28,14 @@ from loamwork.llm import _arrow
 
 K = 5
 FIT_ROWS, FIT_QUERIES, STEPS = 20_000, 400, 15
-LEAST, BLOCK = 2_000, 4_096
+LEAST, BLOCK, GROUP = 2_000, 4_096, 32_768
 #: Queries whose best entries a task holds at once.
 HELD = 20_000
 TARGET = 0.96
 #: Entries for each cell on average, and most codes of a half.
 CELL, MOST_CODES = 128, 256
+#: More blocks than a cell can have.
+MOST_BLOCKS = 1 << 40
 
 
 def entries(vectors: DataFrame, keep: int, every: int) -> DataFrame:
@@ -167,10 +169,11 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
     for r in placed.groupBy("cell").count().collect():  # a row for each cell, MOST_CODES squared at most
         counts[r["cell"]] = r["count"]
     blocks = np.maximum(1, -(-counts // BLOCK))
-    held = spark.sparkContext.broadcast((counts, blocks, enough))
+    before, each = np.cumsum(counts) - counts, -(-counts // blocks)
+    held = spark.sparkContext.broadcast((counts, blocks, before, each, enough))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_of, blocks_of, least = held.value
+        n_of, blocks_of, before_of, each_of, least = held.value
         for batch in batches:
             x = np.stack([np.frombuffer(v.as_buffer()) for v in batch.column("vec")]) if batch.num_rows else np.zeros((0, 1))
             if not len(x):
@@ -178,45 +181,70 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
             a, b = sent.value.both(x)
             for q in range(len(x)):
                 to = np.array(sent.value.visits(a[q], b[q], n_of, least), np.int64)
-                rep = blocks_of[to]
-                cell = np.repeat(to, rep).astype(np.int32)
-                block = np.concatenate([np.arange(r) for r in rep]).astype(np.int32)
-                m = len(cell)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block), pa.array([batch.column("key")[q].as_py()] * m, pa.binary()), pa.array([batch.column("vec")[q].as_py()] * m, pa.binary())], ["cell", "block", "key", "vec"])
+                cell = np.repeat(to, blocks_of[to])
+                block = np.arange(len(cell)) - np.repeat(np.cumsum(blocks_of[to]) - blocks_of[to], blocks_of[to])
+                group = (before_of[cell] + block * each_of[cell]) // GROUP
+                order = np.argsort(group, kind="stable")
+                at = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else order
+                units = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array((cell * MOST_BLOCKS + block)[order]))
+                m = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(group[order][at]), pa.array([batch.column("key")[q].as_py()] * m, pa.binary()), pa.array([batch.column("vec")[q].as_py()] * m, pa.binary()), units], ["group", "key", "vec", "units"])
 
     lookups = merged.join(asked.select("key").distinct(), "key", "left_semi").select("key", "vec")
-    probes = _arrow.map_batches(lookups, route, "cell int, block int, key binary, vec binary")
-    split = spark.createDataFrame([(int(c), int(blocks[c])) for c in np.flatnonzero(blocks > 1)], "cell int, blocks int")
-    stored = placed.join(F.broadcast(split), "cell", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    rows = stored.select("cell", "block", F.lit(0).alias("kind"), "key", "vec", "ids").unionByName(probes.select("cell", "block", F.lit(1).alias("kind"), "key", "vec", F.lit(None).cast("array<bigint>").alias("ids")))
-    dealt = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    probes = _arrow.map_batches(lookups, route, "group long, key binary, vec binary, units array<bigint>")
+    # a row for each cell, MOST_CODES squared at most
+    info = spark.createDataFrame([(int(c), int(blocks[c]), int(before[c]), int(each[c])) for c in np.flatnonzero(counts)], "cell int, blocks int, before long, each long")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    stored = placed.join(F.broadcast(info), "cell").withColumn("block", block).withColumn("group", F.floor((F.col("before") + F.col("block") * F.col("each")) / F.lit(GROUP)))
+    unit = F.col("cell").cast("long") * F.lit(MOST_BLOCKS) + F.col("block")
+    none = lambda t: F.lit(None).cast(t)
+    rows = stored.select("group", unit.alias("unit"), "key", "vec", "ids", none("array<bigint>").alias("units")).unionByName(probes.select("group", none("long").alias("unit"), "key", "vec", none("array<bigint>").alias("ids"), "units"))
+    dealt = rows.repartition("group").sortWithinPartitions("group", F.col("unit").asc_nulls_last())
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, list[tuple[float, int, list[int]]]] = {}
-        names: list[tuple[bytes, list[int]]] = []
-        block: np.ndarray | None = None
+        now: int | None = None
         raw: list[bytes] = []
-        at, norms = None, None
+        names: list[list[int]] = []
+        places: list[int] = []
+        block = norms = bounds = None
 
-        def ask(keys: list[bytes], vecs: list[bytes]) -> None:
-            nonlocal block, norms
+        def ask(keys: list[bytes], vecs: list[bytes], units: pa.ListArray) -> None:
+            nonlocal block, norms, bounds
             if not raw:
                 return
             if block is None:
                 block = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
                 norms = np.sqrt(np.einsum("ij,ij->i", block, block))
+                unit = np.array(places, np.int64)
+                at = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+                bounds = dict(zip(unit[at].tolist(), zip(at.tolist(), np.append(at[1:], len(unit)).tolist(), strict=True), strict=True))
             q = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
-            s = (q @ block.T) / (np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * norms[None, :])
-            own_norms = np.sqrt(np.einsum("ij,ij->i", q, q))
-            for k_, row, x, length in zip(keys, s, q, own_norms, strict=True):
-                if len(row) > keep:
-                    cut = np.partition(row, -keep)[-keep]
-                    top = np.flatnonzero(row >= cut - 1e-9)
-                else:
-                    top = np.arange(len(row))
-                exact = (block[top] * x).sum(axis=1) / (length * norms[top])
-                own = best.setdefault(k_, [])
-                own += [(-float(e), names[i][1][0], names[i][1]) for e, i in zip(exact, top, strict=True)]
+            lengths = np.sqrt(np.einsum("ij,ij->i", q, q))
+            asks = units.flatten().to_numpy()
+            by = np.repeat(np.arange(len(units)), units.value_lengths().to_numpy())
+            order = np.argsort(asks, kind="stable")
+            cut = np.flatnonzero(np.append(True, np.diff(asks[order]) != 0))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for x, y in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                a, b = bounds.get(int(asks[order[x]]), (0, 0))
+                if a == b:
+                    continue
+                who = by[order[x:y]]
+                s = (q[who] @ block[a:b].T) / (lengths[who][:, None] * norms[None, a:b])
+                m = min(keep, b - a)
+                row, col = np.nonzero(s >= np.partition(s, b - a - m, axis=1)[:, b - a - m][:, None] - 1e-9)
+                found.append((who[row], a + col))
+            if not found:
+                return
+            who, which = (np.concatenate(c) for c in zip(*found, strict=True))
+            exact = (block[which] * q[who]).sum(axis=1) / (lengths[who] * norms[which])
+            first = np.array([n[0] for n in names], np.int64)[which]
+            order = np.lexsort((first, -exact, who))
+            order = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < keep]
+            for k, i, e in zip(who[order].tolist(), which[order].tolist(), exact[order].tolist(), strict=True):
+                own = best.setdefault(keys[k], [])
+                own.append((-e, names[i][0], names[i]))
                 if len(own) > 4 * keep:
                     own.sort()
                     del own[keep:]
@@ -230,22 +258,20 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
         for batch in batches:
             if len(best) >= HELD:
                 yield from found()
-            cols = [c.to_pylist() for c in batch.columns]
-            k0, n_rows = 0, batch.num_rows
-            while k0 < n_rows:
-                cell = (cols[0][k0], cols[1][k0])
-                if cell != at:
-                    at, block, raw, names = cell, None, [], []
-                k1 = k0
-                kind = cols[2][k0]
-                while k1 < n_rows and (cols[0][k1], cols[1][k1]) == cell and cols[2][k1] == kind:
-                    k1 += 1
-                if kind == 0:
-                    raw += cols[4][k0:k1]
-                    names += list(zip(cols[3][k0:k1], cols[5][k0:k1], strict=True))
+            group, stands = batch.column("group").to_numpy(), batch.column("unit").is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (stands[1:] != stands[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if group[a] != now:
+                    now, block, raw, names, places = int(group[a]), None, [], [], []
+                part = batch.slice(a, b - a)
+                if stands[a]:
+                    raw += part.column("vec").to_pylist()
+                    names += part.column("ids").to_pylist()
+                    places += part.column("unit").to_pylist()
                 else:
-                    ask(cols[3][k0:k1], cols[4][k0:k1])
-                k0 = k1
+                    ask(part.column("key").to_pylist(), part.column("vec").to_pylist(), part.column("units"))
         yield from found()
 
     near = _arrow.map_batches(dealt, rerank, "key binary, score double, ids array<bigint>")
