@@ -35,7 +35,7 @@ WINDOW, ANCHOR = 20, 8
 #: Words of phrases in one automaton at most.
 AUTOMATON_WORDS = 400_000
 #: Bytes of documents in a batch, and of passages that are worked on together (whole anchors).
-BATCH, GROUP = 8 << 20, 2 << 20
+BATCH, GROUP = 4 << 20, 2 << 20
 #: Places of an anchor in one part at most.
 SPLIT = 8192
 #: Bytes of the table for each of its parts (by the optimizer's estimate).
