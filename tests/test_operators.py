@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.functions import access, scores, text
-from loamwork.operators import chunking, embedding, entities, evaluate, graph, ingest, match, memory, retrieve, route, vector
+from loamwork.operators import chunking, embedding, entities, evaluate, graph, ingest, match, memory, retrieve, route, service, vector
 from loamwork.operators.filters import Filter
 from loamwork.sources import files, tables
 from loamwork.streaming import stateful
@@ -342,3 +342,41 @@ def test_tables_take_other_keys(spark, tmp_path):
     t.rekey(["uri", "workspace_id"])
     t.upsert(spark.createDataFrame([("a", "w2", "z"), ("a", "w1", "new")], t.schema))
     assert sorted(tuple(r) for r in t.read().collect()) == [("a", "w1", "new"), ("a", "w2", "z"), ("b", "w2", "y")]
+
+
+def small_knowledge_base(spark):
+    acl = ["u1"]
+    chunks = [
+        ("kb://chunk/a_0", "kb://doc/a", "w1", acl, "s", ["t"], "ledger service calls billing", ["kb://entity/symbol:ledger"]),
+        ("kb://chunk/b_0", "kb://doc/b", "w1", acl, "s", ["t"], "rollback of accounts", ["kb://entity/symbol:ledger"]),
+        ("kb://chunk/c_0", "kb://doc/c", "w1", ["u2"], "s", ["t"], "ledger secrets", ["kb://entity/symbol:ledger"]),
+        ("kb://chunk/d_0", "kb://doc/d", "w2", acl, "s", ["t"], "ledger elsewhere", []),
+    ]
+    own = spark.createDataFrame(chunks, "uri string, doc_uri string, workspace_id string, acl_allow array<string>, source string, tags array<string>, text string, entity_uris array<string>")
+    own = own.withColumns({"title": F.substring("doc_uri", 10, 1), "updated_at": F.lit("2024-01-01").cast("timestamp"), "span": F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))})
+    aliases = F.when(F.col("uri") == "kb://entity/symbol:ledger", F.array(F.lit("accounts"))).otherwise(F.array().cast("array<string>"))
+    memory = spark.createDataFrame([("m1", "w1", "u1", "fact", "ledger: key=secret password: hunter22", [("kb://chunk/b_0",)])], "uri string, workspace_id string, subject string, type string, text string, citations array<struct<chunk_uri:string>>")
+    return service.KnowledgeBase(own.select("doc_uri", "title"), own, graph.mention_nodes(own).withColumn("aliases", aliases), graph.mention_edges(own), memory)
+
+
+def test_search_for_a_caller(spark):
+    kb = small_knowledge_base(spark)
+    asks = spark.createDataFrame([("1", "ledger", "hybrid", True), ("2", "ledger", "vector", False)], "qid string, query string, mode string, include_memory boolean")
+    who = Filter("w1", "u1", ())
+    found, remembered, traces = service.search(asks, kb, who)
+    got = {(r.qid, r.uri): r for r in found.collect()}
+    assert set(got) == {("1", "kb://chunk/a_0"), ("2", "kb://chunk/a_0")}  # others are not allowed or share no token
+    assert (got["1", "kb://chunk/a_0"].graph, got["2", "kb://chunk/a_0"].graph) == (1.0, 0.0)
+    assert got["1", "kb://chunk/a_0"].title == "a" and got["1", "kb://chunk/a_0"].citations[0].uri == "kb://doc/a"
+    assert [(r.qid, r.uri, r.text) for r in remembered.collect()] == [("1", "m1", "ledger: key=secret password: ***")]
+    trace = {r.qid: r for r in traces.collect()}
+    assert (trace["1"].seeds, trace["1"].graph_nonzero, trace["1"].intent) == (1, True, "memory_context") and (trace["2"].seeds, trace["2"].reason) == (0, "requested_mode")
+
+
+def test_search_with_expanded_queries(spark):
+    """The name's alias finds a chunk that the query's own words do not; its lexical share stays that of the query."""
+    kb = small_knowledge_base(spark)
+    asks = spark.createDataFrame([("1", "ledger", "hybrid", True)], "qid string, query string, mode string, include_memory boolean")
+    got = {r.uri: r for r in service.search(asks, kb, Filter("w1", "u1", ()), expand=True)[0].collect()}
+    assert set(got) == {"kb://chunk/a_0", "kb://chunk/b_0"}
+    assert got["kb://chunk/b_0"].lexical == 0.0 and got["kb://chunk/b_0"].memory == 1.0 and got["kb://chunk/a_0"].lexical == 1.0
