@@ -26,7 +26,7 @@ from loamwork import session
 from loamwork.llm import _arrow, _tokens, _words
 
 WINDOW = 2048
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 #: Neighbours that are put in order at a time.
 STEP = 32
 K1, B = 1.2, 0.75
@@ -69,8 +69,8 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
         doc, term, weight = weighted_terms(np.concatenate(docs) if docs else np.zeros(0, np.int64), bounds, idf, mean)
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
+        order = np.argsort(term.astype(np.uint16) if len(idf) <= 1 << 16 else term, kind="stable")
+        self.docs, self.weights = doc[order], weight[order].astype(np.float64)
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.terms, self.own = term, np.searchsorted(doc, np.arange(len(docs) + 1))
         self.unused = np.ones(len(docs), bool)
@@ -155,8 +155,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             docs = [np.frombuffer(x.as_buffer(), dtype) for x in batch.column("ids")]
             bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
             doc, term, weight = weighted_terms(np.concatenate(docs), bounds, weights, mean)
-            order = np.lexsort((term, -weight, doc))  # a document has its end id at least
-            best = term[order[np.searchsorted(doc, np.arange(len(docs)))]]
+            most = np.maximum.reduceat(weight, np.searchsorted(doc, np.arange(len(docs))))  # a document has its end id at least
+            at = np.flatnonzero(weight == most[doc])
+            best = term[at[np.append(True, doc[at][1:] != doc[at][:-1])]]
             # a term's documents fill so many shards at most
             places = np.maximum(1, have[best] * mean / SHARD_TOKENS).astype(np.int64)
             names = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)
