@@ -19,6 +19,7 @@ MODULES = {
     "op8_ngram_scores": "ngramlm",
     "op9_quality": "quality",
     "op10_nearest_neighbours": "ann",
+    "op11_interval_overlaps": "intervals",
 }
 
 
