@@ -20,6 +20,7 @@ MODULES = {
     "op9_quality": "quality",
     "op10_nearest_neighbours": "ann",
     "op11_interval_overlaps": "intervals",
+    "op12_piece_encoding": "pieces",
 }
 
 
