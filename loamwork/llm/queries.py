@@ -21,6 +21,7 @@ MODULES = {
     "op10_nearest_neighbours": "ann",
     "op11_interval_overlaps": "intervals",
     "op12_piece_encoding": "pieces",
+    "op13_token_alignment": "alignment",
 }
 
 
