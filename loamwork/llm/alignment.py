@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.llm import _arrow, _tokens, _words, pieces
 
-BATCH_TEXT = 32 << 20
+BATCH_TEXT = 14 << 20
 #: Bytes of input for each part of the segments, and the most parts; segments that a task keeps at most (beyond them it begins anew and may tokenize one again).
 PART_BYTES, MOST_PARTS, KEEP = 8 << 20, 1 << 20, 1_000_000
 #: Token pairs of documents that are sorted at once.
-LINKS_TOGETHER = 1 << 20
+LINKS_TOGETHER = 1 << 19
 #: White space by any of the definitions in use.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\x85᠎​﻿"
 CUTS = " \n\t"
@@ -224,16 +224,18 @@ class Aligned:
         self._pairs(group_end)
 
     def _strings(self, v: Vocabularies, group_end: np.ndarray) -> None:
-        a, b = [v.name_a[i] for i in self.a.tolist()], [v.name_b[i] for i in self.b.tolist()]
-        made, at_a, at_b = [], 0, 0
-        for n, m in zip(self.in_a.tolist(), self.in_b.tolist(), strict=True):
-            made.append((a[at_a] if n == 1 else ",".join(a[at_a : at_a + n])) + "|" + (b[at_b] if m == 1 else ",".join(b[at_b : at_b + m])))
-            at_a += n
-            at_b += m
-        self.strings, low = [], 0
-        for high in group_end.tolist():
-            self.strings.append(made[low] if high - low == 1 else ";".join(made[low:high]))
-            low = high
+        self.strings = []
+        tokens, groups = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.sizes[:, :2], 0)]), np.concatenate([[0], group_end])
+        for low in range(0, len(group_end), 20_000):  # lists of few segments at once
+            high = min(low + 20_000, len(group_end))
+            a, b = ([name[i] for i in ids[at[low] : at[high]].tolist()] for name, ids, at in ((v.name_a, self.a, tokens[:, 0]), (v.name_b, self.b, tokens[:, 1])))
+            made, at_a, at_b = [], 0, 0
+            for n, m in zip(self.in_a[groups[low] : groups[high]].tolist(), self.in_b[groups[low] : groups[high]].tolist(), strict=True):
+                made.append((a[at_a] if n == 1 else ",".join(a[at_a : at_a + n])) + "|" + (b[at_b] if m == 1 else ",".join(b[at_b : at_b + m])))
+                at_a += n
+                at_b += m
+            bounds = (groups[low : high + 1] - groups[low]).tolist()
+            self.strings += [";".join(made[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _pairs(self, group_end: np.ndarray) -> None:
         """Linked pairs of each segment: distinct ones as numbers into `pairs`, and how often each is linked."""
@@ -311,6 +313,8 @@ def _compose(asked: pa.Table, given: pa.Table, first: str, second: str) -> pa.Ta
     blobs = [packed(n_pairs), packed(np.diff(whole_of(pair_of), prepend=0).astype(np.int32)), packed(whole_of(often))]
     values = [pa.array([asked.column("batch")[0].as_py()], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([packed(stats)], pa.binary()), pa.array([shas], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in blobs)]
     lists = [pa.array([x], pa.list_(pa.int64())) for x in (al.pairs, docs)]
+    del al
+    _arrow.trim()
     return pa.Table.from_arrays([*values, *lists], [x.split()[0] for x in _COMPOSED.split(", ")])
 
 
