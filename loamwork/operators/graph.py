@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamwork import session
 from loamwork.functions import access, text
 from loamwork.operators import entities, match
 
@@ -13,6 +14,8 @@ from loamwork.operators import entities, match
 RELATIONS = ["DEPENDS_ON", "CALLS", "OWNS", "IMPLEMENTS", "AFFECTS"]
 FOLLOWED = ["CONTAINS", "MENTIONS", "DOCUMENTED_IN", *RELATIONS]
 NODE = ["uri", "type", "name", "workspace_id", "acl_allow"]
+#: What entities have beside that: the key they are known by, and their spellings in order of first occurrence.
+ENTITY = [*NODE, "canonical_key", "aliases"]
 
 
 def mention_nodes(chunks: DataFrame) -> DataFrame:
@@ -74,19 +77,32 @@ def visible_edges(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None =
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int = 200) -> DataFrame:
-    """(qid, uri, hop) reached from seeds (qid, uri) in up to `depth` undirected steps, nearest first, at most max_nodes for each qid.
+    """(qid, uri, hop) reached from seeds (qid, uri) in up to `depth` undirected steps, nearest first (then by uri), at most max_nodes for each qid.
 
-    The loop is unrolled: one join with the edges for each step.
+    Edges are written once in both directions, and so is what each step finds: a step reads the last one's rows, so plans don't grow with the depth. A step
+    keeps no more nodes of a qid than max_nodes has left; as nearer nodes come first, nothing behind a full step could be in the result.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("qid", "uri").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    both = session.written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    front = session.written(_first(seeds.select("qid", "uri").distinct(), None, max_nodes).withColumn("hop", F.lit(0)), "front")
+    seen = front
     for hop in range(1, min(depth, 4) + 1):
-        step = front.join(both, front["uri"] == both["src"]).select("qid", F.col("dst").alias("uri")).distinct()
-        front = step.join(seen.select("qid", "uri"), ["qid", "uri"], "left_anti").withColumn("hop", F.lit(hop))
+        step = front.select("qid", F.col("uri").alias("src")).join(both, "src").select("qid", F.col("dst").alias("uri")).distinct()
+        fresh = step.join(seen.select("qid", "uri"), ["qid", "uri"], "left_anti")
+        front = session.written(_first(fresh, seen, max_nodes).withColumn("hop", F.lit(hop)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("hop", "uri"))
-    return seen.withColumn("_n", rank).where(F.col("_n") <= max_nodes).drop("_n")
+    return seen
+
+
+def _first(rows: DataFrame, seen: DataFrame | None, most: int) -> DataFrame:
+    """The first rows (qid, uri) of each qid by uri, as many as `most` leaves beside those seen; tasks cut their own rows before any are gathered."""
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("uri"))
+    rows = rows.withColumn("_n", rank).where(F.col("_n") <= most)
+    if seen is not None:
+        have = seen.groupBy("qid").agg(F.count(F.lit(1)).alias("_have"))
+        rows = rows.join(have, "qid").where(F.col("_n") + F.col("_have") <= most)
+    return rows.select("qid", "uri")
 
 
 def expanded_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:

@@ -87,6 +87,8 @@ def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: Data
 
 def entity_hits(queries: DataFrame, ents: DataFrame, limit: int = 3) -> DataFrame:
     """(qid, rank, score, name, aliases): entities (uri, name, aliases) whose search text is nearest to the query; max(10, 4 * limit) candidates of each."""
+    none = F.array().cast("array<string>")
+    ents = ents.select("uri", "name", (F.coalesce("aliases", none) if "aliases" in ents.columns else none).alias("aliases"))
     rows = ents.select("uri", "name", "aliases", entities.search_text(F.col("name"), F.col("aliases")).alias("text")).where("text is not null")
     hits = top(lexical(queries, rows, max(10, 4 * limit)), max(10, 4 * limit), F.desc("score"), F.col("uri"))
     return hits.join(rows.select("uri", "name", "aliases"), "uri").select("qid", "rank", "score", "name", "aliases")

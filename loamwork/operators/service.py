@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamwork import session
 from loamwork.functions import access, text
 from loamwork.operators import entities, graph, ingest, memory, retrieve, route
 from loamwork.operators.filters import Filter
@@ -35,10 +37,10 @@ def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str =
     allowed = caller.apply(kb.chunks)
     routed = requests.withColumn("intent", route.intent(F.col("query"), F.col("include_memory"))).withColumn("reason", route.reason(F.col("query"), F.col("mode")))
     owner = requests.where("include_memory").withColumns({"workspace_id": F.lit(caller.workspace_id), "subject": F.lit(caller.subject)})
-    remembered = memory.search(owner, kb.memory, min(5, top_k))
+    remembered = session.written(memory.search(owner, kb.memory, min(5, top_k)), "remembered")
     bonus = memory.chunk_bonus(remembered, kb.memory)
     nodes = graph.visible(kb.nodes, caller.workspace_id, who, enforce)
-    seeds = graph.resolve(requests.where("mode <> 'vector'"), nodes)
+    seeds = session.written(graph.resolve(requests.where("mode <> 'vector'"), nodes), "seeds")
     reached = graph.expand(graph.visible_edges(kb.edges, nodes, kinds), seeds, retrieve.depth_of("hybrid", depth), max_nodes)
     expanded = retrieve.expand_queries(requests, retrieve.entity_hits(requests, nodes.where("type = 'Entity'"))) if expand else None
     found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded)
@@ -52,19 +54,46 @@ def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str =
 
 @dataclass(frozen=True)
 class Store:
-    """Tables that ingestion changes: docs, chunks, nodes, edges and the ledger (workspace_id, source_path, checksum)."""
+    """Tables that ingestion changes: docs, chunks, nodes, edges, the ledger (workspace_id, source_path, checksum) and, if they are kept, the relations that
+    each chunk states (uri, src, rel, dst, workspace_id). Nodes of entities have canonical_key and aliases; where a store has none, they begin empty."""
 
     docs: DataFrame
     chunks: DataFrame
     nodes: DataFrame
     edges: DataFrame
     ledger: DataFrame
+    stated: DataFrame | None = None
+
+    def written(self) -> Store:
+        """The same as written tables, as a store is kept between ingestions."""
+        return Store(**{f.name: None if (df := getattr(self, f.name)) is None else session.written(df, f"store-{f.name}") for f in dataclass_fields(self)})
+
+    def knowledge_base(self, memory: DataFrame) -> KnowledgeBase:
+        """What a search reads."""
+        return KnowledgeBase(self.docs, self.chunks, self.nodes, self.edges, memory)
+
+
+def empty_store(spark: SparkSession) -> Store:
+    """A store before its first ingestion."""
+    own = "workspace_id string, title string, source string, source_path string, acl_allow array<string>, tags array<string>, updated_at timestamp"
+    of = lambda schema: spark.createDataFrame([], schema)
+    return Store(
+        of(f"doc_uri string, doc_key string, {own}"),
+        of(f"uri string, doc_uri string, {own}, chunk_idx int, text string, span struct<start:int,end:int>, entity_uris array<string>"),
+        of("uri string, type string, name string, workspace_id string, acl_allow array<string>, canonical_key string, aliases array<string>"),
+        of("src string, rel string, dst string, workspace_id string"),
+        of("workspace_id string, source_path string, checksum string"),
+        of("uri string, src string, rel string, dst string, workspace_id string"),
+    )
 
 
-def ingest_files(files: DataFrame, store: Store, spans: Callable[[DataFrame], DataFrame], only: DataFrame | None = None) -> tuple[Store, DataFrame]:
+def ingest_files(files: DataFrame, store: Store, spans: Callable[[DataFrame], DataFrame], only: DataFrame | None = None, extraction: entities.Extraction = entities.Extraction()) -> tuple[Store, DataFrame]:
     """(store, counters) after files (workspace_id, source_path, title, source, tags, acl_allow, updated_at, text); only: the changed paths (source_path).
 
-    New and changed files become documents, chunks, entities, edges and relations; what they no longer have goes; unchanged and blank files are skipped.
+    New and changed files become documents, chunks, entities with their spellings, edges and relations. Their chunks and edges take the place of what these files
+    had before, whether a chunk is gone or has another text; so do relations, where the store keeps what each chunk states (a relation that other chunks
+    state as well stays), else relations stay. Entities stay when nothing mentions them any more. A principal who could read a node before still can: lists
+    of principals are joined. Unchanged and blank files are skipped.
     """
     files = files if only is None else files.join(only.select("source_path").distinct(), "source_path", "left_semi")
     judged = ingest.changes(files, store.ledger)
@@ -72,27 +101,65 @@ def ingest_files(files: DataFrame, store: Store, spans: Callable[[DataFrame], Da
     docs = fresh.withColumn("doc_uri", F.concat(F.lit("kb://doc/"), "doc_key"))
     cut = spans(docs).select("*", F.posexplode("spans").alias("chunk_idx", "span"))
     made = cut.withColumn("uri", F.concat(F.lit("kb://chunk/"), "doc_key", F.lit("_"), F.col("chunk_idx").cast("string"))).withColumn("text", text.span_text(F.col("text"), F.col("span")))
-    made = made.withColumn("entity_uris", F.array_distinct(F.concat(*[F.transform(entities.names(F.col("text"), k), lambda v, k=k: entities.uri_of(k, v)) for k in entities.KINDS])))
+    made = session.written(made.withColumn("entity_uris", entities.named_uris(F.col("text"), extraction)), "made-chunks")
     before = store.chunks.join(docs.select("doc_uri"), "doc_uri", "left_semi")
     gone = ingest.stale(before, made)
     chunks = ingest.upsert(store.chunks.join(gone, "uri", "left_anti"), made.select(*store.chunks.columns), ["uri"])
-    stated = made.withColumn("_found", entities.matches(F.col("text"))).select("workspace_id", "acl_allow", F.explode(entities.relations(F.col("text"), F.col("_found"))).alias("r")).select("workspace_id", "acl_allow", "r.*")
+
+    stated = made.withColumn("_found", entities.matches(F.col("text"), extraction)).select("uri", "workspace_id", "acl_allow", F.explode(entities.relations(F.col("text"), F.col("_found"))).alias("r")).select("uri", "workspace_id", "acl_allow", "r.*")
+    stated = session.written(stated, "stated")
     dead = before.select("uri", "workspace_id").join(gone, "uri", "left_semi")
     kept = store.nodes.join(dead, ["uri", "workspace_id"], "left_anti")
-    ends = store.edges.join(dead.withColumnRenamed("uri", "src"), ["src", "workspace_id"], "left_anti").join(dead.withColumnRenamed("uri", "dst"), ["dst", "workspace_id"], "left_anti")
-    edges = ends.select("src", "rel", "dst", "workspace_id").unionByName(graph.mention_edges(made)).unionByName(graph.relation_edges(stated)).distinct()
-    nodes = graph.relation_nodes(stated, merged_nodes(kept, graph.mention_nodes(made)))
+    edges = _without(store.edges, before, dead, docs)
+    relation = ["src", "rel", "dst", "workspace_id"]
+    said = None
+    if store.stated is not None:
+        others = store.stated.join(before.select("uri", "workspace_id"), ["uri", "workspace_id"], "left_anti")
+        said = others.unionByName(stated.select("uri", *relation))
+        lost = store.stated.join(before.select("uri", "workspace_id"), ["uri", "workspace_id"], "left_semi").select(*relation).distinct().join(said.select(*relation).distinct(), relation, "left_anti")
+        edges = edges.join(lost, relation, "left_anti")
+    edges = edges.select(*relation).unionByName(graph.mention_edges(made)).unionByName(graph.relation_edges(stated)).distinct()
+    spelled = graph.mention_nodes(made).join(entities.aliases(made, extraction), ["uri", "workspace_id"], "left")
+    named = spelled.select("uri", "type", F.coalesce(F.get("aliases", F.lit(0)), F.col("name")).alias("name"), "workspace_id", "acl_allow", F.when(F.col("type") == "Entity", entities.canonical_key(F.col("uri"))).alias("canonical_key"), "aliases")
+    nodes = with_relation_ends(stated, merged_nodes(kept, named))
     ledger = ingest.upsert(store.ledger, docs.select("workspace_id", "source_path", "checksum"), ["workspace_id", "source_path"])
-    after = Store(ingest.upsert(store.docs, docs.select(*store.docs.columns), ["doc_uri"]), chunks, nodes, edges, ledger)
+    after = Store(ingest.upsert(store.docs, docs.select(*store.docs.columns), ["doc_uri"]), chunks, nodes, edges, ledger, said)
     return after, ingest.counters(judged)
 
 
+def _without(edges: DataFrame, chunks: DataFrame, dead: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges but those that chunks and documents made anew had (each kind is met at its end that is no entity, so that no entity of many edges is a join key),
+    and those of dead chunks."""
+    ends = chunks.select(F.col("uri").alias("_end"), "workspace_id").unionByName(docs.select(F.col("doc_uri").alias("_end"), "workspace_id")).distinct()
+    less = lambda rows, gone, side: rows.join(gone.withColumnRenamed("_end", side), [side, "workspace_id"], "left_anti")
+    rel = F.col("rel")
+    out = less(edges.where(rel.isin("CONTAINS", "MENTIONS")), ends, "src").unionByName(less(edges.where(rel == "DOCUMENTED_IN"), ends, "dst"))
+    lost = dead.withColumnRenamed("uri", "_end")
+    rest = edges.where(~rel.isin("CONTAINS", "MENTIONS", "DOCUMENTED_IN", *graph.RELATIONS))
+    return out.unionByName(edges.where(rel.isin(graph.RELATIONS))).unionByName(less(less(rest, lost, "src"), lost, "dst"))
+
+
+def _entity_columns(nodes: DataFrame) -> DataFrame:
+    """Nodes with all columns of entities; those that a table has not are null."""
+    lacks = {"canonical_key": "string", "aliases": "array<string>"}
+    return nodes.withColumns({c: F.lit(None).cast(kind) for c, kind in lacks.items() if c not in nodes.columns}).select(*graph.ENTITY)
+
+
 def merged_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One node for each (uri, workspace): the old name, and principals of both."""
-    rows = old.select(*graph.NODE, F.lit(0).alias("_n")).unionByName(new.select(*graph.NODE, F.lit(1).alias("_n")))
+    """One node for each (uri, workspace): the old name and key, aliases of both (old ones first), and principals of both."""
+    rows = _entity_columns(old).withColumn("_n", F.lit(0)).unionByName(_entity_columns(new).withColumn("_n", F.lit(1)))
     acl = F.array_sort(F.array_distinct(F.flatten(F.collect_set("acl_allow")))).alias("acl_allow")
-    first = lambda c: F.min_by(c, "_n").alias(c)
-    return rows.groupBy("uri", "workspace_id").agg(first("type"), first("name"), acl).select(*graph.NODE)
+    first = lambda c: F.min_by(c, F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.col("_n"))).alias(c)
+    listed = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("aliases").isNotNull(), F.struct("_n", "aliases")))), lambda x: x["aliases"])))
+    names = F.when(F.first("type") == "Entity", F.filter(listed, lambda x: F.trim(x) != "")).alias("aliases")
+    return rows.groupBy("uri", "workspace_id").agg(first("type"), first("name"), acl, first("canonical_key"), names).select(*graph.ENTITY)
+
+
+def with_relation_ends(stated: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes, with entities for ends of relations that there are none of yet."""
+    fresh = graph.relation_nodes(stated, nodes).join(nodes.select("uri", "workspace_id"), ["uri", "workspace_id"], "left_anti")
+    own = fresh.select(*graph.NODE, entities.canonical_key(F.col("uri")).alias("canonical_key"), F.array("name").alias("aliases"))
+    return nodes.unionByName(own)
 
 
 def ingest_statuses(requests: DataFrame, running: DataFrame, roots: list[str]) -> DataFrame:
@@ -137,4 +204,4 @@ def contract(status: Column) -> Column:
     return F.struct(ok.alias("ok"), F.when(~ok, status).alias("error_code"), status.isin(list(mend)).alias("recoverable"), action.alias("next_action"))
 
 
-__all__ = ["KnowledgeBase", "Store", "audit", "contract", "cycle_summary", "ingest_files", "ingest_statuses", "search"]
+__all__ = ["KnowledgeBase", "Store", "audit", "contract", "cycle_summary", "empty_store", "ingest_files", "ingest_statuses", "search"]

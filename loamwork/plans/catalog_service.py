@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access, scores
 from loamwork.operators import chunking, graph, memory, retrieve, service, vector
+from loamwork.operators.entities import Extraction
 from loamwork.operators.filters import Filter
 from loamwork.plans.catalog_graph import MENTIONS, mentions
 from loamwork.plans.catalog_kb import REDACT_SQL, SENTENCE_SQL, STRINGS, asked, chunks, docs
 from loamwork.plans.catalog_ops import INTENT, TURNS, turns
-from loamwork.plans.sqltext import CHUNKS, KB, QUERIES, tokens
+from loamwork.plans.sqltext import CHUNKS, KB, QUERIES, STOP, SYMBOLS, tokens
 from loamwork.sources import tables
 
 CALLER = Filter("w1", "u1", ("reader",))
@@ -45,10 +48,14 @@ best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri)
 def knowledge_base(spark: SparkSession, d: str) -> service.KnowledgeBase:
     """The tables as ingestion leaves them: written once, then searched."""
     own = session.written(mentions(spark, d), "kb-chunks")
+    return service.KnowledgeBase(docs(spark, d).select("doc_uri", "title"), own, session.written(graph.mention_nodes(own), "kb-nodes"), session.written(graph.mention_edges(own), "kb-edges"), _cited(spark, d))
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as memory, each citing the first chunk of a document."""
     n = F.col("conv_id")
     chunk = F.concat(F.lit("kb://chunk/"), F.substring(F.sha1(F.concat(F.lit("w"), (n % 3).cast("string"), F.lit(":doc/"), n.cast("string"))), 1, 16), F.lit("_0"))
-    cited = turns(spark, d).withColumn("citations", F.array(F.struct(chunk.alias("chunk_uri"))))
-    return service.KnowledgeBase(docs(spark, d).select("doc_uri", "title"), own, session.written(graph.mention_nodes(own), "kb-nodes"), session.written(graph.mention_edges(own), "kb-edges"), cited)
+    return turns(spark, d).withColumn("citations", F.array(F.struct(chunk.alias("chunk_uri"))))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -337,3 +344,111 @@ def filter_ids(spark, d):
     """Named ids of those that a caller may see."""
     f = Filter(ids=("doc/1", "doc/4", "doc/10", "doc/16", "doc/22")).bound("w1", "u1", ("reader",))
     return f.apply(docs(spark, d), "source_path").select("doc_id", "doc_uri")
+
+
+# Files whose texts begin with stated relations; then some say something else, are shorter or empty, and new ones come.
+TELLS = "'Alpha_'||(doc_id%50)||' depends on Beta_'||(doc_id%7)||'. Ваза_'||(doc_id%3)||' вызывает Мир. '||text"
+TOLD = Extraction(kinds=("symbol", "term"))
+
+
+def _told_sql(later: bool) -> str:
+    after = f"CASE WHEN doc_id%6=1 THEN 'ALPHA_'||(doc_id%50)||' calls Gamma_'||(doc_id%5)||'. '||substr(text, 1, 900) WHEN doc_id%10=0 THEN '' ELSE {TELLS} END"
+    states = f"""states AS (SELECT * EXCLUDE (text), {TELLS} AS text, 0 AS phase, doc_id%6<>1 OR doc_id%10=0 AS lasts FROM kb WHERE doc_id%4<>0
+  UNION ALL SELECT * EXCLUDE (text), {after}, 1, true FROM kb WHERE CASE WHEN doc_id%6=1 THEN true ELSE doc_id%10<>0 END AND (doc_id%4=0 OR doc_id%6=1))"""
+    if not later:
+        states = f"states AS (SELECT * EXCLUDE (text), {TELLS} AS text, 0 AS phase, true AS lasts FROM kb)"
+    return f"""{KB}, {states.replace("doc_id%6<>1 OR doc_id%10=0 AS lasts", "doc_id%6<>1 AS lasts")},
+cut AS (SELECT *, 'kb://chunk/'||doc_key||'_'||i AS uri, substr(text, i*680+1, 800) AS t FROM (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text)-800)/680.0) AS INT)))) AS i FROM states WHERE length(text) > 0)),
+spelled AS (SELECT *, unnest(list_filter({SYMBOLS.format('t')}, lambda w: lower(w) NOT IN {STOP})) AS alias, generate_subscripts(list_filter({SYMBOLS.format('t')}, lambda w: lower(w) NOT IN {STOP}), 1) AS place, 'symbol' AS kind FROM cut
+  UNION ALL SELECT *, unnest(regexp_extract_all(t, '[А-Яа-яЁё][А-Яа-яЁё0-9_-]{{2,}}')), generate_subscripts(regexp_extract_all(t, '[А-Яа-яЁё][А-Яа-яЁё0-9_-]{{2,}}'), 1), 'term' FROM cut),
+said AS (SELECT *, 'kb://entity/'||kind||':'||lower(alias) AS e FROM spelled),
+firsts AS (SELECT workspace_id, e, alias, min([phase::VARCHAR, source_path, lpad(i::VARCHAR, 9, '0'), lpad(place::VARCHAR, 9, '0')]) AS pos FROM said GROUP BY ALL),
+plain AS (SELECT workspace_id, e, alias, min(pos) AS pos FROM (SELECT * FROM firsts UNION ALL SELECT workspace_id, e, lower(any_value(alias)), list_concat(min(pos)[1:3], ['999999999']) FROM firsts GROUP BY workspace_id, e, pos[1]) GROUP BY ALL),
+entity AS (SELECT workspace_id, e, list(alias ORDER BY pos) AS aliases FROM plain GROUP BY ALL),
+lasting AS (SELECT * FROM said WHERE lasts),
+relation AS (SELECT workspace_id, 'kb://entity/symbol:alpha_'||(doc_id%50) AS src, CASE WHEN t LIKE 'ALPHA%' THEN 'CALLS' ELSE 'DEPENDS_ON' END AS rel, 'kb://entity/symbol:'||CASE WHEN t LIKE 'ALPHA%' THEN 'gamma_'||(doc_id%5) ELSE 'beta_'||(doc_id%7) END AS dst FROM cut WHERE lasts AND i=0
+  UNION SELECT workspace_id, 'kb://entity/term:ваза_'||(doc_id%3), 'CALLS', 'kb://entity/term:мир' FROM cut WHERE lasts AND i=0 AND t LIKE 'Alpha%'),
+edge AS (SELECT workspace_id, doc_uri AS src, 'CONTAINS' AS rel, uri AS dst FROM cut WHERE lasts UNION SELECT workspace_id, uri, 'MENTIONS', e FROM lasting UNION SELECT workspace_id, e, 'DOCUMENTED_IN', doc_uri FROM lasting UNION SELECT * FROM relation)"""
+
+
+def _told(spark: SparkSession, d: str) -> tuple[service.Store, service.Store]:
+    """The store after a first ingestion into an empty one, and after the second."""
+    n, k = F.col("doc_id"), lambda m: (F.col("doc_id") % m).cast("string")
+    tells = F.concat(F.lit("Alpha_"), k(50), F.lit(" depends on Beta_"), k(7), F.lit(". Ваза_"), k(3), F.lit(" вызывает Мир. "), "text")
+    other = F.concat(F.lit("ALPHA_"), k(50), F.lit(" calls Gamma_"), k(5), F.lit(". "), F.substring("text", 1, 900))
+    files = docs(spark, d).drop("doc_uri", "doc_key")
+    store = service.ingest_files(files.where(n % 4 != 0).withColumn("text", tells), service.empty_store(spark), chunking.spans, extraction=TOLD)[0].written()
+    now = files.withColumn("text", F.when(n % 6 == 1, other).when(n % 10 == 0, "").otherwise(tells))
+    return store, service.ingest_files(now, store, chunking.spans, extraction=TOLD)[0]
+
+
+@query(
+    "ingest_entities",
+    f"""WITH {_told_sql(True)}, acl AS (SELECT workspace_id, e, string_agg(DISTINCT p, ',' ORDER BY p) AS acl FROM (SELECT workspace_id, e, unnest(acl_allow) AS p FROM said) GROUP BY ALL)
+SELECT e AS uri, workspace_id, aliases[1] AS name, array_to_string(aliases, ' ') AS aliases, replace(e, 'kb://entity/', '') AS canonical_key, acl FROM entity JOIN acl USING (workspace_id, e)""",
+)
+def ingest_entities(spark, d):
+    """Names, spellings, keys and principals of all entities after a first and a second ingestion."""
+    nodes = _told(spark, d)[1].nodes.where("type = 'Entity'")
+    return nodes.select("uri", "workspace_id", "name", F.array_join("aliases", " ").alias("aliases"), "canonical_key", F.array_join("acl_allow", ",").alias("acl"))
+
+
+@query("ingest_edges", f"WITH {_told_sql(True)} SELECT src, rel, dst, workspace_id FROM edge")
+def ingest_edges(spark, d):
+    """All edges after the same: of what files said before only that is left which others say, too."""
+    return _told(spark, d)[1].edges.select("src", "rel", "dst", "workspace_id")
+
+
+@query("ingest_relation_change", f"WITH {_told_sql(True)}, old AS (SELECT DISTINCT 'w'||(doc_id%3) AS workspace_id, 'kb://entity/symbol:alpha_'||(doc_id%50) AS src, 'kb://entity/symbol:beta_'||(doc_id%7) AS dst FROM documents WHERE doc_id%4<>0) SELECT src, dst, workspace_id, EXISTS (FROM relation r WHERE r.workspace_id=old.workspace_id AND r.src=old.src AND r.dst=old.dst AND rel='DEPENDS_ON') AS stays FROM old")
+def ingest_relation_change(spark, d):
+    """Which relations of the first ingestion outlast the second."""
+    keys = ["workspace_id", "src", "dst"]
+    one, two = (s.edges.where("rel = 'DEPENDS_ON'").select(*keys) for s in _told(spark, d))
+    return one.join(two.withColumn("stays", F.lit(True)), keys, "left").select(*keys, F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
+def _ingested_base(spark: SparkSession, d: str, files: DataFrame, extraction: Extraction, nodes: DataFrame | None = None) -> service.KnowledgeBase:
+    store = service.empty_store(spark)
+    store = service.ingest_files(files, store if nodes is None else replace(store, nodes=nodes), chunking.spans, extraction=extraction)[0].written()
+    return store.knowledge_base(_cited(spark, d))
+
+
+@query(
+    "kb_search_ingested",
+    SEARCH_SQL + """ SELECT qid, uri, coalesce(title, 'Unknown') AS title, c.doc_uri AS cited, len(c.entity_uris) AS n_entities, round(vector,6) AS vector, graph, round(memory,6) AS memory, round(score,6) AS score, rank FROM best JOIN allowed c USING (uri)""",
+)
+def kb_search_ingested(spark, d):
+    """The same searches on a store that ingestion made from files."""
+    base = _ingested_base(spark, d, docs(spark, d).drop("doc_uri", "doc_key"), Extraction(kinds=("symbol",)))
+    found = service.search(_requests(spark, d), base, CALLER)[0]
+    return found.select("qid", "uri", "title", F.get("citations", F.lit(0))["uri"].alias("cited"), F.size("entities").cast("long").alias("n_entities"), F.round("vector", 6).alias("vector"), "graph", F.round("memory", 6).alias("memory"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+EXPANDED_SQL = f"""WITH {_told_sql(False)},
+seen_nodes AS (SELECT DISTINCT e AS uri FROM said WHERE {SEES} UNION SELECT uri FROM cut WHERE {SEES} UNION SELECT doc_uri FROM cut WHERE {SEES}),
+q AS (SELECT 'q'||item_id AS qid, 'alpha_'||(item_id%50) AS name, 'beta_'||(item_id%50*3%7)||'.' AS more FROM benchmark),
+asked AS (SELECT *, EXISTS (FROM seen_nodes s WHERE s.uri='kb://entity/symbol:'||name) AS known FROM q),
+own AS (SELECT DISTINCT uri, doc_uri, {tokens('t')} AS words FROM cut WHERE {SEES}),
+scores AS (SELECT qid, uri, (list_contains(words, name)::INT + list_contains(words, 'state')::INT + (known AND list_contains(words, more))::INT) / CASE WHEN known THEN 3 ELSE 2 END AS vector, (list_contains(words, name)::INT + list_contains(words, 'state')::INT) / 2 AS lexical FROM asked, own),
+hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vector DESC, uri) AS n FROM scores WHERE vector > 0 QUALIFY n <= 20),
+seeds AS (SELECT qid, uri, row_number() OVER (PARTITION BY qid ORDER BY uri) AS n FROM asked JOIN seen_nodes ON uri LIKE 'kb://entity/%' AND (contains(replace(uri, 'kb://entity/', ''), name) OR contains(replace(uri, 'kb://entity/', ''), 'state')) QUALIFY n <= 20),
+walk AS (SELECT src, dst FROM edge WHERE workspace_id='w1' UNION SELECT dst, src FROM edge WHERE workspace_id='w1'),
+near AS (SELECT qid, uri, 0 AS hop FROM seeds UNION SELECT qid, dst, 1 FROM seeds JOIN walk ON src=uri WHERE dst IN (SELECT uri FROM seen_nodes)),
+reached AS (SELECT qid, uri, row_number() OVER (PARTITION BY qid ORDER BY hop, uri) AS n FROM (SELECT qid, uri, min(hop) AS hop FROM near GROUP BY ALL) QUALIFY n <= 200),
+fused AS (SELECT h.qid, h.uri, vector, lexical, CASE WHEN r.uri IS NULL THEN 0.0 ELSE 1.0 END AS graph FROM hits h LEFT JOIN reached r USING (qid, uri)),
+scored AS (SELECT *, 0.7*(0.6*(0.7*vector+0.2*graph)+0.4*lexical)+0.3*lexical AS score FROM fused)
+SELECT qid, uri, round(vector, 6) AS vector, graph, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri) AS rank FROM scored QUALIFY rank <= 10"""
+
+
+@query("kb_search_expanded", EXPANDED_SQL)
+def kb_search_expanded(spark, d):
+    """Searches whose queries are expanded by what the store knew of the named entities before files were ingested."""
+    k = (F.col("doc_id") % 50).cast("string")
+    known = docs(spark, d).select(F.concat(F.lit("kb://entity/symbol:alpha_"), k).alias("uri"), F.lit("Entity").alias("type"), F.concat(F.lit("alpha_"), k).alias("name"), F.col("workspace_id"), F.array().cast(STRINGS).alias("acl_allow"), F.lit(None).cast("string").alias("canonical_key"), F.array(F.concat(F.lit("Beta_"), (F.col("doc_id") % 50 * 3 % 7).cast("string"), F.lit("."))).alias("aliases")).dropDuplicates(["uri", "workspace_id"])
+    m = F.col("doc_id")
+    told = F.concat(F.lit("Alpha_"), k, F.lit(" depends on Beta_"), (m % 7).cast("string"), F.lit(". Ваза_"), (m % 3).cast("string"), F.lit(" вызывает Мир. "), "text")
+    base = _ingested_base(spark, d, docs(spark, d).drop("doc_uri", "doc_key").withColumn("text", told), TOLD, known)
+    n = F.substring("qid", 2, 20).cast("int")
+    asks = asked(spark, d).select("qid", F.concat(F.lit("Alpha_"), (n % 50).cast("string"), F.lit(" state")).alias("query"), F.lit("hybrid").alias("mode"), F.lit(False).alias("include_memory"))
+    found = service.search(asks, base, CALLER, expand=True)[0]
+    return found.select("qid", "uri", F.round("vector", 6).alias("vector"), "graph", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
