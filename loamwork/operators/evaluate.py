@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamwork import session
+
 
 def quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """(qid, recall, ndcg, mrr) of ranked (qid, item, rank) against relevant (qid, item).
@@ -29,19 +31,61 @@ def coverage(results: DataFrame) -> DataFrame:
 
 def quantile_exclusive(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """Quantile at place q (n + 1), between neighbours by share, within the values."""
-    w = W.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
     place = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.lit(q) * (F.col("n") + 1)))
     low = F.floor(place)
-    near = rows.where((F.col("r") == low) | (F.col("r") == low + 1)).withColumn("share", F.when(F.col("r") == low, 1 - (place - low)).otherwise(place - low))
-    return near.groupBy(key).agg(F.sum(F.col("v") * F.col("share")).alias("q"))
+    near = at_ranks(df, key, value, [low, F.least(low + 1, F.col("n"))])
+    # the second neighbour has a share only where the place lies behind the first
+    share = F.when(F.col("which") == 0, 1 - (place - low)).otherwise(place - low)
+    return near.groupBy(key).agg(F.sum(F.col("v") * share).alias("q"))
 
 
 def quantile_lower(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """The value at place floor(q (n - 1)) from 0."""
-    w = W.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("q"), F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return rows.where(F.col("r") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1).select(key, "q")
+    return at_ranks(df, key, value, [F.floor(F.lit(q) * (F.col("n") - 1)) + 1]).select(key, F.col("v").alias("q"))
+
+
+#: Values of a key that are sorted in one task at most; a key of more is narrowed first, by counts in so many intervals.
+SORTED, INTERVALS = 100_000, 1024
+
+
+def at_ranks(df: DataFrame, key: str, value: str, ranks: list[Column], most: int | None = None) -> DataFrame:
+    """(key, which, n, v): of each key's n values (without nulls) the ones at the given ranks from 1 (columns over n).
+
+    Keys of up to `most` values are sorted. Of others, values are counted in intervals between the least and the largest one, which tasks sum up before anything
+    is sent; the interval that holds the rank is cut again, until it has no more than `most` values, or one value only. The first cut is by magnitude, so
+    that a few passes do whatever the values are. Nothing but counts of intervals is gathered for a key.
+    """
+    most = SORTED if most is None else most
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("v"))
+    sizes = session.written(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "sizes")
+    wanted = sizes.select("*", F.posexplode(F.array(*(r.cast("long") for r in ranks))).alias("which", "rank"))
+    state = wanted.select("_key", "which", "n", "rank", "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    wide = (F.col("inside") > most) & ~F.col("low").eqNullSafe(F.col("high"))
+    first = True
+    while not state.where(wide).isEmpty():
+        state = session.written(_narrowed(rows, state.where(wide), first).unionByName(state.where(~wide)), "ranks")
+        first = False
+    own = F.col("of").eqNullSafe(F.col("_key")) & F.col("v").between(F.col("low"), F.col("high"))
+    held = rows.withColumnRenamed("_key", "of").join(state.where(~F.col("low").eqNullSafe(F.col("high"))), own)
+    place = F.row_number().over(W.partitionBy("_key", "which").orderBy("v"))
+    sorted_ = held.withColumn("place", place + F.col("below")).where("place = rank").select("_key", "which", "n", "v")
+    alone = state.where(F.col("low").eqNullSafe(F.col("high"))).select("_key", "which", "n", F.col("low").alias("v"))
+    return sorted_.unionByName(alone).withColumnRenamed("_key", key)
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, by_magnitude: bool) -> DataFrame:
+    """The state with the interval that holds each rank in place of the one before."""
+    magnitude = lambda c: F.when(c == 0, 0.0).otherwise(F.signum(c) * (F.ln(F.abs(c)) + 1000))  # noqa: E731  (rises with c)
+    scale = magnitude if by_magnitude else (lambda c: c)
+    v, low, high = (scale(F.col(c)) for c in ("v", "low", "high"))
+    part = F.least(F.lit(INTERVALS - 1), F.greatest(F.lit(0), F.floor((v - low) / (high - low) * INTERVALS).cast("int")))
+    # what has no place between finite ends stands at its end
+    part = F.when(F.col("v") == F.col("high"), INTERVALS).when(F.col("v") == F.col("low"), -1).otherwise(F.coalesce(part, F.lit(0)))
+    own = F.col("of").eqNullSafe(F.col("_key")) & F.col("v").between(F.col("low"), F.col("high"))
+    counts = rows.withColumnRenamed("_key", "of").join(state, own).groupBy("_key", "which", "n", "rank", "below", part.alias("part")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("inside"))
+    upto = F.sum("inside").over(W.partitionBy("_key", "which").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    placed = counts.withColumn("below", F.col("below") + F.coalesce(upto, F.lit(0)))
+    return placed.where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("inside"))).select(*state.columns)
 
 
 def histogram(df: DataFrame, key: str, value: str, bounds: list[float]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamwork import session
 from loamwork.functions import scores, text
 from loamwork.operators import entities
 from loamwork.operators.vector import lexical, top
@@ -72,15 +75,19 @@ def evidence(rows: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return x.select(*rows.columns, F.coalesce("_title", F.lit("Unknown")).alias("title"), text.redact(F.coalesce("_text", F.lit(""))).alias("snippet"), cite.alias("citations"), refs.alias("entities"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: DataFrame, mode: str = "linear", top_k: int = TOP_K, top_n: int = TOP_N, with_rerank: bool = True, expanded: DataFrame | None = None) -> DataFrame:
-    """The whole search: the expanded query finds hits, the original one gives the lexical share."""
+def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: DataFrame, mode: str = "linear", top_k: int = TOP_K, top_n: int = TOP_N, with_rerank: bool = True, expanded: DataFrame | None = None, find: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The whole search: the expanded query finds hits, the original one gives the lexical share.
+
+    find: the hits (qid, uri, score) of queries, so many for each; unless given, by tokens over an index of the chunks.
+    """
     asked = queries if expanded is None else expanded.select("qid", F.col("expanded").alias("query"))
-    hits = lexical(asked, chunks, min(top_k, MOST_K))
-    if expanded is None:
+    hits = (find or (lambda q, k: lexical(q, chunks, k)))(asked, min(top_k, MOST_K))
+    if expanded is None and find is None:
         hits = hits.withColumn("lexical", F.col("score"))
     else:
         share = text.overlap(text.tokens(F.col("query")), text.tokens(F.col("text")))
-        hits = hits.join(queries.select("qid", "query"), "qid").join(chunks.select("uri", "text"), "uri").select("qid", "uri", "score", share.alias("lexical"))
+        # written before it is scored: the hits are few, and two joins and the ranks read them
+        hits = session.written(hits, "hits").join(queries.select("qid", "query"), "qid").join(chunks.select("uri", "text"), "uri").select("qid", "uri", "score", share.alias("lexical"))
     fused = fuse(hits, graph, memory, mode)
     return rerank(fused, min(top_n, top_k)) if with_rerank else top(fused, top_k, F.desc("score"), F.col("uri"))
 

@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.functions import access, text
-from loamwork.operators import entities, graph, ingest, memory, retrieve, route
+from loamwork.operators import entities, graph, ingest, lexindex, memory, retrieve, route, vector
 from loamwork.operators.filters import Filter
 
 
 @dataclass(frozen=True)
 class KnowledgeBase:
-    """Tables that a search reads. chunks: uri, doc_uri, text, span, entity_uris and the columns of Filter; nodes may have canonical_key and aliases."""
+    """Tables that a search reads. chunks: uri, doc_uri, text, span, entity_uris and the columns of Filter; nodes may have canonical_key and aliases.
+
+    index: an inverted index of the chunks that carries the columns of Filter; searches that have none make one of what the caller may see.
+    """
 
     docs: DataFrame
     chunks: DataFrame
     nodes: DataFrame
     edges: DataFrame
     memory: DataFrame
+    index: lexindex.Index | None = None
 
 
 def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str = "linear", top_k: int = retrieve.TOP_K, top_n: int = retrieve.TOP_N, depth: int = 1, max_nodes: int = 200, kinds: list[str] | None = None, enforce: bool = True, expand: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,7 +47,8 @@ def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str =
     seeds = session.written(graph.resolve(requests.where("mode <> 'vector'"), nodes), "seeds")
     reached = graph.expand(graph.visible_edges(kb.edges, nodes, kinds), seeds, retrieve.depth_of("hybrid", depth), max_nodes)
     expanded = retrieve.expand_queries(requests, retrieve.entity_hits(requests, nodes.where("type = 'Entity'"))) if expand else None
-    found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded)
+    find = None if kb.index is None else lambda q, k: vector.indexed(q, kb.index, k, caller.condition())
+    found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded, find=find)
     results = retrieve.evidence(found, allowed, kb.docs)
     hits = remembered.join(kb.memory.select("uri", text.redact(F.col("text")).alias("text"), "citations"), "uri")
     per = lambda df, name: df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
@@ -68,9 +73,10 @@ class Store:
         """The same as written tables, as a store is kept between ingestions."""
         return Store(**{f.name: None if (df := getattr(self, f.name)) is None else session.written(df, f"store-{f.name}") for f in dataclass_fields(self)})
 
-    def knowledge_base(self, memory: DataFrame) -> KnowledgeBase:
-        """What a search reads."""
-        return KnowledgeBase(self.docs, self.chunks, self.nodes, self.edges, memory)
+    def knowledge_base(self, memory: DataFrame, index: lexindex.Index | None = None) -> KnowledgeBase:
+        """What a search reads, with an index of all chunks (made unless it is given)."""
+        index = index or vector.index(self.chunks, list(Filter.COLUMNS))
+        return KnowledgeBase(self.docs, self.chunks, self.nodes, self.edges, memory, index)
 
 
 def empty_store(spark: SparkSession) -> Store:

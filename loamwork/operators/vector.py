@@ -1,7 +1,7 @@
-"""Top-k search for sets of queries: by shared tokens and by cosine.
+"""Top-k search for sets of queries: by shared tokens (through an inverted index, see lexindex) and by cosine.
 
-Queries go out in blocks of bounded size, and every item is looked at once for a block, where it lies: an item's score for a query is complete within
-its row, so no token is ever shuffled, and a word that all items have is no hot key.
+Queries go out in blocks of bounded size. Where all items that share a token with a query are asked for, and not the best k, every item is looked at once for a
+block, where it lies.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.functions import text
+from loamwork.operators import lexindex
 
 #: Queries that are sent to tasks at a time; more queries make more passes.
 QUERY_BLOCK = 4096
-#: Scores that are held at once, and found rows after which a task cuts them down to k of each query.
-CELLS, HELD = 4 << 20, 1 << 18
+#: Scores that are held at once.
+CELLS = 4 << 20
 
 
 def top(df: DataFrame, k: int, *by: Column, key: str = "qid", rank: str = "rank") -> DataFrame:
@@ -78,59 +79,48 @@ def _scope(columns: list[str]) -> Column:
 def lexical(queries: DataFrame, items: DataFrame, k: int | None = None, scope: list[str] | None = None, least: int = 1) -> DataFrame:
     """(qid, uri, score): share of the query's tokens (of `least` characters or more) in the item, for items (uri, text) that share one or more.
 
-    k: only the k best of each query, ties by uri. scope: columns in which query and item must be equal.
+    k: only the k best of each query, ties by uri, by an inverted index of the items (`index` searches one that is there). scope: columns in which query and
+    item must be equal.
     """
+    if k is not None:
+        return indexed(queries, index(items, scope or [], least), k, scope=scope, least=least)
     spark = items.sparkSession
     session.ship(spark)
-    words = lambda c: F.filter(text.tokens(F.col(c)), lambda t: F.length(t) >= least) if least > 1 else text.tokens(F.col(c))
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, uri {items.schema['uri'].dataType.simpleString()}, score double"
-    have = items.select("uri", words("text").alias("words"), _scope(scope or []))
+    have = items.select("uri", _words("text", least).alias("words"), _scope(scope or []))
     out = None
-    for rows in _blocks(queries, words("query").alias("words"), _scope(scope or [])):
+    for rows in _blocks(queries, _words("query", least).alias("words"), _scope(scope or [])):
         sent = spark.sparkContext.broadcast(([r["qid"] for r in rows], _Asked([r["words"] or [] for r in rows], [r["scope"] for r in rows])))
-        found = have.mapInArrow(_finder(sent, k), kinds)
+        found = have.mapInArrow(_finder(sent), kinds)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], kinds)
-    return out if k is None else top(out, k, F.desc("score"), F.col("uri")).drop("rank")
+    return spark.createDataFrame([], kinds) if out is None else out
+
+
+def _words(column: str, least: int) -> Column:
+    words = text.tokens(F.col(column))
+    return F.filter(words, lambda t: F.length(t) >= least) if least > 1 else words
+
+
+def index(items: DataFrame, carry: list[str], least: int = 1) -> lexindex.Index:
+    """An inverted index of items (uri, text); carry: columns that searches filter by."""
+    return lexindex.build(items, _words("text", least), carry)
 
 
-def _finder(sent, k: int | None):
+def indexed(queries: DataFrame, index: lexindex.Index, k: int, keep: Column | None = None, scope: list[str] | None = None, least: int = 1) -> DataFrame:
+    """(qid, uri, score): the k items of the index that hold the largest shares of each query's tokens, ties by uri; keep: a filter over carried columns."""
+    blocks = _blocks(queries, _words("query", least).alias("words"), _scope(scope or []))
+    found = lexindex.search(blocks, queries.schema["qid"].dataType.simpleString(), index, k, keep, scope)
+    return top(found, k, F.desc("score"), F.col("uri")).drop("rank")
+
+
+def _finder(sent):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, asked = sent.value
         qids, kinds, names = pa.array(qids), pa.array(asked.tokens, pa.string()), pa.array(asked.names, pa.string())
-        least = np.zeros(len(asked.sizes))  # what a query's k-th best has so far
-        held: list[pa.Table] = []
-        size = 0
-
-        def cut() -> pa.Table:
-            rows = pa.concat_tables(held).sort_by([("q", "ascending"), ("score", "descending"), ("uri", "ascending")])
-            q = rows.column("q").to_numpy()
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            full = rank == k - 1
-            least[q[full]] = rows.column("score").to_numpy()[full]
-            return rows.filter(pa.array(rank < k))
-
         for batch in batches:
             for first, scores in asked.scores(batch.column("words"), batch.column("scope"), kinds, names):
-                keep = scores > 0
-                if k is not None:
-                    keep &= scores >= least[None, :]
-                    if len(scores) > k:
-                        keep &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k][None, :]
-                item, q = np.nonzero(keep)
-                uri = batch.column("uri").take(pa.array(first + item))
-                if k is None:
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), uri, pa.array(scores[item, q])], ["qid", "uri", "score"])
-                    continue
-                held.append(pa.table({"q": pa.array(q), "uri": uri, "score": pa.array(scores[item, q])}))
-                size += len(q)
-                if size >= HELD:
-                    held[:] = [cut()]
-                    size = held[0].num_rows
-        if held:
-            rows = cut()
-            yield from pa.table({"qid": qids.take(rows.column("q").combine_chunks()), "uri": rows.column("uri"), "score": rows.column("score")}).combine_chunks().to_batches()
+                item, q = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), batch.column("uri").take(pa.array(first + item)), pa.array(scores[item, q])], ["qid", "uri", "score"])
 
     return find
 
