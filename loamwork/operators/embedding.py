@@ -102,3 +102,39 @@ def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "emb
 
     unique = df.select(F.col(column).alias("_text")).distinct().withColumn(output, embed("_text"))
     return df.join(unique, df[column].eqNullSafe(unique["_text"]), "left").drop("_text")
+
+
+CACHE = "key string, vec array<double>, used_at timestamp"
+
+
+def cache_key(text: Column, model: str, revision: str, preset: str, passage: bool) -> Column:
+    """What a vector is kept under: a hash of model, revision, prefix and text."""
+    prefix = PRESETS[preset][3 if passage else 2]
+    return F.sha2(F.concat_ws("\x00", F.lit(model), F.lit(revision), F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))), 256)
+
+
+def embed_cached(df: DataFrame, column: str, model: Embedder, cache: DataFrame, at: Column, name: str, revision: str, output: str = "embedding", preset: str = "all-MiniLM-L6-v2", passage: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(df with vectors, the cache after it, counts): different texts that the cache (CACHE) has for this model and revision are taken from there, and only
+    others are embedded; both are marked as used at the time `at`. counts: one row with texts, cached and embedded. A null text is an empty one."""
+    session.ship(df.sparkSession)
+    keyed = df.withColumn("_key", cache_key(F.col(column), name, revision, preset, passage))
+    texts = keyed.groupBy("_key").agg(F.first(F.coalesce(column, F.lit(""))).alias("text"))
+    known = cache.select(F.col("key").alias("_key"), "vec")
+    met = session.written(texts.join(known, "_key", "left"), "cache-met")
+    fresh = embed_column(met.where("vec IS NULL").select("_key", "text"), "text", model, "vec", preset, passage)
+    vectors = session.written(met.where("vec IS NOT NULL").select("_key", "vec", F.lit(True).alias("cached")).unionByName(fresh.select("_key", "vec", F.lit(False).alias("cached"))), "vectors")
+    used = vectors.select(F.col("_key").alias("key"), "vec", at.cast("timestamp").alias("used_at"))
+    after = cache.join(used.select("key"), "key", "left_anti").select("key", "vec", "used_at").unionByName(used)
+    counts = vectors.agg(F.count(F.lit(1)).alias("texts"), F.count_if("cached").alias("cached"), F.count_if(~F.col("cached")).alias("embedded"))
+    return keyed.join(vectors.select("_key", F.col("vec").alias(output)), "_key", "left").drop("_key"), after, counts
+
+
+def evict(cache: DataFrame, most: int) -> DataFrame:
+    """The cache with its `most` entries that were used last; entries that were last used at the same instant as the last of them stay as well.
+
+    That instant is found by counting, not by sorting the cache in one task."""
+    from loamwork.operators import evaluate
+
+    micros = F.unix_micros("used_at").cast("double")
+    ranked = evaluate.at_ranks(cache.select(F.lit(1).alias("all"), micros.alias("used")), "all", "used", [F.greatest(F.lit(1), F.col("n") - most + 1)])
+    return cache.join(F.broadcast(ranked.select(F.col("v").alias("_least"))), micros >= F.col("_least")).drop("_least") if most > 0 else cache.limit(0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.functions import access, text
-from loamwork.operators import entities, graph, ingest, lexindex, memory, retrieve, route, vector
+from loamwork.operators import entities, extract, graph, ingest, lexindex, memory, retrieve, route, vector
 from loamwork.operators.filters import Filter
 
 
@@ -112,8 +112,7 @@ def ingest_files(files: DataFrame, store: Store, spans: Callable[[DataFrame], Da
     gone = ingest.stale(before, made)
     chunks = ingest.upsert(store.chunks.join(gone, "uri", "left_anti"), made.select(*store.chunks.columns), ["uri"])
 
-    stated = made.withColumn("_found", entities.matches(F.col("text"), extraction)).select("uri", "workspace_id", "acl_allow", F.explode(entities.relations(F.col("text"), F.col("_found"))).alias("r")).select("uri", "workspace_id", "acl_allow", "r.*")
-    stated = session.written(stated, "stated")
+    stated = session.written(extract.relations_of(made.select("uri", "workspace_id", "acl_allow", "text"), extraction=extraction).select("uri", "workspace_id", "acl_allow", "src", "rel", "dst"), "stated")
     dead = before.select("uri", "workspace_id").join(gone, "uri", "left_semi")
     kept = store.nodes.join(dead, ["uri", "workspace_id"], "left_anti")
     edges = _without(store.edges, before, dead, docs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access
-from loamwork.operators import entities, graph
+from loamwork.operators import entities, extract, graph
 from loamwork.plans.catalog_kb import STRINGS, chunks, docs
 from loamwork.plans.sqltext import CHUNKS, STOP, SYMBOLS
 
@@ -185,3 +185,49 @@ def graph_coverage(spark, d):
     reached = graph.visible_edges(graph.mention_edges(own), nodes, ["DOCUMENTED_IN"]).select(F.col("dst").alias("doc_uri")).distinct()
     found = docs(spark, d).select("doc_uri").join(reached.withColumn("hit", F.lit(True)), "doc_uri", "left")
     return found.agg(F.count("hit").alias("docs_in_graph"), F.count(F.lit(1)).alias("docs")).withColumn("coverage", F.round(F.col("docs_in_graph") / F.col("docs"), 6))
+
+
+# documents in which every ninth word is followed by a word that states a relation
+VERBS = ["calls", "Owns", "вызывает", "implements", "владеет", "affects", "Реализует"]
+STATED_SQL = f"""WITH texts AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN i%9=5 THEN w||' '||({VERBS})[1+(i//9)%7] ELSE w END), ' ') AS text FROM documents),
+tile AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS tile FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS p FROM texts)),
+word AS (SELECT doc_id, tile, sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY i) AS b, sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY i) - length(tile) AS a, lead(tile, 1) OVER o AS t1, lead(tile, 2) OVER o AS t2, lag(tile, 1) OVER o AS s1, lag(tile, 2) OVER o AS s2 FROM tile WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ent AS (SELECT doc_id, a, b, uri, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, uri) AS n FROM (
+  SELECT doc_id, a, b, 'kb://entity/symbol:'||lower(tile) AS uri FROM word WHERE regexp_full_match(tile, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AND lower(tile) NOT IN {STOP}
+  UNION ALL SELECT doc_id, a, b + 1 + length(t2), 'kb://entity/table:'||lower(tile)||'.'||lower(t2) FROM word WHERE t1='.' AND regexp_full_match(tile, '[A-Za-z_]+') AND regexp_full_match(t2, '[A-Za-z_]+') AND NOT coalesce(s1='.' AND regexp_full_match(s2, '[A-Za-z_]+'), false)
+  UNION ALL SELECT doc_id, a, b, 'kb://entity/term:'||lower(tile) FROM word WHERE regexp_full_match(tile, '[А-Яа-яЁё][А-Яа-яЁё0-9_-]{{2,}}'))),
+trig AS (SELECT doc_id, a, b, CASE lower(tile) WHEN 'calls' THEN 'CALLS' WHEN 'вызывает' THEN 'CALLS' WHEN 'owns' THEN 'OWNS' WHEN 'владеет' THEN 'OWNS' WHEN 'affects' THEN 'AFFECTS' ELSE 'IMPLEMENTS' END AS rel FROM word WHERE lower(tile) IN ('calls','вызывает','owns','владеет','affects','implements','реализует')),
+near AS (SELECT t.doc_id, t.a, t.b, t.rel, e.uri, e.n, t.a - e.b AS l, e.a - t.b AS r, least(abs(e.a - t.a), abs(e.b - t.a)) AS d FROM trig t JOIN ent e ON e.doc_id=t.doc_id AND e.b >= t.a - 260 AND e.a <= t.b + 260),
+side AS (SELECT doc_id, a, rel, arg_min(uri, [l, n]) FILTER (WHERE l BETWEEN 0 AND 220) AS x, arg_min(uri, [r, n]) FILTER (WHERE r BETWEEN 0 AND 220) AS y, arg_min(uri, [d, n]) FILTER (WHERE d <= 240) AS first FROM near GROUP BY ALL),
+two AS (SELECT s.doc_id, s.a, s.rel, x, y, first, arg_min(uri, [d, n]) FILTER (WHERE d <= 240 AND uri <> first) AS second FROM side s JOIN near USING (doc_id, a, rel) GROUP BY ALL),
+chosen AS (SELECT doc_id, a, rel, coalesce(x <> y, false) AS direct, CASE WHEN coalesce(x <> y, false) THEN x ELSE first END AS src, CASE WHEN coalesce(x <> y, false) THEN y ELSE second END AS dst FROM two)"""
+
+
+def _stating(spark: SparkSession, d: str) -> DataFrame:
+    def tell(word, i):
+        verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.floor((i + 1) / 9) % 7 + 1).cast("int"))
+        return F.when((i + 1) % 9 == 5, F.concat(word, F.lit(" "), verb)).otherwise(word)
+
+    words = F.transform(F.split("text", " "), tell)
+    return session.table(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
+
+
+@query(
+    "relations_stated",
+    STATED_SQL + " SELECT doc_id, src, rel, dst, min(a) AS start FROM chosen WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL",
+)
+def relations_stated(spark, d):
+    """Relations of whole texts with many entities, by the table function; where a side is missing or both are one, the two nearest count."""
+    rows = extract.relations_of(_stating(spark, d))
+    return rows.select("doc_id", "src", "rel", "dst", F.col("start").cast("long").alias("start"))
+
+
+@query(
+    "entities_by_table_function",
+    STATED_SQL + " SELECT uri, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(sum(b) AS BIGINT) AS ends FROM ent GROUP BY uri",
+)
+def entities_by_table_function(spark, d):
+    """All entities of the same texts with their offsets, called from SQL."""
+    extract.register(spark)
+    found = spark.sql("SELECT r.uri, r.start, r.end FROM {texts} AS t, LATERAL kb_entities(t.text) AS r", texts=_stating(spark, d))
+    return found.groupBy("uri").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access, scores, text
-from loamwork.operators import chunking, embedding, entities, match, retrieve, vector
+from loamwork.operators import chunking, embedding, entities, match, retrieve, vecindex, vector
 from loamwork.operators.filters import Filter
 from loamwork.plans import kb, sqltext
 from loamwork.plans.sqltext import CHUNKS, HITS, KB, LEXICAL, STOP, SYMBOLS, tokens
@@ -60,6 +60,10 @@ def chunk_char(spark, d):
     return chunks(spark, d).select("uri", "chunk_idx", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), F.sha2("text", 256).alias("text_sha"), "workspace_id")
 
 
+#: Sentences of documents with their places (a, b), as common table expressions.
+SENTENCE_CUT = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(text, '(?s).+?(?:[.!?](?:\s+|$)|\n+|$)') AS p FROM documents),
+o AS (SELECT *, sum(length(sent)) OVER (PARTITION BY doc_id ORDER BY i) AS b, sum(length(sent)) OVER (PARTITION BY doc_id ORDER BY i) - length(sent) AS a FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS sent FROM t))"""
+
 SENTENCE_SQL = r"""WITH RECURSIVE s AS (
   SELECT doc_id, text, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?](?:\s+|$)|\n+|$)') AS parts FROM documents)),
 t AS (SELECT doc_id, i, sum(length(part)) OVER w - length(part) AS a, sum(length(part)) OVER w AS b FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
@@ -78,10 +82,24 @@ def chunk_sentence(spark, d):
     return rows.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
 
 
-@query("chunk_semantic")
+SEMANTIC_SQL = SENTENCE_CUT + r""",
+b AS (SELECT doc_id, i, x, count(*) AS c FROM (SELECT doc_id, i, unnest(regexp_extract_all(hex(encode(sent)), '..')) AS x FROM o) GROUP BY ALL),
+f AS (SELECT doc_id, i, len(list_filter(regexp_split_to_array(sent, '\s+'), lambda t: t <> '')) AS words, length(sent) AS chars, length(regexp_replace(sent, '[^\p{Nd}]', '', 'g')) AS digits, length(regexp_replace(sent, '[^\p{Lu}]', '', 'g')) AS capitals FROM o),
+n AS (SELECT f.*, words*words + chars*chars + digits*digits + capitals*capitals + (SELECT sum(c*c) FROM b WHERE b.doc_id=f.doc_id AND b.i=f.i) AS square FROM f),
+d AS (SELECT y.doc_id, y.i, sum(y.c*z.c) AS common FROM b y JOIN b z ON y.doc_id=z.doc_id AND y.i=z.i+1 AND y.x=z.x GROUP BY ALL),
+sim AS (SELECT y.doc_id, y.i, (coalesce(common, 0) + y.words*z.words + y.chars*z.chars + y.digits*z.digits + y.capitals*z.capitals) / sqrt(y.square) / sqrt(z.square) AS sim FROM n y JOIN n z ON y.doc_id=z.doc_id AND y.i=z.i+1 LEFT JOIN d ON d.doc_id=y.doc_id AND d.i=y.i),
+g AS (SELECT doc_id, block, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b FROM (SELECT o.*, sum(CASE WHEN sim.sim IS NULL OR sim.sim < 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY o.doc_id ORDER BY o.i) AS block FROM o LEFT JOIN sim USING (doc_id, i)) GROUP BY ALL),
+cut AS (SELECT doc_id, block, a, b, unnest(range(0, 1 + greatest(0, CAST(ceil((b-a-800)/680.0) AS INT)))) AS k FROM g),
+w AS (SELECT doc_id, a + k*680 AS a, least(b, a + k*680 + 800) AS b, row_number() OVER (PARTITION BY doc_id ORDER BY block, k) AS i FROM cut),
+p AS (SELECT doc_id, i, a AS start, b FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, CASE WHEN w.a = p.b AND w.b - p.start <= 800 THEN p.start ELSE w.a END, w.b FROM p JOIN w ON w.doc_id = p.doc_id AND w.i = p.i + 1)
+SELECT doc_id, start AS span_start, max(b) AS span_end FROM p GROUP BY doc_id, start"""
+
+
+@query("chunk_semantic", SEMANTIC_SQL)
 def chunk_semantic(spark, d):
-    rows = chunking.semantic(session.table(spark, d, "documents").select("doc_id", "text"), threshold=0.9, merge=False)
-    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+    """Blocks of like sentences; short neighbours are joined, long ones cut."""
+    rows = chunking.semantic(session.table(spark, d, "documents").select("doc_id", "text"), threshold=0.9)
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
 
 
 @query("lexical_topk", f"WITH {HITS} SELECT qid, uri, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
@@ -353,9 +371,10 @@ def embed_fallback(spark, d):
     r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS words, length(text) AS chars, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals FROM documents""",
 )
 def embed_features(spark, d):
-    n = lambda p: F.length(F.regexp_replace("text", p, "")).cast("long")
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")).cast("long")
-    return session.table(spark, d, "documents").select("doc_id", words.alias("words"), F.length("text").cast("long").alias("chars"), n(r"[^\p{Nd}]").alias("digits"), n(r"[^\p{Lu}]").alias("capitals"))
+    """Components 256 to 259 of the embedding, as shares of the one for characters times their number."""
+    out = embedding.embed_column(session.table(spark, d, "documents").select("doc_id", "text"), "text", embedding.Fallback(384))
+    part = lambda k: F.coalesce(F.round(F.get("embedding", F.lit(k)) / F.nullif(F.get("embedding", F.lit(257)), F.lit(0.0)) * F.length("text")), F.lit(0.0)).cast("long")
+    return out.select("doc_id", part(256).alias("words"), part(257).alias("chars"), part(258).alias("digits"), part(259).alias("capitals"))
 
 
 @query(
@@ -368,3 +387,40 @@ def query_tokens(spark, d):
 
 
 __all__ = ["sqltext"]
+
+
+@query(
+    "vector_index_search",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, ['chunk','entity','memory'][1+vec_id%3] AS space, 'w'||(label%2) AS ws FROM embeddings),
+s AS (SELECT q.vec_id AS qid, e.space, e.vec_id AS uri, list_cosine_similarity(q.v, e.v) AS score FROM e q JOIN e ON e.ws='w0' WHERE q.vec_id%50=0 AND e.vec_id%7<>0)
+SELECT qid, space, uri, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, space ORDER BY score DESC, uri) AS rank FROM s) WHERE rank <= 5""",
+)
+def vector_index_search(spark, d):
+    """One index of chunks, entities and memory, from which every seventh vector was taken and to which every fifth came later; exact, in each space."""
+    e = session.table(spark, d, "embeddings").select(F.col("vec_id").alias("uri"), F.col("embedding").alias("vec"), F.element_at(F.array(*map(F.lit, ("chunk", "entity", "memory"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("space"), F.concat(F.lit("w"), (F.col("label") % 2).cast("string")).alias("workspace_id"))
+    n = F.col("uri")
+    index = vecindex.build(e.where(n % 5 != 0), ["space", "workspace_id"])
+    index = vecindex.updated(index, e.where(n % 7 == 0), e.where((n % 5 == 0) & (n % 7 != 0)))
+    queries = e.where(n % 50 == 0).select(n.alias("qid"), "vec")
+    out = None
+    for space in ("chunk", "entity", "memory"):
+        found = vecindex.search(queries, index, 5, (F.col("space") == space) & (F.col("workspace_id") == "w0")).withColumn("space", F.lit(space))
+        out = found if out is None else out.unionByName(found)
+    return out.select("qid", "space", "uri", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "embedding_cache",
+    """WITH t AS (SELECT text, min(doc_id%2) AS half FROM documents GROUP BY text), n AS (SELECT count(*) AS n, count_if(half=0) AS h FROM t)
+SELECT 1 AS run, h AS texts, 0 AS cached, h AS embedded FROM n UNION ALL SELECT 2, n, h, n-h FROM n UNION ALL SELECT 3, n, n, 0 FROM n UNION ALL SELECT 4, n, 0, n FROM n""",
+)
+def embedding_cache(spark, d):
+    """Even documents are embedded first, then all, then all again, then all by another revision: only what is new is embedded."""
+    rows = session.table(spark, d, "documents").select("doc_id", "text")
+    cache, out = spark.createDataFrame([], embedding.CACHE), None
+    for run, some, revision in ((1, rows.where("doc_id % 2 = 0"), "a"), (2, rows, "a"), (3, rows, "a"), (4, rows, "b")):
+        _, cache, counts = embedding.embed_cached(some, "text", embedding.Fallback(384), cache, F.timestamp_seconds(F.lit(run)), "fallback", revision)
+        cache = session.written(cache, "embedding-cache")
+        counts = counts.select(F.lit(run).alias("run"), "texts", "cached", "embedded")
+        out = counts if out is None else out.unionByName(counts)
+    return out
