@@ -32,6 +32,15 @@ def doc_identity(files: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(have, ["_old", "workspace_id"], "left").withColumn("doc_key", F.when(F.col("_has"), F.col("_old")).otherwise(scoped)).drop("_old", "_has")
 
 
+def point_id(raw: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8", prefix: str = "") -> Column:
+    """The name-based UUID (version 5) of prefix and raw in a namespace (by default that of URLs), from the bits of a SHA-1 hash."""
+    hashed = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(F.concat(F.lit(prefix), raw), "UTF-8")))
+    part = lambda a, n: F.substring(hashed, a, n)
+    # the hexadecimal digit with the variant has 8 to b
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def stale(old: DataFrame, new: DataFrame, key: str = "uri") -> DataFrame:
     """Keys that the new rows no longer have."""
     return old.select(key).distinct().join(new.select(key).distinct(), key, "left_anti")

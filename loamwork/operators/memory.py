@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.operators import match
+from loamwork.operators import entities, graph, match
 from loamwork.operators.vector import lexical, top
 
 # Kinds of memory and the confidence that is asked for.
@@ -45,6 +45,21 @@ def upsert(store: DataFrame, items: DataFrame, ledger: DataFrame) -> tuple[DataF
     return kept.unionByName(good.select(*store.columns)), judged.select("uri", "request_key", "reasons"), ledger.unionByName(fresh.select("request_key").distinct())
 
 
+def upsert_linked(store: DataFrame, nodes: DataFrame, edges: DataFrame, items: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(store, nodes, edges, report, ledger): upsert(), with accepted items (which also have entity_uris) as nodes of the graph that only their owners see,
+    and edges to the entities they refer to. A replaced item's former edges go; entities that there are none of become nodes, which nobody sees until a document
+    mentions them."""
+    after, report, keys = upsert(store, items, ledger)
+    good = items.join(report.where(F.size("reasons") == 0).select("uri", "request_key").distinct(), ["uri", "request_key"], "left_semi")
+    mine = good.select("uri", "workspace_id").distinct()
+    own, fresh = graph.memory_nodes(good), graph.memory_edges(good)
+    kept = nodes.join(mine, ["uri", "workspace_id"], "left_anti").select(*graph.NODE).unionByName(own)
+    ends = fresh.select(F.col("dst").alias("uri"), "workspace_id").distinct().join(kept.select("uri", "workspace_id"), ["uri", "workspace_id"], "left_anti")
+    unseen = ends.select("uri", F.lit("Entity").alias("type"), entities.display_name(F.col("uri")).alias("name"), "workspace_id", F.array().cast("array<string>").alias("acl_allow"))
+    others = edges.join(mine.withColumnRenamed("uri", "src"), ["src", "workspace_id"], "left_anti")
+    return after, kept.unionByName(unseen), others.select("src", "rel", "dst", "workspace_id").unionByName(fresh.select("src", "rel", "dst", "workspace_id")), report, keys
+
+
 def search(queries: DataFrame, memory: DataFrame, top_k: int = 10) -> DataFrame:
     """(qid, uri, score, rank, branch): similarity hits of the caller's memory; queries without any fall back to lexical scores over 0.
 

@@ -6,21 +6,43 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from dataclasses import fields as dataclass_fields
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.functions import access, text
-from loamwork.operators import entities, extract, graph, ingest, lexindex, memory, retrieve, route, vector
+from loamwork.operators import embedding, entities, extract, graph, ingest, lexindex, memory, retrieve, route, vecindex, vector
 from loamwork.operators.filters import Filter
 
 
+@dataclass(frozen=True)
+class Vectors:
+    """A vector index of chunks that carries the columns of Filter, and the model that made its vectors and embeds queries. probes: cells that a query
+    visits (None: all, exact)."""
+
+    index: vecindex.Index
+    model: embedding.Embedder
+    preset: str = "all-MiniLM-L6-v2"
+    probes: int | None = None
+
+    @classmethod
+    def of(cls, chunks: DataFrame, model: embedding.Embedder, preset: str = "all-MiniLM-L6-v2", probes: int | None = None) -> Vectors:
+        made = embedding.embed_column(chunks.select("uri", "text", *Filter.COLUMNS), "text", model, "vec", preset)
+        return cls(vecindex.build(made.drop("text"), list(Filter.COLUMNS)), model, preset, probes)
+
+    def find(self, queries: DataFrame, k: int, keep: Column) -> DataFrame:
+        asked = embedding.embed_column(queries.select("qid", "query"), "query", self.model, "vec", self.preset, passage=False)
+        return vecindex.search(asked.select("qid", "vec"), self.index, k, keep, self.probes).select("qid", "uri", "score")
+
+
 @dataclass(frozen=True)
 class KnowledgeBase:
     """Tables that a search reads. chunks: uri, doc_uri, text, span, entity_uris and the columns of Filter; nodes may have canonical_key and aliases.
 
     index: an inverted index of the chunks that carries the columns of Filter; searches that have none make one of what the caller may see.
+    vectors: a vector index of the chunks, which then finds the hits instead of tokens.
     """
 
     docs: DataFrame
@@ -29,13 +51,15 @@ class KnowledgeBase:
     edges: DataFrame
     memory: DataFrame
     index: lexindex.Index | None = None
+    vectors: Vectors | None = None
 
 
 def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str = "linear", top_k: int = retrieve.TOP_K, top_n: int = retrieve.TOP_N, depth: int = 1, max_nodes: int = 200, kinds: list[str] | None = None, enforce: bool = True, expand: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, memory hits, traces) of a caller's requests (qid, query, mode, include_memory).
 
     The caller's filter cuts chunks before they are searched; memory is the caller's own; the graph is walked over what the caller may see, from entities that the
-    query names, unless the mode is vector. Results carry evidence with masked snippets.
+    query names, unless the mode is vector. Results carry evidence with masked snippets. If the graph can't be read, similarity and memory alone give the results,
+    and traces have fallback_mode and fallback_reason.
     """
     who = access.principals(F.lit(caller.subject), F.array(*map(F.lit, caller.roles)).cast("array<string>"))
     allowed = caller.apply(kb.chunks)
@@ -44,17 +68,25 @@ def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str =
     remembered = session.written(memory.search(owner, kb.memory, min(5, top_k)), "remembered")
     bonus = memory.chunk_bonus(remembered, kb.memory)
     nodes = graph.visible(kb.nodes, caller.workspace_id, who, enforce)
-    seeds = session.written(graph.resolve(requests.where("mode <> 'vector'"), nodes), "seeds")
-    reached = graph.expand(graph.visible_edges(kb.edges, nodes, kinds), seeds, retrieve.depth_of("hybrid", depth), max_nodes)
+    failure = None
+    try:
+        seeds = session.written(graph.resolve(requests.where("mode <> 'vector'"), nodes), "seeds")
+        reached = graph.expand(graph.visible_edges(kb.edges, nodes, kinds), seeds, retrieve.depth_of("hybrid", depth), max_nodes)
+    except PySparkException as error:  # the graph's tables can't be read or are not what they should be: similarity alone, and why
+        failure = str(error)
+        seeds = reached = requests.sparkSession.createDataFrame([], requests.select("qid", F.col("query").alias("uri")).schema)
     expanded = retrieve.expand_queries(requests, retrieve.entity_hits(requests, nodes.where("type = 'Entity'"))) if expand else None
     find = None if kb.index is None else lambda q, k: vector.indexed(q, kb.index, k, caller.condition())
+    if kb.vectors is not None:
+        find = lambda q, k: kb.vectors.find(q, k, caller.condition())
     found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded, find=find)
     results = retrieve.evidence(found, allowed, kb.docs)
     hits = remembered.join(kb.memory.select("uri", text.redact(F.col("text")).alias("text"), "citations"), "uri")
     per = lambda df, name: df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
     lit = found.groupBy("qid").agg(F.bool_or(F.col("graph") > 0).alias("graph_nonzero"), F.count_if(F.col("graph") > 0).alias("graph_bonus"))
     traces = routed.select("qid", "mode", "intent", "reason").join(per(seeds, "seeds"), "qid", "left").join(per(reached, "reached"), "qid", "left").join(lit, "qid", "left")
-    return results, hits, traces.fillna(0, ["seeds", "reached", "graph_bonus"]).fillna(False, ["graph_nonzero"])
+    fallback = {"fallback_mode": F.lit(None if failure is None else "vector").cast("string"), "fallback_reason": F.lit(failure).cast("string")}
+    return results, hits, traces.fillna(0, ["seeds", "reached", "graph_bonus"]).fillna(False, ["graph_nonzero"]).withColumns(fallback)
 
 
 @dataclass(frozen=True)
@@ -198,6 +230,20 @@ def audit(calls: DataFrame, params: list[str], *facts: str) -> DataFrame:
     return calls.select(*facts, F.sha2(F.to_json(F.struct(*sorted(params))), 256).alias("params_hash"))
 
 
+AUDIT = "at timestamp, subject string, workspace_id string, tool string, params_hash string, result_count long, latency_ms long, auth_mode string, identity_source string, acl_decision string"
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Adds audit rows to the log at `path`, in folders by day; what is there is never changed. Columns that rows have not are null."""
+    wanted = [x.split() for x in AUDIT.split(", ")]
+    own = rows.select(*(F.col(c).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in wanted))
+    own.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT + ", day date").parquet(path)
+
+
 def contract(status: Column) -> Column:
     """ok, error_code, recoverable and next_action of a call's status."""
     # Codes of failures that another try may mend, and what to do then.

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from loamwork import session
 from loamwork.catalog import query
 from loamwork.functions import access, scores
-from loamwork.operators import chunking, graph, memory, retrieve, service, vector
+from loamwork.operators import chunking, graph, ingest, memory, retrieve, service, vector
 from loamwork.operators.entities import Extraction
 from loamwork.operators.filters import Filter
 from loamwork.plans.catalog_graph import MENTIONS, mentions
 from loamwork.plans.catalog_kb import REDACT_SQL, SENTENCE_SQL, STRINGS, asked, chunks, docs
-from loamwork.plans.catalog_ops import INTENT, TURNS, turns
+from loamwork.plans.catalog_ops import INTENT, TURNS, WHY, turns
 from loamwork.plans.sqltext import CHUNKS, KB, QUERIES, STOP, SYMBOLS, tokens
 from loamwork.sources import tables
 
@@ -452,3 +452,76 @@ def kb_search_expanded(spark, d):
     asks = asked(spark, d).select("qid", F.concat(F.lit("Alpha_"), (n % 50).cast("string"), F.lit(" state")).alias("query"), F.lit("hybrid").alias("mode"), F.lit(False).alias("include_memory"))
     found = service.search(asks, base, CALLER, expand=True)[0]
     return found.select("qid", "uri", F.round("vector", 6).alias("vector"), "graph", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "point_ids",
+    """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('kb:'||doc_id||':'||source)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8)||'-'||substr(h, 9, 4)||'-5'||substr(h, 14, 3)||'-'||translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')||substr(h, 18, 3)||'-'||substr(h, 21, 12) AS point FROM h""",
+)
+def point_ids(spark, d):
+    raw = F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source")
+    return session.table(spark, d, "documents").select("doc_id", ingest.point_id(raw, prefix="kb:").alias("point"))
+
+
+LINKED = f"""WITH {TURNS}, old AS (SELECT * FROM turns WHERE conv_id%2=0), put AS (SELECT * FROM turns WHERE conv_id%3=0 AND conv_id%5<>0 AND len({WHY})=0),
+ref AS (SELECT uri, workspace_id, 'kb://entity/symbol:'||type AS dst FROM old WHERE uri NOT IN (SELECT uri FROM put) UNION SELECT uri, workspace_id, unnest(['kb://entity/symbol:'||type, 'kb://entity/symbol:new_'||(conv_id%4)]) FROM put)"""
+
+
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = turns(spark, d)
+    of = lambda c: F.concat(F.lit("kb://entity/symbol:"), c)
+    old = t.where(F.col("conv_id") % 2 == 0).withColumn("entity_uris", F.array(of(F.col("type"))))
+    put = t.where(F.col("conv_id") % 3 == 0).withColumn("entity_uris", F.array(of(F.col("type")), of(F.concat(F.lit("new_"), (F.col("conv_id") % 4).cast("string")))))
+    done = t.where(F.col("conv_id") % 5 == 0).select("request_key").distinct()
+    entity = old.select(F.explode("entity_uris").alias("uri"), "workspace_id").distinct().select("uri", F.lit("Entity").alias("type"), "uri", "workspace_id").toDF("uri", "type", "name", "workspace_id").withColumn("acl_allow", F.array(F.lit("u0")))
+    _, nodes, edges, _, _ = memory.upsert_linked(old, entity.unionByName(graph.memory_nodes(old)), graph.memory_edges(old), put, done)
+    return nodes, edges
+
+
+@query("memory_links", LINKED + " SELECT uri AS src, 'MEMORY_REFERS_TO' AS rel, dst, workspace_id FROM ref")
+def memory_links(spark, d):
+    """Edges after items were put over others: those of accepted items that were not put before, and what others had."""
+    return _linked(spark, d)[1].select("src", "rel", "dst", "workspace_id")
+
+
+@query(
+    "memory_link_nodes",
+    LINKED + """ SELECT uri, 'Memory' AS type, workspace_id, subject AS readers FROM (SELECT * FROM old UNION SELECT * FROM put) UNION
+SELECT 'kb://entity/symbol:'||type, 'Entity', workspace_id, 'u0' FROM old UNION SELECT dst, 'Entity', workspace_id, '' FROM ref WHERE (dst, workspace_id) NOT IN (SELECT ('kb://entity/symbol:'||type, workspace_id) FROM old)""",
+)
+def memory_link_nodes(spark, d):
+    return _linked(spark, d)[0].select("uri", "type", "workspace_id", F.array_join("acl_allow", ",").alias("readers"))
+
+
+@query(
+    "typed_reads",
+    f"""WITH {CHUNKS}, {TURNS} SELECT 'doc' AS kind, doc_uri AS uri, workspace_id='w1' AS found, CASE WHEN workspace_id='w1' THEN title||'|'||source_path END AS fields FROM kb
+UNION ALL SELECT 'chunk', uri, workspace_id='w1', CASE WHEN workspace_id='w1' THEN doc_uri||'|'||sha256(text) END FROM chunks
+UNION ALL SELECT 'memory', uri, workspace_id='w1' AND subject='u1', CASE WHEN workspace_id='w1' AND subject='u1' THEN type||'|'||sha256(text) END FROM turns""",
+)
+def typed_reads(spark, d):
+    """Point reads of each kind by one caller: only what is in the own workspace (of memory: one's own) is found."""
+    doc, own, mine = docs(spark, d).withColumnRenamed("doc_uri", "uri"), chunks(spark, d), turns(spark, d)
+    joined = lambda *c: F.when(F.col("found"), F.concat_ws("|", *c))
+    rows = (("doc", doc, joined("title", "source_path")), ("chunk", own, joined("doc_uri", F.sha2("text", 256))), ("memory", mine, joined("type", F.sha2("text", 256))))
+    out = None
+    for kind, table, fields in rows:
+        got = tables.get(table, table, kind, "w1", "u1").select(F.lit(kind).alias("kind"), "uri", "found", fields.alias("fields"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(
+    "audit_log",
+    "SELECT CAST(ts AS DATE) AS day, event_type AS tool, count(*) AS n, count(DISTINCT sha256('{\"event_id\":'||event_id||',\"value\":'||user_id||'}')) AS hashes, CAST(sum(user_id) AS BIGINT) AS results FROM events GROUP BY ALL",
+)
+def audit_log(spark, d):
+    """Calls go to the log in two batches; the log is read back."""
+    e = session.table(spark, d, "events")
+    calls = e.select(F.col("ts").alias("at"), F.col("event_type").alias("tool"), F.col("user_id").alias("result_count"), "event_id", F.col("user_id").alias("value"))
+    rows = service.audit(calls, ["event_id", "value"], "at", "tool", "result_count", "event_id")
+    path = session.fresh_path(spark, "audit")
+    for half in (0, 1):
+        service.append_audit(rows.where(F.col("event_id") % 2 == half), path)
+    return service.read_audit(spark, path).groupBy("day", "tool").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("params_hash").alias("hashes"), F.sum("result_count").alias("results"))

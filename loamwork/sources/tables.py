@@ -85,3 +85,19 @@ def of_owner(table: DataFrame, workspace_id: str, subject: str | None = None) ->
 def of_documents(table: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (chunks, say) of the documents (doc_uri)."""
     return table.join(docs.select("doc_uri").distinct(), "doc_uri", "left_semi")
+
+
+#: Fields that a point read of each kind gives; a table may have more.
+FIELDS = {
+    "doc": ["uri", "title", "source", "source_path", "workspace_id", "acl_allow", "tags", "updated_at", "checksum"],
+    "chunk": ["uri", "doc_uri", "text", "span", "entity_uris", "workspace_id", "acl_allow", "source", "tags", "updated_at"],
+    "entity": ["uri", "name", "aliases", "canonical_key", "workspace_id", "acl_allow"],
+    "memory": ["uri", "type", "text", "citations", "confidence", "workspace_id", "subject"],
+}
+
+
+def get(table: DataFrame, uris: DataFrame, kind: str, workspace_id: str, subject: str | None = None) -> DataFrame:
+    """uri, found and the fields of its kind for each asked uri (uri), of one workspace; memory is its owner's. A field that the table has not is left out."""
+    own = of_owner(table, workspace_id, subject if kind == "memory" else None)
+    fields = [c for c in FIELDS[kind] if c in own.columns]
+    return uris.select("uri").distinct().join(own.select(*fields, F.lit(True).alias("found")), "uri", "left").withColumn("found", F.coalesce("found", F.lit(False)))
