@@ -12,7 +12,7 @@ from loamwork.operators import evaluate, ingest, match, memory, retrieve, route,
 from loamwork.plans.catalog_kb import STRINGS, asked, chunks, docs
 from loamwork.plans.sqltext import CHUNKS, HITS, KB, QUERIES, tokens
 from loamwork.sources import tables
-from loamwork.streaming import stateful
+from loamwork.streaming import live, stateful
 
 NEXT = KB + ", nextv AS (SELECT workspace_id, source_path, doc_id, text, CASE WHEN doc_id%7=0 THEN text||' edited' WHEN doc_id%11=0 THEN '' ELSE text END AS ntext FROM kb), ledger AS (SELECT workspace_id, source_path, sha256(text) AS checksum FROM kb WHERE doc_id%5<>0), st AS (SELECT n.*, CASE WHEN ntext='' OR coalesce(sha256(ntext)=checksum, false) THEN 'skipped' WHEN checksum IS NULL THEN 'created' ELSE 'updated' END AS status FROM nextv n LEFT JOIN ledger USING (workspace_id, source_path))"
 
@@ -418,3 +418,41 @@ def guarded_calls(spark, d):
 def idempotency_once(spark, d):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
     return stateful.once(session.table(spark, d, "events").withColumn("request_key", key)).select("user_id", "event_type")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
+    """What a stream gives of rows that come in two halves of their time, each read by a start of its own on one checkpoint."""
+    source, out, checkpoint = (session.fresh_path(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
+    middle = rows.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    halves = rows.withColumn("half", (F.unix_micros(F.col("ts").cast("timestamp")) > middle).cast("int"))
+    for half in (0, 1):
+        halves.where(F.col("half") == half).drop("half").write.mode("append").parquet(source)
+        live.run(make(spark.readStream.schema(rows.schema).parquet(source)), out, checkpoint)
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_idempotent",
+    """WITH RECURSIVE e AS (SELECT event_id, event_type||(user_id%20) AS key, ts, row_number() OVER (PARTITION BY event_type||(user_id%20) ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT key, i, event_id, event_id AS answer_of, ts AS since FROM e WHERE i = 1 UNION ALL
+  SELECT e.key, e.i, e.event_id, CASE WHEN e.ts - p.since > INTERVAL 12 HOUR THEN e.event_id ELSE p.answer_of END, CASE WHEN e.ts - p.since > INTERVAL 12 HOUR THEN e.ts ELSE p.since END FROM p JOIN e ON e.key = p.key AND e.i = p.i + 1)
+SELECT key, event_id, answer_of FROM p""",
+)
+def stream_idempotent(spark, d):
+    """Requests by a stream that is started twice: which request answers each."""
+    e = session.table(spark, d, "events").select("event_id", "ts", F.concat("event_type", (F.col("user_id") % 20).cast("string")).alias("request_key"))
+    return _streamed(spark, e, lambda s: live.answer(s, "request_key", 12 * 3600)).select("key", "event_id", "answer_of")
+
+
+@query(
+    "stream_confirmations",
+    """WITH RECURSIVE e AS (SELECT event_id, 'u'||(user_id%40) AS key, ts, event_type IN ('signup','view') AS issue, row_number() OVER (PARTITION BY user_id%40 ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT key, i, event_id, CASE WHEN issue THEN ts END AS since, false AS used, CASE WHEN NOT issue THEN false END AS accepted FROM e WHERE i = 1 UNION ALL
+  SELECT e.key, e.i, e.event_id, CASE WHEN issue THEN e.ts ELSE p.since END, CASE WHEN issue THEN false ELSE p.used OR coalesce(e.ts - p.since <= INTERVAL 6 HOUR, false) END, CASE WHEN NOT issue THEN coalesce(NOT p.used AND e.ts - p.since <= INTERVAL 6 HOUR, false) END FROM p JOIN e ON e.key = p.key AND e.i = p.i + 1)
+SELECT key, event_id, accepted FROM p""",
+)
+def stream_confirmations(spark, d):
+    """Views issue a token of the user, all else confirms it, by a stream that is started twice."""
+    kind = F.when(F.col("event_type").isin("signup", "view"), live.ISSUE).otherwise(live.CONFIRM)
+    e = session.table(spark, d, "events").select("event_id", "ts", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("token"), kind.alias("kind"))
+    return _streamed(spark, e, lambda s: live.confirmations(s, "token", 6 * 3600)).select("key", "event_id", "accepted")

@@ -17,7 +17,7 @@ from loamwork.plans.catalog_graph import MENTIONS, mentions
 from loamwork.plans.catalog_kb import REDACT_SQL, SENTENCE_SQL, STRINGS, asked, chunks, docs
 from loamwork.plans.catalog_ops import INTENT, TURNS, WHY, turns
 from loamwork.plans.sqltext import CHUNKS, KB, QUERIES, STOP, SYMBOLS, tokens
-from loamwork.sources import tables
+from loamwork.sources import files, tables
 
 CALLER = Filter("w1", "u1", ("reader",))
 SEES = "workspace_id='w1' AND list_has_any(acl_allow, ['u1','role:reader'])"
@@ -221,13 +221,13 @@ def _state(spark: SparkSession, d: str) -> tuple[DataFrame, service.Store]:
         graph.mention_edges(own),
         before.select("workspace_id", "source_path", F.sha2("text", 256).alias("checksum")),
     )
-    files = whole.withColumn("text", F.when(n % 6 == 1, F.substring("text", 1, 900)).when(n % 10 == 0, "").otherwise(F.col("text"))).drop("doc_uri", "doc_key")
-    return files, store
+    rows = whole.withColumn("text", F.when(n % 6 == 1, F.substring("text", 1, 900)).when(n % 10 == 0, "").otherwise(F.col("text"))).drop("doc_uri", "doc_key")
+    return rows, store
 
 
 def _ingested(spark: SparkSession, d: str, only: DataFrame | None = None) -> tuple[service.Store, DataFrame]:
-    files, store = _state(spark, d)
-    return service.ingest_files(files, store, chunking.spans, only)
+    rows, store = _state(spark, d)
+    return service.ingest_files(rows, store, chunking.spans, only)
 
 
 @query(
@@ -376,9 +376,9 @@ def _told(spark: SparkSession, d: str) -> tuple[service.Store, service.Store]:
     n, k = F.col("doc_id"), lambda m: (F.col("doc_id") % m).cast("string")
     tells = F.concat(F.lit("Alpha_"), k(50), F.lit(" depends on Beta_"), k(7), F.lit(". Ваза_"), k(3), F.lit(" вызывает Мир. "), "text")
     other = F.concat(F.lit("ALPHA_"), k(50), F.lit(" calls Gamma_"), k(5), F.lit(". "), F.substring("text", 1, 900))
-    files = docs(spark, d).drop("doc_uri", "doc_key")
-    store = service.ingest_files(files.where(n % 4 != 0).withColumn("text", tells), service.empty_store(spark), chunking.spans, extraction=TOLD)[0].written()
-    now = files.withColumn("text", F.when(n % 6 == 1, other).when(n % 10 == 0, "").otherwise(tells))
+    rows = docs(spark, d).drop("doc_uri", "doc_key")
+    store = service.ingest_files(rows.where(n % 4 != 0).withColumn("text", tells), service.empty_store(spark), chunking.spans, extraction=TOLD)[0].written()
+    now = rows.withColumn("text", F.when(n % 6 == 1, other).when(n % 10 == 0, "").otherwise(tells))
     return store, service.ingest_files(now, store, chunking.spans, extraction=TOLD)[0]
 
 
@@ -407,9 +407,9 @@ def ingest_relation_change(spark, d):
     return one.join(two.withColumn("stays", F.lit(True)), keys, "left").select(*keys, F.coalesce("stays", F.lit(False)).alias("stays"))
 
 
-def _ingested_base(spark: SparkSession, d: str, files: DataFrame, extraction: Extraction, nodes: DataFrame | None = None) -> service.KnowledgeBase:
+def _ingested_base(spark: SparkSession, d: str, rows: DataFrame, extraction: Extraction, nodes: DataFrame | None = None) -> service.KnowledgeBase:
     store = service.empty_store(spark)
-    store = service.ingest_files(files, store if nodes is None else replace(store, nodes=nodes), chunking.spans, extraction=extraction)[0].written()
+    store = service.ingest_files(rows, store if nodes is None else replace(store, nodes=nodes), chunking.spans, extraction=extraction)[0].written()
     return store.knowledge_base(_cited(spark, d))
 
 
@@ -525,3 +525,54 @@ def audit_log(spark, d):
     for half in (0, 1):
         service.append_audit(rows.where(F.col("event_id") % 2 == half), path)
     return service.read_audit(spark, path).groupBy("day", "tool").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("params_hash").alias("hashes"), F.sum("result_count").alias("results"))
+
+
+def _as_files(spark: SparkSession, d: str) -> str:
+    """A folder in which each benchmark item is a text file of its own."""
+    root = session.fresh_path(spark, "files")
+    session.table(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy("item_id").text(root)
+    return root
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    """item_id and text of files, without the line end that writing adds."""
+    return rows.select(F.regexp_extract("source_path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.regexp_replace("text", "\n$", "").alias("text"), "source", "tags")
+
+
+@query("files_scan", "SELECT item_id, sha256(text) AS sha, 'ext:txt' AS tag FROM benchmark")
+def files_scan(spark, d):
+    """Items are written as files and read by the scan of a folder."""
+    return _read_back(files.documents(spark, _as_files(spark, d))).select("item_id", F.sha2("text", 256).alias("sha"), F.get("tags", F.lit(0)).alias("tag"))
+
+
+@query("files_targeted", "SELECT item_id, sha256(text) AS sha FROM benchmark WHERE item_id%3=0")
+def files_targeted(spark, d):
+    """Of the same files only those that are named."""
+    root = _as_files(spark, d)
+    some = session.table(spark, d, "benchmark").where(F.col("item_id") % 3 == 0).select("item_id").collect()
+    return _read_back(files.documents(spark, root, include=[f"item_id={r.item_id}" for r in some])).select("item_id", F.sha2("text", 256).alias("sha"))
+
+
+@query(
+    "files_ingested",
+    """WITH kb AS (SELECT item_id, 'w'||(item_id%3) AS workspace_id, 'item/'||item_id AS source_path, text FROM benchmark WHERE text <> ''), k AS (SELECT *, substr(sha1(workspace_id||':'||source_path), 1, 16) AS key FROM kb),
+c AS (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text)-800)/680.0) AS INT)))) AS i FROM k)
+SELECT 'kb://chunk/'||key||'_'||i AS uri, workspace_id, sha256(substr(text, i*680+1, 800)) AS sha FROM c""",
+)
+def files_ingested(spark, d):
+    """From files to a store."""
+    read = _read_back(files.documents(spark, _as_files(spark, d)))
+    n = F.col("item_id")
+    rows = read.select(F.concat(F.lit("w"), (n % 3).cast("string")).alias("workspace_id"), F.concat(F.lit("item/"), n.cast("string")).alias("source_path"), "source", F.col("source").alias("title"), "tags", F.array(F.lit("u1")).alias("acl_allow"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"), "text")
+    store, _ = service.ingest_files(rows, service.empty_store(spark), chunking.spans)
+    return store.chunks.select("uri", "workspace_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("json_lines_scan", "SELECT conv_id, turn, sha256(text) AS sha FROM conversations")
+def json_lines_scan(spark, d):
+    """Turns are written as JSON lines, each followed by a blank and a broken line, and read by the loose reader."""
+    path = session.fresh_path(spark, "lines")
+    t = session.table(spark, d, "conversations")
+    lines = t.select(F.explode(F.array(F.to_json(F.struct("conv_id", "turn", "text")), F.lit("  "), F.lit("not json"), F.lit("[1, 2]"))).alias("value"))
+    lines.write.text(path)
+    return files.json_lines(spark, path, "conv_id long, turn long, text string").select("conv_id", "turn", F.sha2("text", 256).alias("sha"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from loamwork import session
 
 #: Extensions that are read unless others are given.
 EXTENSIONS = (".md", ".txt", ".py", ".sql")
@@ -53,3 +58,41 @@ def changed(repo: str, since: str = "HEAD~1", timeout: float = 30) -> list[str]:
     except (OSError, subprocess.TimeoutExpired):
         return []
     return [x for x in got.stdout.splitlines() if x.strip()] if got.returncode == 0 else []
+
+
+class GitChanges(DataSource):
+    """spark.read.format("git_changes"): root and source_path of the files that git tells as changed in several repositories, each a partition of its own.
+
+    Options: roots (one on a line), since (HEAD~1), timeout (30 seconds). A root where git fails or takes too long has no rows, like changed(). Executors
+    must see the repositories. Register it with spark.dataSource.register(GitChanges).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_changes"
+
+    def schema(self) -> str:
+        return "root string, source_path string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _GitReader(self.options)
+
+
+class _GitReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.roots = [x.strip() for x in options.get("roots", "").splitlines() if x.strip()]
+        self.since, self.timeout = options.get("since", "HEAD~1"), float(options.get("timeout", 30))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(root) for root in self.roots]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+        for path in changed(partition.value, self.since, self.timeout) if partition is not None else []:
+            yield partition.value, path
+
+
+def changes(spark: SparkSession, roots: list[str], since: str = "HEAD~1") -> DataFrame:
+    """root and source_path of changed files of several repositories."""
+    session.ship(spark)
+    spark.dataSource.register(GitChanges)
+    return spark.read.format("git_changes").option("roots", "\n".join(roots)).option("since", since).load()
