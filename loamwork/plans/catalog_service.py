@@ -576,3 +576,25 @@ def json_lines_scan(spark, d):
     lines = t.select(F.explode(F.array(F.to_json(F.struct("conv_id", "turn", "text")), F.lit("  "), F.lit("not json"), F.lit("[1, 2]"))).alias("value"))
     lines.write.text(path)
     return files.json_lines(spark, path, "conv_id long, turn long, text string").select("conv_id", "turn", F.sha2("text", 256).alias("sha"))
+
+
+@query(
+    "table_changes",
+    """WITH old AS (SELECT o_orderkey AS k, CASE WHEN o_custkey%2=0 THEN 'w1' ELSE 'w0' END AS w, o_orderstatus AS status FROM orders WHERE o_orderkey%5<>0),
+new AS (SELECT o_orderkey AS k, CASE WHEN o_custkey%2=0 THEN 'w1' ELSE 'w0' END AS w, 'X' AS status FROM orders WHERE o_orderkey%3=0),
+one AS (SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new), two AS (SELECT * FROM one WHERE k%7<>0)
+SELECT k, w, status, 1 AS times FROM two WHERE k%11<>0 UNION ALL SELECT k, w, 'Y', 1 FROM two WHERE k%11=0 UNION ALL SELECT k, 'w2', 'Y', 1 FROM two WHERE k%11=0""",
+)
+def table_changes(spark, d):
+    """A table is made, filled, changed, cut, given another key and changed under that."""
+    key = F.col("o_orderkey")
+    o = session.table(spark, d, "orders").select(key.alias("k"), F.when(F.col("o_custkey") % 2 == 0, "w1").otherwise("w0").alias("w"), F.col("o_orderstatus").alias("status"))
+    t = tables.Table(spark, session.fresh_path(spark, "table"), "k long, w string, status string", ["k"], 8)
+    t.create()
+    t.upsert(o.where(F.col("k") % 5 != 0))
+    t.upsert(o.where(F.col("k") % 3 == 0).withColumn("status", F.lit("X")))
+    t.delete(o.where(F.col("k") % 7 == 0))
+    t.rekey(["k", "w"])
+    now = t.read().where(F.col("k") % 11 == 0)
+    t.upsert(now.unionByName(now.withColumn("w", F.lit("w2"))).withColumn("status", F.lit("Y")))
+    return t.read().groupBy("k", "w", "status").agg(F.count(F.lit(1)).alias("times"))

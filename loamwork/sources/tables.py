@@ -1,49 +1,82 @@
-"""Parquet tables that can be changed: point reads, lists, upserts and deletes by writing the next version of a table."""
+"""Tables of plain Parquet files that can be changed: point reads, lists, upserts and deletes that overwrite the partitions they touch."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork import session
 from loamwork.functions import access, text
-from loamwork.operators import ingest
 
 
 class Table:
-    """A table below `path`: each version is a folder, and a one-row pointer names the current one. Readers of an old version are not disturbed."""
+    """A Parquet table at `path`, partitioned by a hash of its keys (column _part), so that a change reads and overwrites only the partitions that its keys fall
+    into (dynamic partition overwrite). Any Spark reader can read the folder. A change is written aside first, so a failed one can be run again; changes to
+    one table go one after the other, and a reader may meet one half done.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], partition_by: list[str] | None = None) -> None:
-        self.spark, self.path, self.schema, self.keys, self.partition_by = spark, path.rstrip("/"), schema, keys, partition_by or []
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], parts: int = 64) -> None:
+        self.spark, self.path, self.schema, self.keys, self.parts = spark, path.rstrip("/"), schema, keys, parts
 
-    def _pointer(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+    @property
+    def folder(self) -> str:
+        """Where the rows are: a folder named by the keys."""
+        return f"{self.path}/by-{'-'.join(self.keys)}"
 
-    def read(self) -> DataFrame:
-        now = self._pointer()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}") if now else self.spark.createDataFrame([], self.schema)
+    def _files(self, path: str):
+        """(file system, path) of the JVM."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self) -> bool:
+        fs, p = self._files(self.folder)
+        return fs.exists(p)
+
+    def create(self) -> None:
+        """Makes the table if there is none."""
+        if not self.exists():
+            self._write(self._placed(self.spark.createDataFrame([], self.schema)))
 
-    def write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        writer = df.select(*self.read().columns).write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+    def drop(self) -> None:
+        if self.exists():
+            session.delete_path(self.spark, self.folder)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
+
+    def _all(self) -> DataFrame:
+        if not self.exists():
+            return self._placed(self.spark.createDataFrame([], self.schema))
+        return self.spark.read.schema(f"{self.schema}, _part int").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self._all().drop("_part")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(self.folder)
+
+    def _change(self, keys: DataFrame, added: DataFrame | None) -> None:
+        """Takes rows of the keys out and puts others in; only partitions of the keys are read and written."""
+        touched = sorted(r[0] for r in self._placed(keys.select(*self.keys)).select("_part").distinct().collect())  # `parts` numbers at most
+        left = self._all().where(F.col("_part").isin(touched)).join(keys.select(*self.keys).distinct(), self.keys, "left_anti")
+        after = session.written(left if added is None else left.unionByName(self._placed(added)), "table-change")
+        held = {r[0] for r in after.select("_part").distinct().collect()}
+        self._write(after)
+        for part in set(touched) - held:  # what has no rows left is not overwritten
+            fs, p = self._files(f"{self.folder}/_part={part}")
+            fs.delete(p, True)
 
     def upsert(self, rows: DataFrame) -> None:
-        self.write(ingest.upsert(self.read(), rows.select(*self.read().columns).dropDuplicates(self.keys), self.keys))
+        """Puts rows in place of those of equal keys, or beside them; of several with equal keys one is taken."""
+        rows = session.written(rows.select(*self.read().columns).dropDuplicates(self.keys), "table-rows")
+        self._change(rows, rows)
 
     def delete(self, keys: DataFrame) -> int:
         """Removes rows of the given keys and returns how many there were."""
-        now = self.read()
-        n = now.join(keys.select(*self.keys).distinct(), self.keys, "left_semi").count()
+        keys = keys.select(*self.keys).distinct()
+        n = self.read().join(keys, self.keys, "left_semi").count()
         if n:
-            self.write(now.join(keys.select(*self.keys).distinct(), self.keys, "left_anti"))
+            self._change(keys, None)
         return n
 
     def rekey(self, keys: list[str], filled: dict[str, str] | None = None) -> None:
@@ -51,20 +84,21 @@ class Table:
         if keys == self.keys:
             return
         rows = self.read().fillna(filled or {})
-        missing = rows.where(" or ".join(f"{k} is null" for k in keys))
-        if not missing.isEmpty():
+        if not rows.where(" or ".join(f"{k} is null" for k in keys)).isEmpty():
             raise ValueError("a key column is null")
-        self.write(rows.dropDuplicates(keys))
+        after = Table(self.spark, self.path, self.schema, list(keys), self.parts)
+        after.drop()
+        after._write(after._placed(rows.dropDuplicates(keys)))
+        self.drop()
         self.keys = list(keys)
 
     def vacuum(self) -> None:
-        """Deletes all versions but the current one."""
-        now, jvm = self._pointer(), self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        for f in p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p):
-            name = f.getPath().getName()
-            if name.startswith("v-") and name != now:
-                session.delete_path(self.spark, f"{self.path}/{name}")
+        """Deletes what failed changes have left in the folder."""
+        if self.exists():
+            fs, p = self._files(self.folder)
+            for f in fs.listStatus(p):
+                if f.getPath().getName().startswith((".spark-staging", "_temporary")):
+                    fs.delete(f.getPath(), True)
 
 
 def resource(table: DataFrame, uris: DataFrame, workspace_id: str, who, kind: str) -> DataFrame:
