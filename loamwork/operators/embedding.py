@@ -91,14 +91,17 @@ def neighbour_similarity(texts: Column, dimensions: int) -> Column:
     return compare(texts)
 
 
-def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "embedding", preset: str = "all-MiniLM-L6-v2", passage: bool = True) -> DataFrame:
-    """df with a vector for each row; every different text is embedded once, in Arrow batches."""
+def embed_column(df: DataFrame, column: str, model: Embedder, output: str = "embedding", preset: str = "all-MiniLM-L6-v2", passage: bool = True, batch: int = 0) -> DataFrame:
+    """df with a vector for each row; every different text is embedded once, with the preset's prefix; batch: texts of one call of the model (0: as many as come
+    together in an Arrow batch)."""
     session.ship(df.sparkSession)
     prefix = PRESETS[preset][3 if passage else 2]
 
     @F.pandas_udf("array<double>")
     def embed(values: pd.Series) -> pd.Series:
-        return pd.Series([v.tolist() for v in model.embed([prefix + (x or "") for x in values])])
+        texts = [prefix + (x or "") for x in values]
+        step = batch or max(len(texts), 1)
+        return pd.Series([v.tolist() for low in range(0, len(texts), step) for v in model.embed(texts[low : low + step])])
 
     unique = df.select(F.col(column).alias("_text")).distinct().withColumn(output, embed("_text"))
     return df.join(unique, df[column].eqNullSafe(unique["_text"]), "left").drop("_text")

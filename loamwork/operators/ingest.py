@@ -66,11 +66,10 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
-def backfill(entities: DataFrame, batch: int, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(embedded, counters): entities with text are embedded in Arrow batches; seen, indexed and skipped are counted."""
+def backfill(entities: DataFrame, batch: int, embed: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(embedded, counters): entities with text are embedded, so many by a call of the model; seen, indexed and skipped are counted."""
     if batch <= 0:
         raise ValueError("batch must be positive")
-    entities.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     ready = entities.where(F.col("search_text").isNotNull())
     counts = entities.agg(F.count(F.lit(1)).alias("seen"), F.count("search_text").alias("indexed"), F.count_if(F.col("search_text").isNull()).alias("skipped"))
-    return embed(ready), counts
+    return embed(ready, batch), counts

@@ -230,6 +230,19 @@ def audit(calls: DataFrame, params: list[str], *facts: str) -> DataFrame:
     return calls.select(*facts, F.sha2(F.to_json(F.struct(*sorted(params))), 256).alias("params_hash"))
 
 
+def health(spark: SparkSession, parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(part, status, n, reason): whether each table can be read, and how many rows it has; the row `all` is ok, degraded (some can't) or error (none can)."""
+    rows = []
+    for part, table in parts.items():
+        try:
+            rows.append((part, "ok", table().count(), None))
+        except PySparkException as error:
+            rows.append((part, "error", None, str(error)[:300]))
+    good = sum(r[1] == "ok" for r in rows)
+    rows.append(("all", "ok" if good == len(parts) else "degraded" if good else "error", None, None))
+    return spark.createDataFrame(rows, "part string, status string, n long, reason string")
+
+
 AUDIT = "at timestamp, subject string, workspace_id string, tool string, params_hash string, result_count long, latency_ms long, auth_mode string, identity_source string, acl_decision string"
 
 
@@ -255,4 +268,4 @@ def contract(status: Column) -> Column:
     return F.struct(ok.alias("ok"), F.when(~ok, status).alias("error_code"), status.isin(list(mend)).alias("recoverable"), action.alias("next_action"))
 
 
-__all__ = ["KnowledgeBase", "Store", "audit", "contract", "cycle_summary", "empty_store", "ingest_files", "ingest_statuses", "search"]
+__all__ = ["KnowledgeBase", "Store", "audit", "contract", "cycle_summary", "empty_store", "health", "ingest_files", "ingest_statuses", "search"]

@@ -424,3 +424,15 @@ def embedding_cache(spark, d):
         counts = counts.select(F.lit(run).alias("run"), "texts", "cached", "embedded")
         out = counts if out is None else out.unionByName(counts)
     return out
+
+
+@query(
+    "embed_prefixed",
+    r"""WITH prefixed AS (SELECT doc_id, 'passage: '||text AS text FROM documents), b AS (SELECT doc_id, sum(c*c) AS s FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM prefixed) GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS words, length(text) AS chars, length(regexp_replace(text, '[^\p{Nd}]', '', 'g')) AS digits, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals FROM prefixed)
+SELECT doc_id, round(words / sqrt(s + words*words + chars*chars + digits*digits + capitals*capitals), 9) AS words, 1.0::DOUBLE AS norm FROM b JOIN f USING (doc_id)""".replace("\\\\", "\\"),
+)
+def embed_prefixed(spark, d):
+    """Embeddings of passages by a preset that has a prefix for them."""
+    out = embedding.embed_column(session.table(spark, d, "documents").select("doc_id", "text"), "text", embedding.Fallback(384), preset="multilingual-e5-large")
+    return out.select("doc_id", F.round(F.get("embedding", F.lit(256)), 9).alias("words"), F.round(scores.dot(F.col("embedding"), F.col("embedding")), 9).alias("norm"))

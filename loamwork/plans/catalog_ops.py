@@ -361,7 +361,7 @@ def backfill_counts(spark, d):
 
     c, k = session.table(spark, d, "customer"), F.col("c_custkey")
     rows = c.select("c_custkey", entities.search_text(F.when(k % 9 != 0, F.col("c_name")), F.when(k % 9 != 0, F.array("c_mktsegment"))).alias("search_text"))
-    made, counts = ingest.backfill(rows, 500, lambda df: embedding.embed_column(df, "search_text", embedding.Fallback(384)))
+    made, counts = ingest.backfill(rows, 500, lambda df, n: embedding.embed_column(df, "search_text", embedding.Fallback(384), batch=n))
     chars = F.round(F.get("embedding", F.lit(257)) / F.get("embedding", F.lit(256)) * F.size(F.split("search_text", " "))).cast("long")
     return made.select("c_custkey", chars.alias("chars")).join(F.broadcast(counts))
 
@@ -456,3 +456,14 @@ def stream_confirmations(spark, d):
     kind = F.when(F.col("event_type").isin("signup", "view"), live.ISSUE).otherwise(live.CONFIRM)
     e = session.table(spark, d, "events").select("event_id", "ts", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("token"), kind.alias("kind"))
     return _streamed(spark, e, lambda s: live.confirmations(s, "token", 6 * 3600)).select("key", "event_id", "accepted")
+
+
+@query(
+    "health_parts",
+    f"""WITH {KB} SELECT 'docs' AS part, 'ok' AS status, (SELECT count(*) FROM kb) AS n UNION ALL SELECT 'memory', 'ok', (SELECT count(*) FROM conversations) UNION ALL SELECT 'edges', 'error', NULL UNION ALL SELECT 'all', 'degraded', NULL""",
+)
+def health_parts(spark, d):
+    """Health of a store one of whose tables can't be read."""
+    absent = lambda: spark.read.parquet(f"{d}/absent.parquet")
+    found = service.health(spark, {"docs": lambda: docs(spark, d), "memory": lambda: session.table(spark, d, "conversations"), "edges": absent})
+    return found.select("part", "status", "n")

@@ -598,3 +598,13 @@ def table_changes(spark, d):
     now = t.read().where(F.col("k") % 11 == 0)
     t.upsert(now.unionByName(now.withColumn("w", F.lit("w2"))).withColumn("status", F.lit("Y")))
     return t.read().groupBy("k", "w", "status").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    "kb_search_clamped",
+    SEARCH_SQL.replace("WHERE rank <= 20)", "WHERE rank <= 100)").replace("QUALIFY rank <= 10)", "QUALIFY rank <= 100)") + " SELECT qid, uri, graph, round(score,6) AS score, rank FROM best",
+)
+def kb_search_clamped(spark, d):
+    """Who asks for 5,000 results gets a hundred."""
+    found = service.search(_requests(spark, d), knowledge_base(spark, d), CALLER, top_k=5000, top_n=5000)[0]
+    return found.select("qid", "uri", "graph", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -130,7 +130,7 @@ def test_ingest_changes_and_merge(spark):
     got = {r.source_path: r.status for r in ingest.changes(files_, ledger).collect()}
     assert got == {"a": "skipped", "b": "created", "c": "skipped", " ": "skipped"}
     with pytest.raises(ValueError):
-        ingest.backfill(files_, 0, lambda df: df)
+        ingest.backfill(files_, 0, lambda df, n: df)
 
 
 def test_quality_numbers(spark):
