@@ -344,10 +344,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, train_rows: int = TRAIN_ROWS) -> Model:
-    """The model from at most train_rows rows of labels, chosen by a hash of doc_id."""
+    """The model from at most train_rows labelled texts, chosen by a hash of doc_id and then, where a doc_id has several rows, of the text."""
     spark = docs.sparkSession
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
     sample = session.written(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "label"]).select("text", "label"), "toxicity-sample")
+    hashed = F.xxhash64("text", "label")
+    if sample.count() > train_rows:  # only where doc_ids repeat
+        last = sample.select(hashed.alias("h")).orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+        sample = session.written(sample.where(hashed <= last), "toxicity-sample")
     rows, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     channel = spark.sparkContext.broadcast(Channel(counts, []))
 
