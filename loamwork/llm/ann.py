@@ -60,6 +60,12 @@ def entries(vectors: DataFrame, keep: int, every: int) -> DataFrame:
     return got
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components between 1/2 and 1: cosines stay the same to the last bit, and no square runs over or
+    vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def _codebook(x: np.ndarray, codes: int, rng: np.random.Generator) -> np.ndarray:
     """k-means by Lloyd's steps."""
     c = x[rng.choice(len(x), codes, replace=False)].copy()
@@ -87,6 +93,7 @@ class MultiIndex:
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
+        x = scaled(x)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def both(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +221,12 @@ def search(vectors: DataFrame, k: int = K, every: int = 50, target: float = TARG
             if not raw:
                 return
             if block is None:
-                block = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+                block = scaled(np.frombuffer(b"".join(raw)).reshape(len(raw), -1))
                 norms = np.sqrt(np.einsum("ij,ij->i", block, block))
                 unit = np.array(places, np.int64)
                 at = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
                 bounds = dict(zip(unit[at].tolist(), zip(at.tolist(), np.append(at[1:], len(unit)).tolist(), strict=True), strict=True))
-            q = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
+            q = scaled(np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1))
             lengths = np.sqrt(np.einsum("ij,ij->i", q, q))
             asks = units.flatten().to_numpy()
             by = np.repeat(np.arange(len(units)), units.value_lengths().to_numpy())
