@@ -229,3 +229,32 @@ def test_large_groups_are_counted_by_their_different_ids(spark, monkeypatch):
     whole = pairs()
     monkeypatch.setattr(alignment, "LINKS_TOGETHER", 3)
     assert pairs() == whole
+
+
+# 2 and 10
+
+
+def test_training_rows_are_bounded_where_doc_ids_repeat(spark):
+    from loamwork.llm import toxicity
+
+    rows = [(i % 20, f"word{i} {'vile' if i % 2 else 'fine'} text {i % 7}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    counts = toxicity.character_counts(docs)
+    seen = []
+    real = toxicity._logistic
+    toxicity._logistic = lambda x, y: seen.append(len(x)) or real(x, y)
+    try:
+        toxicity.learn(docs, labels, counts, 30)
+    finally:
+        toxicity._logistic = real
+    assert seen and seen[0] <= 30
+
+
+def test_vectors_of_extreme_magnitude(spark):
+    from loamwork.llm import ann
+
+    rows = [(0, [1e200, 1.0]), (50, [1e200, 2.0]), (3, [1e-200, 1e-200]), (4, [0.0, 0.0]), (100, [-1e-200, 3e-200])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert set(got) == {(q, v) for q in (0, 50, 100) for v in (0, 50, 3, 100) if q != v}
+    assert got[0, 50] == 1.0 and abs(got[0, 3] - 0.5**0.5) < 1e-12 and abs(got[100, 3] - 2 / 20**0.5) < 1e-12
