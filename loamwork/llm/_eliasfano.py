@@ -30,11 +30,13 @@ def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     """The values at the given places."""
     if not bits:
         return np.zeros(len(at), np.uint64)
-    place = at.astype(np.int64) * bits
+    place = at.astype(np.int64, copy=False) * bits
     word, shift = place >> 6, (place & 63).astype(np.uint64)
-    low = words[word] >> shift
-    high = np.where(shift > 0, words[np.minimum(word + 1, len(words) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    return (low | high) & np.uint64((1 << bits) - 1)
+    out = words[word] >> shift
+    # two shifts, as one by 64 is none
+    out |= (words.take(word + 1, mode="clip") << np.uint64(1)) << (np.uint64(63) - shift)
+    out &= np.uint64((1 << bits) - 1)
+    return out
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -105,16 +107,20 @@ class Sequence:
         stop = np.empty(len(live), np.int64)
         stop[some] = self._zero_after(before[some], high[some]) - high[some]
         stop[none] = self._select_zero(high[none])
-        last = stop.copy()
-        open_ = np.flatnonzero(low < stop)
+        some = np.flatnonzero(low < stop)
+        live, want, low, stop = live[some], want[some], low[some], stop[some]
+        # the last entry that is not above: in a bucket of one there is nothing to search
+        open_ = np.flatnonzero(stop - low > 1)
+        a, b, asked = low[open_], stop[open_], want[open_]
         while len(open_):
-            mid = (low[open_] + stop[open_]) >> 1
-            less = unpack(self.low, self.bits, mid) < want[open_]
-            low[open_] = np.where(less, mid + 1, low[open_])
-            stop[open_] = np.where(less, stop[open_], mid)
-            open_ = open_[low[open_] < stop[open_]]
-        some = np.flatnonzero(low < last)
-        hit = some[unpack(self.low, self.bits, low[some]) == want[some]]
+            mid = (a + b) >> 1
+            above = unpack(self.low, self.bits, mid) > asked
+            a, b = np.where(above, a, mid), np.where(above, mid, b)
+            low[open_] = a
+            on = np.flatnonzero(b - a > 1)
+            if len(on) < len(open_):
+                open_, a, b, asked = open_[on], a[on], b[on], asked[on]
+        hit = np.flatnonzero(unpack(self.low, self.bits, low) == want)
         out[live[hit]] = low[hit]
         return out
 

@@ -226,9 +226,9 @@ class Trie:
         out[some] = found[at]
         return out, (some, found, at)
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 P of each token after those before it in its document."""
-        out = self.log_word(counts)
+    def score(self, ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
+        """log10 P of each token after those before it in its document; alone: what log_word(counts) gives."""
+        out = self.log_word(counts) if alone is None else alone.copy()
         place = ids
         for k in range(2, self.order + 1):
             context = self.contexts(place, bounds)
@@ -494,7 +494,8 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         own = sent.value
         for batch in _words.pieces(batches):
             ids, counts, at = own.ids(_words.split(batch.column("text"), "space_lower"))
-            sums = [np.add.reduceat(x, at[:-1]) for x in ((counts > 0).astype(np.int64), own.log_word(counts), own.score(ids, counts, at))]
+            alone = own.log_word(counts)
+            sums = [np.add.reduceat(x, at[:-1]) for x in ((counts > 0).astype(np.int64), alone, own.score(ids, counts, at, alone))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return _arrow.map_batches(docs, judge, SCORES)
