@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +51,34 @@ def rerank(rows: DataFrame, top_n: int = TOP_N, raw: str = "lexical") -> DataFra
     return top(mixed, top_n, F.desc("score"), F.col("uri"))
 
 
+class Reranker(Protocol):
+    """A model that scores texts for queries; higher is better, on any scale."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> Sequence[float]: ...
+
+
+def model_scores(rows: DataFrame, queries: DataFrame, chunks: DataFrame, model: Reranker) -> DataFrame:
+    """rows (qid, uri) with the column `raw`: the model's scores of query and text (the uri where a text is empty), batch by batch. Where the model fails, or gives
+    no score for each pair, a batch gets the shares of query tokens in the texts, as without a model."""
+    session.ship(rows.sparkSession)
+
+    @F.pandas_udf("double")
+    def judge(query: pd.Series, value: pd.Series) -> pd.Series:
+        pairs = list(zip(query.fillna(""), value.fillna(""), strict=True))
+        try:
+            found = [float(x) for x in model.score(pairs)]
+            if len(found) != len(pairs):
+                raise ValueError("a score for each pair")
+            return pd.Series(found, dtype="float64")
+        except Exception:  # whatever a model may raise
+            words = [(set(q.lower().split()), set(t.lower().split())) for q, t in pairs]
+            return pd.Series([len(q & t) / max(len(q), 1) for q, t in words], dtype="float64")
+
+    value = F.when(F.coalesce("text", F.lit("")) == "", F.col("uri")).otherwise(F.col("text"))
+    told = rows.join(queries.select("qid", "query"), "qid").join(chunks.select("uri", "text"), "uri", "left")
+    return told.select(*rows.columns, judge(F.col("query"), value).alias("raw"))
+
+
 def expand_queries(queries: DataFrame, hits: DataFrame, limit: int = 3, least: float = 0.4) -> DataFrame:
     """(qid, expanded): the query and up to `limit` names or aliases of entity hits (qid, rank, score, name, aliases) that it does not hold yet."""
     terms = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("terms")))), lambda x: x["terms"]))
@@ -75,10 +105,11 @@ def evidence(rows: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return x.select(*rows.columns, F.coalesce("_title", F.lit("Unknown")).alias("title"), text.redact(F.coalesce("_text", F.lit(""))).alias("snippet"), cite.alias("citations"), refs.alias("entities"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: DataFrame, mode: str = "linear", top_k: int = TOP_K, top_n: int = TOP_N, with_rerank: bool = True, expanded: DataFrame | None = None, find: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: DataFrame, mode: str = "linear", top_k: int = TOP_K, top_n: int = TOP_N, with_rerank: bool = True, expanded: DataFrame | None = None, find: Callable[[DataFrame, int], DataFrame] | None = None, reranker: Reranker | None = None) -> DataFrame:
     """The whole search: the expanded query finds hits, the original one gives the lexical share.
 
-    find: the hits (qid, uri, score) of queries, so many for each; unless given, by tokens over an index of the chunks.
+    find: the hits (qid, uri, score) of queries, so many for each; unless given, by tokens over an index of the chunks. reranker: a model that scores what is
+    fused, instead of token overlap.
     """
     asked = queries if expanded is None else expanded.select("qid", F.col("expanded").alias("query"))
     hits = (find or (lambda q, k: lexical(q, chunks, k)))(asked, min(top_k, MOST_K))
@@ -89,6 +120,8 @@ def search(queries: DataFrame, chunks: DataFrame, graph: DataFrame, memory: Data
         # written before it is scored: the hits are few, and two joins and the ranks read them
         hits = session.written(hits, "hits").join(queries.select("qid", "query"), "qid").join(chunks.select("uri", "text"), "uri").select("qid", "uri", "score", share.alias("lexical"))
     fused = fuse(hits, graph, memory, mode)
+    if reranker is not None:
+        return rerank(model_scores(fused, queries, chunks, reranker), min(top_n, top_k), "raw")
     return rerank(fused, min(top_n, top_k)) if with_rerank else top(fused, top_k, F.desc("score"), F.col("uri"))
 
 
@@ -111,4 +144,4 @@ def result_uris(results: DataFrame, limit: int) -> DataFrame:
     return results.groupBy("qid").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "uri"))), lambda x: x["uri"])), 1, limit).alias("uris"))
 
 
-__all__ = ["depth_of", "entities", "entity_hits", "evidence", "expand_queries", "fuse", "rerank", "result_uris", "rrf", "search", "seed_entities"]
+__all__ = ["Reranker", "depth_of", "entities", "entity_hits", "evidence", "expand_queries", "fuse", "model_scores", "rerank", "result_uris", "rrf", "search", "seed_entities"]

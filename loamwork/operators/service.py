@@ -54,7 +54,7 @@ class KnowledgeBase:
     vectors: Vectors | None = None
 
 
-def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str = "linear", top_k: int = retrieve.TOP_K, top_n: int = retrieve.TOP_N, depth: int = 1, max_nodes: int = 200, kinds: list[str] | None = None, enforce: bool = True, expand: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str = "linear", top_k: int = retrieve.TOP_K, top_n: int = retrieve.TOP_N, depth: int = 1, max_nodes: int = 200, kinds: list[str] | None = None, enforce: bool = True, expand: bool = False, reranker: retrieve.Reranker | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, memory hits, traces) of a caller's requests (qid, query, mode, include_memory).
 
     The caller's filter cuts chunks before they are searched; memory is the caller's own; the graph is walked over what the caller may see, from entities that the
@@ -79,7 +79,7 @@ def search(requests: DataFrame, kb: KnowledgeBase, caller: Filter, fusion: str =
     find = None if kb.index is None else lambda q, k: vector.indexed(q, kb.index, k, caller.condition())
     if kb.vectors is not None:
         find = lambda q, k: kb.vectors.find(q, k, caller.condition())
-    found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded, find=find)
+    found = retrieve.search(requests.select("qid", "query"), allowed, reached.select("qid", "uri"), bonus, fusion, min(top_k, retrieve.MOST_K), top_n, expanded=expanded, find=find, reranker=reranker)
     results = retrieve.evidence(found, allowed, kb.docs)
     hits = remembered.join(kb.memory.select("uri", text.redact(F.col("text")).alias("text"), "citations"), "uri")
     per = lambda df, name: df.groupBy("qid").agg(F.count(F.lit(1)).alias(name))

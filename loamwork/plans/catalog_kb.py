@@ -436,3 +436,24 @@ def embed_prefixed(spark, d):
     """Embeddings of passages by a preset that has a prefix for them."""
     out = embedding.embed_column(session.table(spark, d, "documents").select("doc_id", "text"), "text", embedding.Fallback(384), preset="multilingual-e5-large")
     return out.select("doc_id", F.round(F.get("embedding", F.lit(256)), 9).alias("words"), F.round(scores.dot(F.col("embedding"), F.col("embedding")), 9).alias("norm"))
+
+
+class Shared:
+    """Scores by the number of shared words, less three."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        return [len(set(q.lower().split()) & set(t.lower().split())) - 3.0 for q, t in pairs]
+
+
+@query(
+    "rerank_model",
+    f"""WITH {HITS}, sizes AS (SELECT qid, len({tokens('query')}) AS n FROM queries),
+x AS (SELECT qid, uri, h.score, round(h.score * n) - 3.0 AS raw FROM hits h JOIN sizes USING (qid)),
+y AS (SELECT qid, uri, 0.7*(0.6*0.7*score + 0.4*score) + 0.3*(CASE WHEN raw BETWEEN 0 AND 1 THEN raw ELSE 1/(1+exp(-raw)) END) AS score FROM x)
+SELECT qid, uri, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uri) AS rank FROM y) WHERE rank <= 10""",
+)
+def rerank_model(spark, d):
+    """Searches whose hits are scored by a model."""
+    none = spark.createDataFrame([], "qid string, uri string, memory double")
+    out = retrieve.search(asked(spark, d), chunks(spark, d), none.select("qid", "uri"), none, reranker=Shared())
+    return out.select("qid", "uri", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -178,3 +178,26 @@ def test_memory_links(spark):
     store, nodes, edges, report, keys = memory.upsert_linked(old, graph.memory_nodes(old), graph.memory_edges(old), put, spark.createDataFrame([], "request_key string"))
     assert {(r.src, r.dst) for r in edges.collect()} == {("m1", "e2")} and {(r.uri, r.type) for r in nodes.collect()} == {("m1", "Memory"), ("e2", "Entity")}
     assert store.first().text == "a: b d" and report.where("size(reasons) > 0").count() == 1 and keys.count() == 1
+
+
+def test_models_rerank_and_their_failures_are_made_good(spark):
+    from loamwork.operators import retrieve
+
+    class Ends:
+        def score(self, pairs):
+            return [5.0 if t.endswith("end") else -5.0 for _, t in pairs]
+
+    class Broken:
+        def score(self, pairs):
+            raise RuntimeError("no model")
+
+    class Short:
+        def score(self, pairs):
+            return []
+
+    rows = spark.createDataFrame([("q", "u1"), ("q", "u2"), ("q", "u3")], "qid string, uri string")
+    queries = spark.createDataFrame([("q", "a b")], "qid string, query string")
+    chunks = spark.createDataFrame([("u1", "a x"), ("u2", "b a end"), ("u3", None)], "uri string, text string")
+    got = lambda m: {r.uri: r.raw for r in retrieve.model_scores(rows, queries, chunks, m).collect()}
+    assert got(Ends()) == {"u1": -5.0, "u2": 5.0, "u3": -5.0}
+    assert got(Broken()) == got(Short()) == {"u1": 0.5, "u2": 1.0, "u3": 0.0}
