@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loamwork import session
 from loamwork.operators import embedding, entities, extract, graph, service
 
 
@@ -24,6 +25,22 @@ def test_vectors_are_never_broadcast(spark):
     assert {r.id: r.embedding for r in made.collect()} == {r.id: one.one(r.text or "").tolist() for r in rows.collect()}
 
 
+def test_batches_to_workers_are_bounded_by_rows_and_bytes(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    session.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    few = [tuple(r) for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long, bytes long").collect()]
+    wide = spark.range(0, 1200, 1, 1).select(F.repeat(F.lit("x"), 40_000).alias("text"))
+    found = [tuple(r) for r in wide.mapInArrow(sizes, "n long, bytes long").collect()]
+    assert sum(n for n, _ in few) == 5000 and max(n for n, _ in few) <= 2000
+    assert sum(n for n, _ in found) == 1200 and max(b for _, b in found) <= (16 << 20) + 100_000
+
+
 def test_entities_leave_in_bounded_batches(spark, monkeypatch):
     texts = [None, "", "the", "Alpha beta_1. db.table Слово", "w%d " * 50 % tuple(range(50))]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
