@@ -1,10 +1,11 @@
 """What must not grow: what is broadcast, rows that leave a task at once, edges that are shuffled; results against plain counting."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamwork import session
-from loamwork.operators import embedding, entities, extract, graph, service
+from loamwork.operators import embedding, entities, extract, graph, service, vecindex
 
 
 def plan(df):
@@ -104,3 +105,27 @@ def test_search_keeps_to_the_callers_workspace(spark):
     asks = spark.createDataFrame([("q", "aaa", "hybrid", False)], "qid string, query string, mode string, include_memory boolean")
     traces = service.search(asks, base, service.Filter("w1", "u1"))[2].first()
     assert (traces.seeds, traces.reached, traces.fallback_reason) == (1, 1, None)
+
+
+def test_few_rows_of_a_query_leave_a_batch_of_vectors(spark):
+    """Not k of each block: whatever the blocks, k of each query leave, by exact scores; equal ones by uri."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(1, 8)), 300, axis=0)])
+    unit = vecindex.unit(x)
+    asked = unit[::45]
+    exact = lambda q: (unit * asked[q]).sum(1)
+    want = [sorted(range(900), key=lambda i: (-exact(q)[i], i))[:5] for q in range(len(asked))]  # noqa: B023
+    low = np.full(len(asked), -np.inf)
+    q, item, score = vecindex.best(unit, asked, low, 5)
+    assert [item[q == j].tolist() for j in range(len(asked))] == want
+    assert all(score[q == j].tolist() == exact(j)[want[j]].tolist() for j in range(len(asked)))
+    assert low.tolist() == [exact(j)[want[j][-1]] for j in range(len(asked))]
+    assert not len(vecindex.best(unit[:0], asked, low, 5)[0]) and len(vecindex.best(unit[:3], asked, np.full(len(asked), -np.inf), 5)[0]) == 3 * len(asked)
+    # what scores no better than what an earlier batch gave stays
+    assert len(vecindex.best(unit[:100], asked, low, 5)[0]) < 5 * len(asked)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uri long, vec array<double>").coalesce(1)
+    index = vecindex.build(items, cells=40)
+    assert index.blocks.count() > 20
+    for probes in (None, 40):
+        found = vecindex.search(spark.createDataFrame([(j, x[j * 45].tolist()) for j in range(len(asked))], "qid long, vec array<double>"), index, 5, probes=probes)
+        assert sorted((r.qid, r["rank"], r.uri) for r in found.collect()) == [(j, n + 1, i) for j in range(len(asked)) for n, i in enumerate(want[j])]
