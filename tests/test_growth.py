@@ -129,3 +129,14 @@ def test_few_rows_of_a_query_leave_a_batch_of_vectors(spark):
     for probes in (None, 40):
         found = vecindex.search(spark.createDataFrame([(j, x[j * 45].tolist()) for j in range(len(asked))], "qid long, vec array<double>"), index, 5, probes=probes)
         assert sorted((r.qid, r["rank"], r.uri) for r in found.collect()) == [(j, n + 1, i) for j in range(len(asked)) for n, i in enumerate(want[j])]
+
+
+def test_table_functions_get_bounded_batches(spark):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    extract.register(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+    texts = spark.range(0, 4500, 1, 1).select(F.when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("name_"), F.col("id").cast("string"))).alias("text"))
+    found = spark.sql("SELECT r.alias FROM {texts} AS t, LATERAL kb_entities(t.text) AS r", texts=texts)
+    assert sorted(r.alias for r in found.collect()) == sorted(f"name_{i}" for i in range(4500) if i % 9)
