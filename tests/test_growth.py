@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamwork import session
-from loamwork.operators import embedding, entities, extract, graph, service, vecindex
+from loamwork.operators import chunking, embedding, entities, extract, graph, service, vecindex
 
 
 def plan(df):
@@ -140,3 +140,28 @@ def test_table_functions_get_bounded_batches(spark):
     texts = spark.range(0, 4500, 1, 1).select(F.when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("name_"), F.col("id").cast("string"))).alias("text"))
     found = spark.sql("SELECT r.alias FROM {texts} AS t, LATERAL kb_entities(t.text) AS r", texts=texts)
     assert sorted(r.alias for r in found.collect()) == sorted(f"name_{i}" for i in range(4500) if i % 9)
+
+
+def test_like_sentences_are_found_over_whole_batches(spark, monkeypatch):
+    texts = ["", "Ab 12 cd.", "Ab 12 ce.", "Привет, МИР ٣²!", None, " \x1f ", "Ab 12 cd.", "ÀÉ x", "zzzz " * 40, "Ab 12 cd."]
+    monkeypatch.setattr(embedding, "COUNTED", 3)
+    for n in (384, 258, 100):
+        v = embedding.Fallback(n).embed(texts)
+        want = np.concatenate([[0], (v[1:] * v[:-1]).sum(1)])
+        assert np.allclose(embedding.neighbour_cosines(pa.array(texts, pa.string()), n), want, atol=1e-12)
+    assert not len(embedding.neighbour_cosines(pa.array([], pa.string()), 384))
+    docs = [None, "", "One a. One b. 77777! Ünï ä.\nEnd", "x", "Same 1. Same 2. Same 3. " * 300]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, text string").coalesce(1)
+    cut = rows.select("id", chunking.text.sentences(F.col("text")).alias("s"))
+    found = {r.id: ([] if r.s is None else r.s, [tuple(b) for b in r.b]) for r in cut.select("*", chunking.like_blocks(F.col("s"), 0.9, 384).alias("b")).collect()}
+    for s, blocks in found.values():
+        v, want, at = embedding.Fallback(384).embed(s), [], 0
+        for i, sentence in enumerate(s):
+            if i and (v[i] * v[i - 1]).sum() >= 0.9:
+                want[-1] = (want[-1][0], at + len(sentence))
+            else:
+                want.append((at, at + len(sentence)))
+            at += len(sentence)
+        assert blocks == want
+    # no array grows sentence by sentence
+    assert "_v" not in plan(chunking.semantic(rows)) and len(found[2][1]) > 1 and len(found[4][1]) == 1
