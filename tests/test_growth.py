@@ -165,3 +165,13 @@ def test_like_sentences_are_found_over_whole_batches(spark, monkeypatch):
         assert blocks == want
     # no array grows sentence by sentence
     assert "_v" not in plan(chunking.semantic(rows)) and len(found[2][1]) > 1 and len(found[4][1]) == 1
+
+
+def test_the_driver_lets_go_after_each_round(spark, monkeypatch):
+    from loamwork.llm import _graph
+
+    done = []
+    monkeypatch.setattr(session, "let_go", lambda s: done.append(s))
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long")
+    assert sorted(tuple(r) for r in _graph.components(links).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    assert len(done) >= 2
