@@ -687,6 +687,28 @@ def test_ngram_query_keeps_what_is_met_once(spark, tmp_path):
     assert met > crossed + 0.2  # with n-grams from two on both are equal
 
 
+def test_ngram_scores_read_ids(docs):
+    """Texts are not split again to score them: their words lie in the shared folder as ids."""
+    files = ngramlm.train_and_score(docs).inputFiles()
+    assert files and all("trie-ids" in f for f in files)
+
+
+@pytest.mark.parametrize("vocabulary", [1000, 1 << 31])
+def test_ngram_lookups_span_batches(monkeypatch, vocabulary):
+    """Small batches are looked up together and large ones in parts; documents stay whole, in their order, with ids of four or eight bytes."""
+    trie = ngramlm.Trie(3)
+    trie.vocabulary = vocabulary
+    monkeypatch.setattr(ngramlm, "LOOKUPS", 100)
+    rng = np.random.default_rng(8)
+    every = [rng.integers(-1, 900, n) for n in [*[10] * 25, 250, *[1] * 30, 60, 60]]
+    raw = pa.array([x.astype(trie.id_type).tobytes() for x in every], pa.binary())
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(every))), raw], ["doc_id", "ids"])
+    got = list(ngramlm._looked_up(iter([rows.slice(0, 3), rows.slice(3, 4), rows.slice(7)]), trie))
+    assert [i for r, _, _ in got for i in r.column("doc_id").to_pylist()] == list(range(len(every)))
+    assert all((ids[a:b] == every[i]).all() for r, ids, at in got for i, a, b in zip(r.column("doc_id").to_pylist(), at, at[1:]))
+    assert len(got) < 10 and all(len(ids) <= 100 or r.num_rows == 1 for r, ids, _ in got)
+
+
 def test_ngram_odd(odd):
     got = ngramlm.train_and_score(odd).collect()
     assert len(got) == 8 and all(r.score <= 0 and r.base_score < 0 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
