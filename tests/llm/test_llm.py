@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -709,6 +710,19 @@ def test_ngram_lookups_span_batches(monkeypatch, vocabulary):
     assert len(got) < 10 and all(len(ids) <= 100 or r.num_rows == 1 for r, ids, _ in got)
 
 
+def test_ngram_shards_grow_before_they_become_many():
+    assert [ngramlm._shards_above(n) for n in (0, 10**6, 68 * 10**6, 200 * 10**6, 4 * 10**9)] == [8, 8, 136, 256, 4000]
+
+
+def test_mapped_arrays_keep_no_file_open(tmp_path):
+    with open(tmp_path / "x", "wb") as out:
+        _eliasfano.write_arrays(out, {"a": np.arange(9), "b": np.arange(3, dtype=np.uint8)})
+    before = len(os.listdir("/proc/self/fd"))
+    held = [_eliasfano.map_arrays(str(tmp_path / "x")) for _ in range(20)]
+    assert len(os.listdir("/proc/self/fd")) == before
+    assert all((h["a"] == np.arange(9)).all() and h["b"].tolist() == [0, 1, 2] for h in held)
+
+
 def test_ngram_odd(odd):
     got = ngramlm.train_and_score(odd).collect()
     assert len(got) == 8 and all(r.score <= 0 and r.base_score < 0 for r in got) and [r.held_out for r in got if r.doc_id is None] == [None]
