@@ -37,3 +37,9 @@ def test_doubles_are_rounded_as_sql_rounds_them(spark):
     values = [x for t in ties for x in (t, math.nextafter(t, 0), math.nextafter(t, 1), -t)] + [0.0, 1.0]
     found = [r.r for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(scores.rounded(F.col("v"), 9).alias("r")).collect()]
     assert found == [x for (x,) in duckdb.sql(f"select round(unnest({values!r}::double[]), 9)").fetchall()]
+
+
+def test_chunks_of_all_documents_are_explained(spark, tmp_path):
+    documents(spark, tmp_path, ["", "zeta Alpha beta_2 gamma delta zeta Eps the", "x y", *("w%d " * 300 % tuple(range(k, k + 300)) for k in (700, 100, 701))])
+    rows = same(spark, str(tmp_path), "explain_mentions", "documents")
+    assert len(rows) == 2 + 3 * 3 and ("vector,MENTIONS kb://entity/symbol:alpha,MENTIONS kb://entity/symbol:beta_2,MENTIONS kb://entity/symbol:delta,MENTIONS kb://entity/symbol:eps,MENTIONS kb://entity/symbol:gamma" in {r[0] for r in rows})
