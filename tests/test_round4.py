@@ -3,10 +3,13 @@
 import math
 
 import duckdb
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loamwork import catalog
 from loamwork.functions import scores
+from loamwork.operators import graph
 
 
 def same(spark, d, name, *tables):
@@ -43,3 +46,16 @@ def test_chunks_of_all_documents_are_explained(spark, tmp_path):
     documents(spark, tmp_path, ["", "zeta Alpha beta_2 gamma delta zeta Eps the", "x y", *("w%d " * 300 % tuple(range(k, k + 300)) for k in (700, 100, 701))])
     rows = same(spark, str(tmp_path), "explain_mentions", "documents")
     assert len(rows) == 2 + 3 * 3 and ("vector,MENTIONS kb://entity/symbol:alpha,MENTIONS kb://entity/symbol:beta_2,MENTIONS kb://entity/symbol:delta,MENTIONS kb://entity/symbol:eps,MENTIONS kb://entity/symbol:gamma" in {r[0] for r in rows})
+
+
+@pytest.mark.parametrize("name", ["kb_search_traces", "kb_search"])
+def test_searches_of_the_catalog_fail_where_the_graph_cannot_be_read(spark, tmp_path, monkeypatch, name):
+    documents(spark, tmp_path, ["Alpha beta", "beta gamma"])
+    spark.createDataFrame([(1, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "alpha")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = graph.mention_edges
+    monkeypatch.setattr(graph, "mention_edges", lambda chunks: made(chunks).drop("dst"))
+    with pytest.raises(PySparkException):
+        catalog.queries()[name](spark, str(tmp_path)).collect()
+    monkeypatch.undo()
+    assert catalog.queries()[name](spark, str(tmp_path)).count() > 0
