@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -11,10 +12,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from loamwork import catalog
+from loamwork import catalog, session
 from loamwork.functions import scores
 from loamwork.llm import decontam
-from loamwork.operators import graph
+from loamwork.operators import entities, graph, service
 
 
 def same(spark, d, name, *tables):
@@ -109,3 +110,33 @@ def test_items_are_found_as_by_trying_all(spark, monkeypatch, bounds):
                 near.add(str(k))
         runs = np.frombuffer(r.hits, "<i8").reshape(-1, 2).tolist()
         assert ({i for a, b in runs for i in range(a, b)}, set(r["items"]), set(r.near)) == (cover, got, near - got)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    table = session.written(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):  # deleted in the background
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def written_names(monkeypatch, spark, d, name):
+    names, write = [], session.written
+    with monkeypatch.context() as m:
+        m.setattr(session, "written", lambda df, n: names.append(n) or write(df, n))
+        found = catalog.queries()[name](spark, d)
+    assert found.columns
+    return {n.removeprefix("store-") for n in names if n.startswith("store-")}
+
+
+def test_edges_of_two_ingestions_need_no_nodes(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path, ["Alpha beta"] * 9)
+    assert written_names(monkeypatch, spark, str(tmp_path), "ingest_edges") == {"docs", "chunks", "edges", "ledger", "stated"}
