@@ -140,3 +140,27 @@ def written_names(monkeypatch, spark, d, name):
 def test_edges_of_two_ingestions_need_no_nodes(spark, tmp_path, monkeypatch):
     documents(spark, tmp_path, ["Alpha beta"] * 9)
     assert written_names(monkeypatch, spark, str(tmp_path), "ingest_edges") == {"docs", "chunks", "edges", "ledger", "stated"}
+
+
+def test_ends_of_relations_become_nodes_where_there_are_none(spark):
+    node = "uri string, type string, name string, workspace_id string, acl_allow array<string>, canonical_key string, aliases array<string>"
+    a, b, c = ("kb://entity/symbol:" + x for x in "abc")
+    old = spark.createDataFrame([(a, "Entity", "A", "w", ["u1"], "symbol:a", ["A"])], node)
+    new = spark.createDataFrame([(a, "Entity", "a", "w", ["u2"], "symbol:a", ["a", " "]), ("d", "Document", "t", "w", ["u2"], None, None)], node)
+    stated = spark.createDataFrame([(a, "CALLS", b, "w", ["u9"]), (b, "CALLS", c, "w", ["u3"]), (a, "KNOWS", "x", "w", ["u3"]), (c, "CALLS", a, "v", ["u4"])], "src string, rel string, dst string, workspace_id string, acl_allow array<string>")
+    got = {(r.uri, r.workspace_id): tuple(r)[1:3] + tuple(r)[4:] for r in service.merged_nodes(old, new, stated).collect()}
+    end = lambda x, *acl: ("Entity", x, list(acl), f"symbol:{x}", [x])
+    assert got == {
+        (a, "w"): ("Entity", "A", ["u1", "u2"], "symbol:a", ["A", "a"]), ("d", "w"): ("Document", "t", ["u2"], None, None),
+        (b, "w"): end("b", "u3", "u9"), (c, "w"): end("c", "u3"), (c, "v"): end("c", "u4"), (a, "v"): end("a", "u4"),
+    }
+
+
+def test_spellings_are_shuffled_no_more_than_twice(spark):
+    rows = spark.range(9).select(F.lit("w").alias("workspace_id"), F.lit("p").alias("source_path"), F.col("id").cast("int").alias("chunk_idx"), F.lit("Alpha ALPHA").alias("text"))
+    assert entities.aliases(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2
+
+
+def test_entities_of_two_ingestions_need_no_edges(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path, ["Alpha beta"] * 9)
+    assert written_names(monkeypatch, spark, str(tmp_path), "ingest_entities") == {"docs", "chunks", "nodes", "ledger"}
