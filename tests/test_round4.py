@@ -164,3 +164,8 @@ def test_spellings_are_shuffled_no_more_than_twice(spark):
 def test_entities_of_two_ingestions_need_no_edges(spark, tmp_path, monkeypatch):
     documents(spark, tmp_path, ["Alpha beta"] * 9)
     assert written_names(monkeypatch, spark, str(tmp_path), "ingest_entities") == {"docs", "chunks", "nodes", "ledger"}
+
+
+def test_changes_of_relations_need_no_written_edges(spark, tmp_path, monkeypatch):
+    documents(spark, tmp_path, ["Alpha beta"] * 9)
+    assert written_names(monkeypatch, spark, str(tmp_path), "ingest_relation_change") == {"docs", "chunks", "ledger", "stated"}
