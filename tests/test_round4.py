@@ -169,3 +169,19 @@ def test_entities_of_two_ingestions_need_no_edges(spark, tmp_path, monkeypatch):
 def test_changes_of_relations_need_no_written_edges(spark, tmp_path, monkeypatch):
     documents(spark, tmp_path, ["Alpha beta"] * 9)
     assert written_names(monkeypatch, spark, str(tmp_path), "ingest_relation_change") == {"docs", "chunks", "ledger", "stated"}
+
+
+def test_searched_stores_keep_no_scratch_tables(spark, tmp_path):
+    from loamwork.plans import catalog_service
+
+    documents(spark, tmp_path, ["Alpha beta"] * 9)
+    spark.createDataFrame([(1, 0, "user", "alpha")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made, write = [], session.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(session, "written", lambda df, n: made.append((n, write(df, n))) or made[-1][1])
+        base = catalog_service._ingested_base(spark, str(tmp_path), catalog_service.docs(spark, str(tmp_path)).drop("doc_uri", "doc_key"), entities.Extraction())
+    assert base.chunks.count() == 9 and base.edges.count() > 0
+    path = lambda t: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_at)
+    there = {n: path(t).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(t)) for n, t in made}
+    assert {n for n, x in there.items() if not x} == {"made-chunks", "stated"}
+    assert not {"store-ledger", "store-stated"} & set(there)
